@@ -207,7 +207,7 @@ def delimiter_scores(entries: DataFrame) -> DataFrame:
     each = values.select("source", "field_name", F.explode(cands).alias("c")).select("source", "field_name", "c.*")
     return (
         each.groupBy("source", "field_name", "delim")
-        .agg(F.count("*").alias("values"), F.count_if("cuts > 0").alias("cut_values"), F.avg(F.expr("if(cuts > 0, cuts, null)")).alias("mean_cuts"), F.stddev_pop(F.expr("if(cuts > 0, cuts, null)")).alias("sd"), F.sum(F.expr("if(cuts > 0, good, 0)")).alias("good"), F.sum(F.expr("if(cuts > 0, cuts + 1, 0)")).alias("parts"))
+        .agg(F.count("*").alias("values"), F.count_if(F.col("cuts") > 0).alias("cut_values"), F.avg(F.expr("if(cuts > 0, cuts, null)")).alias("mean_cuts"), F.stddev_pop(F.expr("if(cuts > 0, cuts, null)")).alias("sd"), F.sum(F.expr("if(cuts > 0, good, 0)")).alias("good"), F.sum(F.expr("if(cuts > 0, cuts + 1, 0)")).alias("parts"))
         .withColumn("score", F.coalesce(F.col("cut_values") / F.col("values") * (F.lit(1.0) / (F.lit(1.0) + F.col("sd") / F.col("mean_cuts"))) * F.col("good") / F.col("parts"), F.lit(0.0)))
         .select("source", "field_name", "delim", "values", "cut_values", "score")
     )
