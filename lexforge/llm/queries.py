@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm import quality, spelling
+from lexforge.llm import quality, scan, spelling
 from lexforge.session import read_table
 
 
@@ -14,6 +14,21 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
     return {n: read_table(spark, sf_dir, n) for n in names}
 
 
+SCANNED = ("neighbor_pages", "stage1_projections", "layout_blocks", "field_lines", "dictionaries", "language_samples")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.noise_found(tables(spark, sf_dir, *SCANNED))
+
+
+def p3_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.running_heads(tables(spark, sf_dir, *SCANNED))
+
+
+def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.paragraphs(tables(spark, sf_dir, *SCANNED))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_found(tables(spark, sf_dir, "field_lines", "mdf_value_projections", "stage1_projections", "dictionaries"))
 
@@ -33,5 +48,5 @@ def p8_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_quality(t["documents"], t["common_words"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_groups": p4_groups, "p8_found": p8_found, "p8_figures": p8_figures}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_heads": p3_heads, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_groups": p4_groups, "p8_found": p8_found, "p8_figures": p8_figures}
 SQL: dict[str, str] = {}
