@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm import quality, scan, spelling
+from lexforge.llm import quality, scan, spelling, truncation
 from lexforge.session import read_table
 
 
@@ -14,6 +14,17 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
     return {n: read_table(spark, sf_dir, n) for n in names}
 
 
+CUT = ("dictionary_pages", "stage1_projections", "neighbor_pages", "dictionaries")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated_found(tables(spark, sf_dir, *CUT))
+
+
+def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_shares(tables(spark, sf_dir, *CUT))
+
+
 SCANNED = ("neighbor_pages", "stage1_projections", "layout_blocks", "field_lines", "dictionaries", "language_samples")
 
 
@@ -48,5 +59,5 @@ def p8_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_quality(t["documents"], t["common_words"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_heads": p3_heads, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_groups": p4_groups, "p8_found": p8_found, "p8_figures": p8_figures}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_shares": p2_shares, "p3_found": p3_found, "p3_heads": p3_heads, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_groups": p4_groups, "p8_found": p8_found, "p8_figures": p8_figures}
 SQL: dict[str, str] = {}
