@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm import quality, scan, spelling, truncation
+from lexforge.llm import language, quality, scan, spelling, truncation
 from lexforge.session import read_table
 
 
@@ -14,6 +14,17 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
     return {n: read_table(spark, sf_dir, n) for n in names}
 
 
+LABELLED = ("documents", "mdf_value_projections", "stage1_projections", "dictionaries", "language_samples", "common_words")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages_found(tables(spark, sf_dir, *LABELLED))
+
+
+def p1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(tables(spark, sf_dir, *LABELLED)).dropDuplicates(["table_name", "row_id", "lang_found"])
+
+
 CUT = ("dictionary_pages", "stage1_projections", "neighbor_pages", "dictionaries")
 
 
@@ -59,5 +70,5 @@ def p8_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_quality(t["documents"], t["common_words"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_shares": p2_shares, "p3_found": p3_found, "p3_heads": p3_heads, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_groups": p4_groups, "p8_found": p8_found, "p8_figures": p8_figures}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_shares": p2_shares, "p3_found": p3_found, "p3_heads": p3_heads, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_groups": p4_groups, "p8_found": p8_found, "p8_figures": p8_figures}
 SQL: dict[str, str] = {}
