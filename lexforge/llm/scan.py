@@ -40,8 +40,10 @@ BREAK_END = re.compile(rf"[^\W\d_][̀-ͯ]*[{BREAKS}]\s*$")
 OUTER = ".,;:?\"“”„«»()[]—–-→*=¬‐­’'‘¿¡…"
 NUMBER = re.compile(r"^\W*(?:(?:p|pp|pág|page|S|Seite|с|стр|hal|h)\.?\s*)?([\dOolIi|!SBZ]{1,5}|[ivxlc]{1,8})\W*$")
 GUIDES = re.compile(r"^[^\W\d_]\S*\s+[–—-]\s+[^\W\d_]\S*$")
+ELIDED = re.compile(r"^[a-zà-ÿ]{1,2}['’]")
 ROMAN = re.compile(r"^\W*[ivxlc]+\W*$")
 WORDS_KEPT = 1e-5
+SPLITS = r"[\s.,;:?!\"“”„«»()\[\]¿¡\u00a0\u2007\u2009\u202f\u3000]+"
 
 
 def skeletons(w: str) -> tuple[str, str]:
@@ -89,6 +91,7 @@ class Words:
                 self.groups.setdefault(k, []).append(w)
         self.compound = {p for w in counts if "-" in w for p in [w[: i + 1] for i, c in enumerate(w) if c == "-"]}
         self.seen: dict[str, str] = {}
+        self.looked: dict[str, tuple[str, bool]] = {}
 
     def printed(self, w: str) -> str:
         """The frequent form that w was read from, '' if w is none's misreading."""
@@ -106,6 +109,33 @@ class Words:
         return got
 
 
+    def look(self, token: str) -> tuple[str, bool]:
+        """(word of a token in its plain spelling, whether it is in the vocabulary)."""
+        got = self.looked.get(token)
+        if got is None:
+            w = strip(token).lower()
+            if w not in self.counts and not w.isascii():
+                w = strip(plain(token)[0]).lower()
+            got = (w, w in self.counts)
+            if len(self.looked) > 400_000:
+                self.looked.clear()
+            self.looked[token] = got
+        return got
+
+    def misread(self, w: str, token: str) -> str:
+        """The form a token's word was read from, '' for none."""
+        if ROMAN.match(w):
+            return ""
+        v = self.printed(w)
+        if not v and token[-1] in "!|" and len(w) > 2:
+            v = self.printed(w + token[-1])
+        if not v and ("'" in w or "’" in w):
+            head, _, rest = w.replace("’", "'").partition("'")
+            if len(head) <= 2 and len(rest) > 1 and rest not in self.counts and (x := self.printed(rest)):
+                v = f"{head}'{x}"
+        return v
+
+
 def strip(t: str) -> str:
     return t.strip(OUTER)
 
@@ -117,17 +147,20 @@ def masked(line: str) -> str:
 
 def is_head(line: str, title: str) -> bool:
     s = line.strip()
-    if GUIDES.match(s) and s[-1] not in ".,;:!?)":
+    spaces = s.count(" ")
+    if 2 <= spaces <= 6 and ("—" in s or "–" in s or " - " in s) and GUIDES.match(s) and s[-1] not in ".,;:!?)":
         return True
-    if not title or len(s) > 3 * len(title) + 30:
+    if not s or not title or spaces > 10 or spaces + 1 < title.count(" ") or len(s) > 3 * len(title) + 30 or s[-1] in ".;,":
+        return False
+    if len(s.split()) > title.count(" ") + 5:
         return False
     t = re.sub(r"\[[^\]]{1,8}\]|^\W*\d+\W+|\W+\d+\W*$", " ", s)
     words, want = t.split(), title.lower().split()
-    if not len(want) <= len(words) <= len(want) + 2 or s[-1] in ".;,":
+    if not len(want) <= len(words) <= len(want) + 2:
         return False
     for part in (words[: len(want)], words[-len(want) :]):
-        have = " ".join(part).lower()
-        if have == " ".join(want) or difflib.SequenceMatcher(None, have, " ".join(want), False).ratio() >= 0.78:
+        have, full = " ".join(part).lower(), " ".join(want)
+        if have == full or sum(map(str.__eq__, have[-3:], full[-3:])) + sum(map(str.__eq__, have[:3], full[:3])) > 1 and difflib.SequenceMatcher(None, have, full, False).ratio() >= 0.78:
             return True
     return False
 
@@ -146,8 +179,8 @@ def page_no(line: str, page: int | None, edge: bool) -> bool:
     return bool(re.match(r"^\W*[OolIi|!SBZ]{1,3}\W*$", line)) and edge and (page is None or len(core) == len(str(page)))
 
 
-def analyse(text: str, title: str, page: int | None, words: Words) -> tuple[list[tuple[int, str, str, str]], list[tuple[int, int, str]]]:
-    """(noise rows: line_no, noise, word, printed form), (body lines: line_no, 1 if broken at the end, repaired text)."""
+def analyse(text: str, title: str, page: int | None, words: Words, repair: bool = False) -> tuple[list[tuple[int, str, str, str]], list[tuple[int, int, str]]]:
+    """(noise rows: line_no, noise, word, printed form), (body lines, if they are to be repaired: line_no, 1 if broken at the end, text)."""
     lines = text.split("\n")
     rows: list[tuple[int, str, str, str]] = []
     filled = [k for k, x in enumerate(lines) if x.strip()]
@@ -165,76 +198,66 @@ def analyse(text: str, title: str, page: int | None, words: Words) -> tuple[list
             rows.append((k + 1, kinds[k], "", ""))
         else:
             body.append(k)
-    counts, known = words.counts, words.counts.__contains__
-    tokens: list[tuple[int, str, int, int]] = []  # line, word, line of its second part, length of its first part
+    counts, look = words.counts, words.look
+    toks: list[str] = []
+    where: list[int] = []
+    split: dict[int, tuple[int, int]] = {}  # of a token on two lines: the second line, the length of its first part
     broken: set[int] = set()
     carried = False
-    clean: dict[int, str] = {k: (lines[k] if lines[k].isascii() else plain(lines[k])[0]) for k in body}
     for n, k in enumerate(body):
-        parts = clean[k].split()
+        parts = lines[k].split()
         if carried:
             parts = parts[1:]
         carried = False
-        for t in parts[:-1]:
-            tokens.append((k, t, k, 0))
         if not parts:
             continue
         last = parts[-1]
-        if BREAK_END.search(lines[k]) and last[-1] in BREAKS:
+        if last[-1] in BREAKS and len(last) > 1 and BREAK_END.search(last):
             nxt = body[n + 1] if n + 1 < len(body) else None
-            right = clean[nxt].split()[0] if nxt is not None and clean[nxt].split() else ""
+            right = lines[nxt].split()[0] if nxt is not None else ""
             left = last[:-1]
-            if right and right.lstrip("(«„“\"").lstrip()[:1].isalpha():
-                low = strip(left).lower()
-                r = strip(right).lower()
+            if right and right.lstrip("(«„“\"")[:1].isalpha():
+                low, r = look(left)[0], look(right)[0]
                 joined, hyphened = low + r, f"{low}-{r}"
-                cut = lambda w: re.sub(r"^[a-zà-ÿ]{1,2}['’]", "", w)
+                cut = lambda w: ELIDED.sub("", w)
                 nj, nh = max(counts.get(joined, 0), counts.get(cut(joined), 0)), max(counts.get(hyphened, 0), counts.get(cut(hyphened), 0))
                 if not nj and not nh:
                     nj, nh = bool(words.printed(joined)), bool(words.printed(hyphened) or words.printed(cut(hyphened)))
                 if nh > nj or not nj and "-" in low and cut(low) + "-" in words.compound:
-                    tokens.append((k, left + "-" + right, nxt, len(left) + 1))
+                    parts[-1], first = left + "-" + right, len(left) + 1
                 else:
                     rows.append((k + 1, "hyphen", "", ""))
                     broken.add(k)
-                    tokens.append((k, left + right, nxt, len(left)))
+                    parts[-1], first = left + right, len(left)
+                split[len(toks) + len(parts) - 1] = (nxt, first)
                 carried = True
-            elif right == "" and strip(left).lower() + "-" not in words.compound:
+            elif right == "" and look(left)[0] + "-" not in words.compound:
                 rows.append((k + 1, "hyphen", "", ""))
                 broken.add(k)
-            else:
-                tokens.append((k, last, k, 0))
-        else:
-            tokens.append((k, last, k, 0))
-    low = [strip(t).lower() for _, t, _, _ in tokens]
-    hits = [known(w) for w in low]
+        toks += parts
+        where += [k] * len(parts)
+    seen = [look(t) for t in toks]
     fixes: dict[int, list[tuple[str, str]]] = {}
-    for i, w in enumerate(low):
-        if hits[i] or len(w) < 2 or ROMAN.match(w):
+    for i, (w, known) in enumerate(seen):
+        if known or len(w) < 2:
             continue
-        raw = tokens[i][1]
-        v = words.printed(w)
-        if not v and raw[-1:] in "!|" and len(w) > 2:
-            v = words.printed(w + raw[-1])
-        if not v and "'" in w or "’" in w and not v:
-            head, _, rest = w.replace("’", "'").partition("'")
-            if len(head) <= 2 and len(rest) > 1 and not known(rest) and (x := words.printed(rest)):
-                v = f"{head}'{x}"
+        v = words.misread(w, toks[i])
         if not v:
             continue
-        near = any(0 <= j < len(low) and (hits[j] and len(low[j]) > 1 or low[j].isdigit()) for j in (i - 1, i + 1)) or "-" in v and len(v) > 6
-        if not near:
+        if not ("-" in v and len(v) > 6 or i and (seen[i - 1][1] and len(seen[i - 1][0]) > 1 or seen[i - 1][0].isdigit()) or i + 1 < len(seen) and (seen[i + 1][1] and len(seen[i + 1][0]) > 1 or seen[i + 1][0].isdigit())):
             continue
-        k, _, k2, cutoff = tokens[i]
-        line = k
-        if k2 != k:
+        k = where[i]
+        if i in split:
+            k2, first = split[i]
             off = next((p for p, (x, y) in enumerate(zip(w, v)) if x != y), len(w))
-            line = k2 if off >= len(strip(raw[:cutoff])) else k
-        rows.append((line + 1, "misread", w, v))
-        fixes.setdefault(line, []).append((w, v))
+            k = k2 if off >= len(strip(toks[i][:first])) else k
+        rows.append((k + 1, "misread", w, v))
+        fixes.setdefault(k, []).append((w, v))
+    if not repair:
+        return rows, []
     out = []
     for k in body:
-        t = clean[k]
+        t = lines[k] if lines[k].isascii() else plain(lines[k])[0]
         for w, v in fixes.get(k, ()):
             t = re.sub(re.escape(w), v, t, count=1, flags=re.I)
         out.append((k + 1, int(k in broken), t))
@@ -259,12 +282,10 @@ def vocabulary(field_lines: DataFrame, samples: DataFrame | None = None, least:
     Words of at least two samples of target languages are added. WORDS_KEPT bounds the number (at most 1 / WORDS_KEPT words), which is what lets the vocabulary be sent to every executor.
     """
     own = F.col("marker").isin("lx", "xv", "cf", "ph")
-    text = F.regexp_replace(F.lower(F.col("value")), "[­​-‏⁠﻿]", "")
     words = (
         field_lines.where("value is not null and marker not in ('ps', 'hm', 'dt')")
-        .select(own.alias("own"), F.explode(F.split(text, r"[\s    　]+")).alias("w"))
-        .select("own", F.regexp_replace("w", "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{M}\\p{N}]+$", "").alias("w"))
-        .where(F.length("w") > 0)
+        .select(own.alias("own"), F.explode(F.split(F.lower("value"), SPLITS)).alias("w"))
+        .where("w <> ''")
         .groupBy("w")
         .agg(F.count_if(~F.col("own")).alias("n"), F.count_if("own").alias("s"))
     )
@@ -312,23 +333,20 @@ def noise_candidates(tables: dict[str, DataFrame]) -> DataFrame:
 
 def source_words(field_lines: DataFrame) -> DataFrame:
     """Distinct words of source languages, as printed in headwords, examples and references."""
-    text = F.lower(F.regexp_replace("value", "[\u00ad\u200b-\u200f\u2060\ufeff]", ""))
     return (
         field_lines.where("value is not null and marker in ('lx', 'xv', 'cf')")
-        .select(F.explode(F.split(text, r"\s+")).alias("word"))
-        .select(F.regexp_replace("word", "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{M}\\p{N}]+$", "").alias("word"))
+        .select(F.explode(F.split(F.lower("value"), SPLITS)).alias("word"))
         .where("word <> ''")
         .distinct()
     )
 
 
-def noise_found(tables: dict[str, DataFrame], rare: float = 0.2) -> DataFrame:
+def noise_found(tables: dict[str, DataFrame]) -> DataFrame:
     """p3_found: table_name, row_id, line_no, noise."""
     rows = noise_candidates(tables)
-    words = rows.where("noise = 'misread'")
-    judged = words.join(source_words(tables["field_lines"]), "word", "left_anti")
-    found = rows.where("noise <> 'misread'").unionByName(judged)
-    return found.select("table_name", "row_id", "line_no", "noise").distinct()
+    # rows of other noise pass the anti join under a key of their own, so that they are spread and the scan runs once
+    key = F.when(F.col("noise") == "misread", F.col("word")).otherwise(F.concat_ws(":", F.lit("\u0001"), "row_id", "line_no"))
+    return rows.withColumn("word", key).join(source_words(tables["field_lines"]), "word", "left_anti").select("table_name", "row_id", "line_no", "noise").distinct()
 
 
 def running_heads(tables: dict[str, DataFrame], least: int = 3) -> DataFrame:
@@ -355,7 +373,7 @@ def paragraphs(tables: dict[str, DataFrame]) -> DataFrame:
         for b in batches:
             out: list[list] = [[] for _ in schema]
             for table, row, name, page, text in zip(*(c.to_pylist() for c in b.columns)):
-                for line, broken, t in analyse(text, titles.get(name, ""), page, words)[1]:
+                for line, broken, t in analyse(text, titles.get(name, ""), page, words, True)[1]:
                     t = t.rstrip()
                     for col, x in zip(out, (table, row, line, broken, t.rstrip(BREAKS) if broken else t)):
                         col.append(x)
