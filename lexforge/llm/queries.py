@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm import language, quality, scan, spelling, truncation
+from lexforge.llm import language, leakage, quality, scan, spelling, truncation
 from lexforge.session import read_table
 
 
@@ -60,6 +60,16 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.look_alike_groups(t["field_lines"].dropDuplicates(["line_id"]).selectExpr("line_id as row_id", "dictionary", "value as text"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables(spark, sf_dir, "documents", "eval_items")
+    return leakage.leaks_found(t["documents"], t["eval_items"])
+
+
+def p6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables(spark, sf_dir, "documents", "eval_items")
+    return leakage.removal_spans(t["documents"], t["eval_items"])
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir, "documents", "common_words")
     return quality.shapes_found(t["documents"], t["common_words"])
@@ -70,5 +80,5 @@ def p8_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_quality(t["documents"], t["common_words"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_shares": p2_shares, "p3_found": p3_found, "p3_heads": p3_heads, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_groups": p4_groups, "p8_found": p8_found, "p8_figures": p8_figures}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_shares": p2_shares, "p3_found": p3_found, "p3_heads": p3_heads, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_spans": p6_spans, "p8_found": p8_found, "p8_figures": p8_figures}
 SQL: dict[str, str] = {}
