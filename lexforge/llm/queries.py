@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm import language, leakage, quality, scan, spelling, truncation
+from lexforge.llm import language, leakage, mixing, quality, scan, spelling, truncation
 from lexforge.session import read_table
 
 
@@ -70,6 +70,16 @@ def p6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.removal_spans(t["documents"], t["eval_items"])
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables(spark, sf_dir, "documents", "mix_targets")
+    return mixing.mixed(t["documents"], t["mix_targets"])[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables(spark, sf_dir, "documents", "mix_targets")
+    return mixing.mixed(t["documents"], t["mix_targets"])[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir, "documents", "common_words")
     return quality.shapes_found(t["documents"], t["common_words"])
@@ -80,5 +90,5 @@ def p8_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_quality(t["documents"], t["common_words"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_shares": p2_shares, "p3_found": p3_found, "p3_heads": p3_heads, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_spans": p6_spans, "p8_found": p8_found, "p8_figures": p8_figures}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_shares": p2_shares, "p3_found": p3_found, "p3_heads": p3_heads, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_spans": p6_spans, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_figures": p8_figures}
 SQL: dict[str, str] = {}
