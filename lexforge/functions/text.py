@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TAG = r"</?[a-zA-Z][a-zA-Z0-9]*>"
 SPACE = r"(?U)\s+"
@@ -19,23 +20,23 @@ CLOSERS = r",.:;!?'\"()\[\]"
 SPLIT_LINES = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold_letters(s: pd.Series) -> pd.Series:
     """Case folding of letters alone (sharp s to ss, final sigma, dotted capital I)."""
     return s.map(lambda x: None if x is None else x.casefold() if x.isalpha() else "".join(c.casefold() if c.isalpha() else c for c in x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_marks(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def head_norm(s: pd.Series) -> pd.Series:
     """Compatibility form, small letters, dashes as hyphens, trimmed."""
     return s.map(lambda x: None if x is None else re.sub("[\u2010-\u2015\u2212]", "-", unicodedata.normalize("NFKC", x).lower()).strip())
@@ -136,7 +137,7 @@ def unlatex(s: str) -> str:
     return LATEX_BARE.sub(lambda m: m[1] if len(m[1]) <= 6 else "", s)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_garbage(s: pd.Series) -> pd.Series:
     """Entities and LaTeX of recognised text resolved to a fixpoint, delimiters and replacement characters removed."""
 

@@ -17,7 +17,7 @@ from lexforge.functions.edit import grapheme_ned
 from lexforge.functions.text import clean_text, collapse
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(gold: pd.Series, pred: pd.Series) -> pd.Series:
     """Matching ratio of two values; two empty ones 1, one empty 0."""
     matcher = difflib.SequenceMatcher
@@ -213,7 +213,8 @@ def collapsed_pages(lines: DataFrame, keys: list[str], place: str, text: str, na
     return lines.groupBy(*keys).agg(joined.alias("_t")).select(*keys, clean_text(F.col("_t"), composed).alias(name))
 
 
-TAGGED = "array<struct<word:string,tags:array<string>>>"
+WORD = T.StructType([T.StructField("word", T.StringType()), T.StructField("tags", T.ArrayType(T.StringType()))])
+TAGGED = T.ArrayType(WORD)
 
 
 @F.pandas_udf(TAGGED)
@@ -244,7 +245,7 @@ def tagged_words(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("array<struct<gold:struct<word:string,tags:array<string>>,pred:struct<word:string,tags:array<string>>>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("gold", WORD), T.StructField("pred", WORD)])))
 def word_pairs(gold: pd.Series, pred: pd.Series) -> pd.Series:
     """Tagged words of two lines side by side: equal runs, replaced ones by place if they are half alike, the rest alone."""
 

@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexforge.functions.edit import grapheme_distance, graphemes, word_distance, words
 from lexforge.operators.align import tagged_words, word_pairs
@@ -67,7 +68,7 @@ def pivot_buckets(rows: DataFrame, keys: list[str], bucket: str, values: list[st
     return rows.groupBy(*keys).pivot(bucket, values).agg(F.first(metric))
 
 
-@F.pandas_udf("array<struct<language:string,edits:bigint,gold:bigint>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("language", T.StringType()), T.StructField("edits", T.LongType()), T.StructField("gold", T.LongType())])))
 def language_edits(gold: pd.Series, pred: pd.Series, labels: pd.Series) -> pd.Series:
     """Edits by language: a deleted or replaced character counts for its own label, an inserted one for the gold character before it."""
 

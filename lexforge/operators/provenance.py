@@ -72,7 +72,7 @@ def project(lines: DataFrame, texts: DataFrame, keys: list[str], text: str = "te
     """keys and VALUES: every value of the pages' records held against the transcript."""
     rows = F.array_sort(F.collect_list(F.struct("line_index", "marker", "value")))
     pages = lines.groupBy(*keys).agg(rows.alias("rows")).join(texts.select(*keys, F.col(text).alias("text"), F.col(labels).alias("labels")), keys)
-    schema = T.StructType([f for f in pages.schema.fields if f.name in keys] + T._parse_datatype_string(VALUES).fields)
+    schema = T.StructType([f for f in pages.schema.fields if f.name in keys] + T.StructType.fromDDL(VALUES).fields)
 
     def run(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
@@ -149,7 +149,7 @@ def repair(lines: DataFrame, texts: DataFrame, keys: list[str], text: str = "tex
     """keys, line_index, status, value, repaired: the audit of every value that isn't structural."""
     rows = F.array_sort(F.collect_list(F.struct("line_index", "marker", "value")))
     pages = lines.where("marker not in ('hm', 'ps', 'dt', 'sn', 'ph')").groupBy(*keys).agg(rows.alias("rows")).join(texts.select(*keys, F.col(text).alias("text")), keys)
-    schema = T.StructType([f for f in pages.schema.fields if f.name in keys] + T._parse_datatype_string("line_index int, status string, value string, repaired string").fields)
+    schema = T.StructType([f for f in pages.schema.fields if f.name in keys] + T.StructType.fromDDL("line_index int, status string, value string, repaired string").fields)
 
     def run(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
