@@ -147,19 +147,20 @@ def plan(counted: DataFrame, budget: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """(mix: doc_id, source, n_tokens, times; shares: source, target_share, docs, tokens, reached_share, max_repeats).
+    """(mix: doc_id, source, n_tokens, times (0: left out) for every document; shares: source, target_share, docs, tokens, reached_share, max_repeats).
 
     targets: a fixed table (source, target_share, max_repeats), whose size is checked.
     """
     spark = docs.sparkSession
     targets = spark.createDataFrame(small_rows(targets.select("source", F.col("target_share").cast("double"), F.col("max_repeats").cast("int")), "mix_targets"), "source string, target_share double, max_repeats int")
     hashed = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    counted_docs = tokens_of(docs.where("source is not null")).where("n_tokens > 0").dropDuplicates(["doc_id"]).withColumn("h", hashed)
+    every = tokens_of(docs).dropDuplicates(["doc_id"]).withColumn("h", hashed)
     # what every later step reads is three numbers a document; it is written once to the shared folder, so that texts are encoded once
     from lexforge.session import checkpoint_dir
 
     checkpoint_dir(spark)
-    counted_docs = counted_docs.checkpoint()
+    every = every.checkpoint()
+    counted_docs = every.where("source is not null and n_tokens > 0")
     bucket = F.pmod(F.shiftrightunsigned("h", 40), F.lit(BUCKETS))
     counted_docs = counted_docs.withColumn("bucket", bucket)
     in_bucket = counted_docs.groupBy("source", "n_tokens", "bucket").agg(F.count("*").alias("docs"))
@@ -170,8 +171,13 @@ def mixed(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: i
     starts = in_bucket.withColumn("before", before).join(planned, ["source", "n_tokens"]).select("source", "n_tokens", "bucket", "before", "docs", "passes", "extra")
     ranked = counted_docs.join(starts, ["source", "n_tokens", "bucket"])
     rank = F.row_number().over(W.partitionBy("source", "n_tokens", "bucket").orderBy("h", "doc_id"))
-    mix = ranked.withColumn("times", F.col("passes") + (F.col("before") + rank <= F.col("extra")).cast("bigint")).where("times > 0").select("doc_id", "source", "n_tokens", F.col("times").cast("int"))
-    used = mix.groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.col("n_tokens") * F.col("times")).alias("tokens"), F.max("times").alias("most_times"))
+    chosen = ranked.select("doc_id", "source", "n_tokens", (F.col("passes") + (F.col("before") + rank <= F.col("extra")).cast("bigint")).cast("int").alias("times"))
+    # every document comes out with its decision; those of sources without a target and those without tokens are used 0 times
+    aimed = F.broadcast(targets.select("source").distinct().withColumn("aimed", F.lit(True)))
+    rest = every.join(aimed, "source", "left").where("aimed is null or n_tokens = 0").select("doc_id", "source", "n_tokens", F.lit(0).alias("times"))
+    unplanned = counted_docs.join(aimed, "source").join(planned.select("source").distinct(), "source", "left_anti").select("doc_id", "source", "n_tokens", F.lit(0).alias("times"))
+    mix = chosen.unionByName(rest).unionByName(unplanned)
+    used = mix.where("times > 0").groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.col("n_tokens") * F.col("times")).alias("tokens"), F.max("times").alias("most_times"))
     everything = W.partitionBy(F.lit(1))
     shares = (
         targets.join(used, "source", "left")
