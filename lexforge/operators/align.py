@@ -9,12 +9,14 @@ import difflib
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexforge.functions.edit import grapheme_ned
 from lexforge.functions.text import clean_text, collapse
+from lexforge.session import spread
 
 
 @F.pandas_udf(T.DoubleType())
@@ -106,25 +108,42 @@ def assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def levenshtein(a: list, b: list) -> int:
-    """Rows of the distance table as arrays; insertions along a row are a running minimum."""
+    """Distance by bit vectors: one integer holds a column of the table, a few operations a token of b."""
     if not a or not b:
         return max(len(a), len(b))
-    codes = {x: k for k, x in enumerate({*a, *b})}
-    y = np.array([codes[x] for x in b])
-    at = np.arange(len(b) + 1)
-    row = at.copy()
-    for i, x in enumerate(a, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (y != codes[x]))
-        row = np.minimum.accumulate(new - at) + at
-    return int(row[-1])
+    at: dict = {}
+    for k, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << k
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for y in b:
+        eq = at.get(y, 0)
+        d = (((eq & up) + up) ^ up) | eq | down
+        plus, minus = down | (full & ~(d | up)), up & d
+        score += bool(plus & top) - bool(minus & top)
+        plus = (plus << 1 | 1) & full
+        up, down = (minus << 1 & full) | (full & ~(d | plus)), plus & d
+    return score
 
 
-def ned(a: str, b: str) -> float:
-    import regex
+class Clusters(dict):
+    """Grapheme clusters of lines, kept."""
+
+    def __missing__(self, s: str) -> list:
+        got = list(s) if s.isascii() else regex.findall(r"\X", s)
+        if len(self) > 50_000:
+            self.clear()
+        self[s] = got
+        return got
+
 
-    ga, gb = regex.findall(r"\X", a), regex.findall(r"\X", b)
+CLUSTERS = Clusters()
+
+
+def ned(a: str, b: str) -> float:
+    if a == b:
+        return 0.0
+    ga, gb = CLUSTERS[a], CLUSTERS[b]
     return levenshtein(ga, gb) / max(len(ga), len(gb), 1)
 
 
@@ -204,7 +223,7 @@ def match_lines(gold: DataFrame, pred: DataFrame, keys: list[str], place: str =
                     rows.append([getattr(r, n) for n in names] + [gi, pi, " ".join(g[k] for k in gi), " ".join(p[k] for k in pi), e])
             yield pd.DataFrame(rows, columns=[f.name for f in schema])
 
-    return pages.mapInPandas(run, schema)
+    return spread(pages, *keys).mapInPandas(run, schema)
 
 
 def collapsed_pages(lines: DataFrame, keys: list[str], place: str, text: str, name: str, composed: bool = False) -> DataFrame:

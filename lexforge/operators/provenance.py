@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexforge.session import spread
+
 RUN = re.compile(r"[^\W_]+(?:[̀-ͯ]+[^\W_]*)*")
 STRUCTURAL = re.compile(r"^[0-9ivxlcdmIVXLCDM.() -]+$")
 
@@ -96,7 +98,7 @@ def project(lines: DataFrame, texts: DataFrame, keys: list[str], text: str = "te
                         cursor = max(cursor, ranges[-1][1])
             yield pd.DataFrame(out, columns=[f.name for f in schema])
 
-    return pages.mapInPandas(run, schema)
+    return spread(pages, *keys).mapInPandas(run, schema)
 
 
 #: Fixed values of a repair: least letters, least share of tokens found, greatest span against the value, least likeness of a changed run.
@@ -162,4 +164,4 @@ def repair(lines: DataFrame, texts: DataFrame, keys: list[str], text: str = "tex
                     out.append([*[getattr(r, k) for k in keys], x["line_index"], status, x["value"], new])
             yield pd.DataFrame(out, columns=[f.name for f in schema])
 
-    return pages.mapInPandas(run, schema)
+    return spread(pages, *keys).mapInPandas(run, schema)

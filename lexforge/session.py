@@ -42,3 +42,8 @@ def small_rows(df: DataFrame, what: str, limit: int = BROADCAST_ROWS) -> list:
     if len(rows) > limit:
         raise ValueError(f"{what} has more than {limit} rows; it is no bounded dimension table")
     return rows
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows spread over all shuffle partitions by key, for Python work that is heavy for its bytes; adaptive execution would join these partitions again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
