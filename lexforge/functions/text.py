@@ -104,7 +104,7 @@ def apostrophes(c: Column) -> Column:
 
 
 def cuneiform_spacing(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?<=[\x{12000}-\x{1247F}])\s+(?=[\x{12000}-\x{1247F}])", "")
+    return F.regexp_replace(c, r"([\x{12000}-\x{1247F}])\s+(?=[\x{12000}-\x{1247F}])", "$1")
 
 
 def html_to_dictionary_tags(c: Column) -> Column:

@@ -177,7 +177,7 @@ def pieces(value: str, scores: dict[str, float] | None = None, learned: frozense
             weak.sort(key=lambda x: (-regular(x[1]), -scores.get(x[0], 0.0)))
         if weak and regular(weak[0][1]) > 0.5:
             out = weak[0][1]
-    return [x for x in map(unquote, out) if x and any(c.isalnum() for c in x)]
+    return [x for x in (unquote(y.strip().strip(";|¦•")) for y in out) if x and any(c.isalnum() for c in x)]
 
 
 def quoted_fields(s: str, d: str) -> list[str]:

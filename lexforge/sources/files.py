@@ -14,10 +14,10 @@ from lexforge.functions.text import SPLIT_LINES, strip
 
 def whole_text(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """file, value, modified, size of each text file."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("size"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("size"))
 
 
 def split_lines(c: Column) -> Column:
