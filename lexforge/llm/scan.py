@@ -39,7 +39,9 @@ BREAKS = "-‐¬=­"
 BREAK_END = re.compile(rf"[^\W\d_][̀-ͯ]*[{BREAKS}]\s*$")
 OUTER = ".,;:?\"“”„«»()[]—–-→*=¬‐­’'‘¿¡…"
 NUMBER = re.compile(r"^\W*(?:(?:p|pp|pág|page|S|Seite|с|стр|hal|h)\.?\s*)?([\dOolIi|!SBZ]{1,5}|[ivxlc]{1,8})\W*$")
-GUIDES = re.compile(r"^[^\W\d_]\S*\s+[–—-]\s+[^\W\d_]\S*$")
+GUIDES = re.compile(r"^\d?[^\W\d_]\S*\s+[–—-]\s+\d?[^\W\d_]\S*$")
+#: Digits by the letters they are read as.
+AS_DIGITS = str.maketrans("OolIi|!SBZ", "0011111582")
 ELIDED = re.compile(r"^[a-zà-ÿ]{1,2}['’]")
 ROMAN = re.compile(r"^\W*[ivxlc]+\W*$")
 WORDS_KEPT = 1e-5
@@ -155,13 +157,16 @@ def is_head(line: str, title: str) -> bool:
     if len(s.split()) > title.count(" ") + 5:
         return False
     t = re.sub(r"\[[^\]]{1,8}\]|^\W*\d+\W+|\W+\d+\W*$", " ", s)
-    words, want = t.split(), title.lower().split()
-    if not len(want) <= len(words) <= len(want) + 2:
-        return False
-    for part in (words[: len(want)], words[-len(want) :]):
-        have, full = " ".join(part).lower(), " ".join(want)
-        if have == full or sum(map(str.__eq__, have[-3:], full[-3:])) + sum(map(str.__eq__, have[:3], full[:3])) > 1 and difflib.SequenceMatcher(None, have, full, False).ratio() >= 0.78:
-            return True
+    want = title.lower().split()
+    full = " ".join(want)
+    for u in (t, t.replace(",", " ")) if "," in t else (t,):  # a comma may be a misread space or letter
+        words = u.split()
+        if not len(want) <= len(words) <= len(want) + 2:
+            continue
+        for part in (words[: len(want)], words[-len(want) :]):
+            have = " ".join(part).lower()
+            if have == full or sum(map(str.__eq__, have[-3:], full[-3:])) + sum(map(str.__eq__, have[:3], full[:3])) > 1 and difflib.SequenceMatcher(None, have, full, False).ratio() >= 0.78:
+                return True
     return False
 
 
@@ -174,6 +179,8 @@ def page_no(line: str, page: int | None, edge: bool) -> bool:
         return True
     if any(c.isdigit() for c in core) and not core[0].isalpha() or len(core) > 1 and sum(c.isdigit() for c in core) * 2 >= len(core):
         return True
+    if page is not None and core.translate(AS_DIGITS) == str(page):
+        return True
     if ROMAN.match(line):
         return edge
     return bool(re.match(r"^\W*[OolIi|!SBZ]{1,3}\W*$", line)) and edge and (page is None or len(core) == len(str(page)))
