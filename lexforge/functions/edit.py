@@ -5,6 +5,8 @@ Each distinct token of a pair becomes one private-use code point, so that Spark'
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,14 +16,23 @@ from lexforge.functions.text import graphemes
 FIRST, MOST = 0xE000, 8190
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it: inside a lambda Spark would compute it again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def encoded(tokens: Column, alphabet: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda x: F.decode(F.unhex(F.hex(F.lit(FIRST) + F.array_position(alphabet, x).cast("int"))), "UTF-16BE")), "")
 
 
 def token_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance of two arrays; null where the pair has more than MOST distinct tokens."""
-    alphabet = F.array_distinct(F.concat(a, b))
-    return F.when(F.size(alphabet) <= MOST, F.levenshtein(encoded(a, alphabet), encoded(b, alphabet)))
+
+    def of(p: Column) -> Column:
+        distance = lambda al: F.when(F.size(al) <= MOST, F.levenshtein(encoded(p["a"], al), encoded(p["b"], al)))
+        return F.when(p["a"] == p["b"], 0).otherwise(let(F.array_distinct(F.concat(p["a"], p["b"])), distance))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def grapheme_distance(a: Column, b: Column) -> Column:
@@ -30,8 +41,8 @@ def grapheme_distance(a: Column, b: Column) -> Column:
 
 def grapheme_ned(a: Column, b: Column) -> Column:
     """Distance over the longer side's graphemes; 0 if both are empty."""
-    n = F.greatest(F.size(graphemes(a)), F.size(graphemes(b)), F.lit(1))
-    return grapheme_distance(a, b) / n
+    sides = F.struct(graphemes(a).alias("a"), graphemes(b).alias("b"))
+    return let(sides, lambda p: token_distance(p["a"], p["b"]) / F.greatest(F.size(p["a"]), F.size(p["b"]), F.lit(1)))
 
 
 def words(c: Column) -> Column:

@@ -19,18 +19,24 @@ from lexforge.functions.text import clean_text, collapse
 from lexforge.session import spread
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(gold: pd.Series, pred: pd.Series) -> pd.Series:
-    """Matching ratio of two values; two empty ones 1, one empty 0."""
-    matcher = difflib.SequenceMatcher
+def value_ratio(a: str | None, b: str | None, least: float = 0.0) -> float:
+    """Matching ratio of two values; two empty ones 1, one empty 0. Below `least` an upper bound of the ratio may stand for it."""
+    a, b = a or "", b or ""
+    if not a or not b:
+        return float(a == b)
+    if a == b:
+        return 1.0
+    m = difflib.SequenceMatcher(None, a, b)
+    bound = m.quick_ratio() if least else 1.0
+    return bound if bound < least else m.ratio()
+
 
-    def one(a: str, b: str) -> float:
-        a, b = a or "", b or ""
-        if not a or not b:
-            return float(a == b)
-        return 1.0 if a == b else matcher(None, a, b).ratio()
+def similarity(gold: Column, pred: Column, least: float = 0.0) -> Column:
+    @F.pandas_udf(T.DoubleType())
+    def ratios(g: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series([value_ratio(a, b, least) for a, b in zip(g, p)], dtype="float64")
 
-    return pd.Series([one(a, b) for a, b in zip(gold, pred)], dtype="float64")
+    return ratios(gold, pred)
 
 
 def could_reach(a: Column, b: Column, least: float) -> Column:
@@ -63,8 +69,8 @@ def greedy_join(gold: DataFrame, pred: DataFrame, keys: list[str], place: str, v
     """
     g = gold.select(*keys, F.col(place).alias("gold_idx"), F.col(value).alias("gold_value"))
     p = pred.select(*keys, F.col(place).alias("pred_idx"), F.col(value).alias("pred_value"))
-    pairs = g.join(p, keys).where(could_reach(F.col("gold_value"), F.col("pred_value"), least))
-    pairs = pairs.withColumn("similarity", similarity("gold_value", "pred_value")).where(F.col("similarity") >= least)
+    pairs = spread(g.join(p, keys).where(could_reach(F.col("gold_value"), F.col("pred_value"), least)), *keys, "gold_idx")
+    pairs = pairs.withColumn("similarity", similarity(F.col("gold_value"), F.col("pred_value"), least)).where(F.col("similarity") >= least)
     got = greedy(pairs.select(*keys, "gold_idx", "pred_idx", "similarity"), keys)
     none = lambda t: F.lit(None).cast(t)
     missing = g.join(got, [*keys, "gold_idx"], "left_anti").select(*keys, "gold_idx", none("int").alias("pred_idx"), none("double").alias("similarity"), F.lit("missing").alias("status"))

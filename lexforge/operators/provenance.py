@@ -120,11 +120,22 @@ def repair_value(value: str, text: str, cursor: int) -> tuple[str, str, int]:
         there = [m for m in RUN.finditer(text, cursor)]
         best: list[tuple[float, int, int]] = []
         n = len(words)
+        forms = [m[0].casefold() for m in there]
+        spare = int(n * (1 - COVERED) + 1e-9)
+        known: dict[tuple[str, str], float] = {}
         for k in range(len(there) - n + 1):
-            like = [difflib.SequenceMatcher(None, w, m[0].casefold()).ratio() for w, m in zip(words, there[k : k + n])]
-            good = sum(x >= LIKE for x in like) / n
-            if good >= COVERED:
-                best.append((sum(like) / n, there[k].start(), there[k + n - 1].end()))
+            total, missed = 0.0, 0
+            for w, f in zip(words, forms[k : k + n]):
+                x = 1.0 if w == f else known.get((w, f))
+                if x is None:
+                    m = difflib.SequenceMatcher(None, w, f)
+                    x = known[w, f] = m.ratio() if m.real_quick_ratio() >= LIKE and m.quick_ratio() >= LIKE else 0.0
+                total += x
+                missed += x < LIKE
+                if missed > spare:
+                    break
+            else:
+                best.append((total / n, there[k].start(), there[k + n - 1].end()))
         if not best:
             return "no_source_span", value, cursor
         best.sort(reverse=True)
