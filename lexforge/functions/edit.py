@@ -5,22 +5,15 @@ Each distinct token of a pair becomes one private-use code point, so that Spark'
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexforge.functions.text import graphemes
+from lexforge.functions.text import graphemes, let
 
 #: The first code point that stands for a token, and how many distinct tokens a pair may have.
 FIRST, MOST = 0xE000, 8190
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often body names it: inside a lambda Spark would compute it again for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def encoded(tokens: Column, alphabet: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda x: F.decode(F.unhex(F.hex(F.lit(FIRST) + F.array_position(alphabet, x).cast("int"))), "UTF-16BE")), "")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -46,6 +47,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, EDGES, "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it: named in several places, or inside a lambda, Spark may compute it again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, TAG, "")
 
@@ -154,14 +160,17 @@ def strip_garbage(s: pd.Series) -> pd.Series:
 
 def is_junk_line(c: Column) -> Column:
     """Blank, replacement characters, only backslashes, long digit runs, few distinct characters, one character twelve times over, or mostly CJK."""
-    t = strip(c)
-    n = F.greatest(F.length(F.regexp_replace(t, SPACE, "")), F.lit(1))
-    share = lambda rx: F.length(F.regexp_replace(t, f"[^{rx}]", "")) / n
-    return (
-        (F.length(t) == 0) | t.contains("\ufffd") | t.rlike(r"^[\\\s]+$") | (F.length(t) >= 80) & (share("0-9") >= 0.85)
-        | (F.length(t) > 200) & (F.size(F.array_distinct(F.split(t, ""))) <= 8) | t.rlike(r"(.)\1{11,}")
-        | (F.length(t) >= 80) & (share("\u4e00-\u9fff") >= 0.55) & (share("A-Za-z") <= 0.15)
-    )
+
+    def of(t: Column) -> Column:
+        n = F.greatest(F.length(F.regexp_replace(t, SPACE, "")), F.lit(1))
+        share = lambda rx: F.length(F.regexp_replace(t, f"[^{rx}]", "")) / n
+        return (
+            (F.length(t) == 0) | t.contains("\ufffd") | t.rlike(r"^[\\\s]+$") | (F.length(t) >= 80) & (share("0-9") >= 0.85)
+            | (F.length(t) > 200) & (F.size(F.array_distinct(F.split(t, ""))) <= 8) | (F.length(t) >= 12) & t.rlike(r"(.)\1{11}")
+            | (F.length(t) >= 80) & (share("\u4e00-\u9fff") >= 0.55) & (share("A-Za-z") <= 0.15)
+        )
+
+    return let(strip(c), of)
 
 
 def normalise_line(c: Column) -> Column:

@@ -13,10 +13,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from lexforge.functions.edit import grapheme_ned
 from lexforge.functions.text import clean_text, collapse
-from lexforge.session import spread
+from lexforge.session import checkpoint_dir, spread
 
 
 def value_ratio(a: str | None, b: str | None, least: float = 0.0) -> float:
@@ -67,15 +68,30 @@ def greedy_join(gold: DataFrame, pred: DataFrame, keys: list[str], place: str, v
 
     The candidates are an equi-join on the keys; lengths that can't reach the threshold are left out before any ratio is computed.
     """
-    g = gold.select(*keys, F.col(place).alias("gold_idx"), F.col(value).alias("gold_value"))
-    p = pred.select(*keys, F.col(place).alias("pred_idx"), F.col(value).alias("pred_value"))
-    pairs = spread(g.join(p, keys).where(could_reach(F.col("gold_value"), F.col("pred_value"), least)), *keys, "gold_idx")
+    g = gold.select(*keys, F.col(place).cast("int").alias("gold_idx"), F.col(value).alias("gold_value"))
+    p = pred.select(*keys, F.col(place).cast("int").alias("pred_idx"), F.col(value).alias("pred_value"))
+    # both sides are read several times below; what led to them is computed once
+    checkpoint_dir(gold.sparkSession)
+    g, p = g.checkpoint(), p.checkpoint()
+    # equal values come first in the greedy order, the first of each side with the first of the other: an equi-join on their rank
+    nth = lambda df, v, k: df.withColumn("_v", F.coalesce(v, F.lit(""))).withColumn("_n", F.row_number().over(W.partitionBy(*keys, "_v").orderBy(k)))
+    equal = nth(g, "gold_value", "gold_idx").join(nth(p, "pred_value", "pred_idx"), [*keys, "_v", "_n"]).select(*keys, "gold_idx", "pred_idx", F.lit(1.0).alias("similarity"))
+    rest_g, rest_p = g.join(equal.select(*keys, "gold_idx"), [*keys, "gold_idx"], "left_anti"), p.join(equal.select(*keys, "pred_idx"), [*keys, "pred_idx"], "left_anti")
+    pairs = spread(rest_g.join(rest_p, keys).where(could_reach(F.col("gold_value"), F.col("pred_value"), least)), *keys, "gold_idx")
     pairs = pairs.withColumn("similarity", similarity(F.col("gold_value"), F.col("pred_value"), least)).where(F.col("similarity") >= least)
-    got = greedy(pairs.select(*keys, "gold_idx", "pred_idx", "similarity"), keys)
+    near = greedy(pairs.select(*keys, "gold_idx", "pred_idx", "similarity"), keys).select(*keys, "gold_idx", "pred_idx", "similarity", F.lit("matched").alias("status"))
+    got = equal.withColumn("status", F.lit("matched")).unionByName(near)
     none = lambda t: F.lit(None).cast(t)
-    missing = g.join(got, [*keys, "gold_idx"], "left_anti").select(*keys, "gold_idx", none("int").alias("pred_idx"), none("double").alias("similarity"), F.lit("missing").alias("status"))
-    extra = p.join(got, [*keys, "pred_idx"], "left_anti").select(*keys, none("int").alias("gold_idx"), "pred_idx", none("double").alias("similarity"), F.lit("extra").alias("status"))
-    return got.select(*keys, F.col("gold_idx").cast("int"), F.col("pred_idx").cast("int"), "similarity", F.lit("matched").alias("status")).unionByName(missing).unionByName(extra)
+    # one more aggregation gives the sides that stay alone, so that the matching isn't computed again for them
+    sides = (
+        got.select(*keys, "gold_idx", "pred_idx", "similarity", "status")
+        .unionByName(g.select(*keys, "gold_idx", none("int").alias("pred_idx"), none("double").alias("similarity"), F.lit("missing").alias("status")))
+        .unionByName(p.select(*keys, none("int").alias("gold_idx"), "pred_idx", none("double").alias("similarity"), F.lit("extra").alias("status")))
+    )
+    hit_g = F.max(F.when(F.col("status") == "matched", 1).otherwise(0)).over(W.partitionBy(*keys, "gold_idx"))
+    hit_p = F.max(F.when(F.col("status") == "matched", 1).otherwise(0)).over(W.partitionBy(*keys, "pred_idx"))
+    marked = sides.withColumn("_g", hit_g).withColumn("_p", hit_p)
+    return marked.where("status = 'matched' or (status = 'missing' and _g = 0) or (status = 'extra' and _p = 0)").drop("_g", "_p")
 
 
 def assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
