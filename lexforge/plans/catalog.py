@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexforge.functions import edit, scripts, text
-from lexforge.operators import align, incremental, layout, mdf, metrics, multivalue, provenance, spans, verify
+from lexforge.operators import align, incremental, labels, layout, mdf, metrics, multivalue, provenance, spans, verify
 from lexforge.session import read_table
 from lexforge.streaming import events as stream
 
@@ -202,6 +202,26 @@ def word_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.word_labels(pages(spark, sf_dir).where("size(languages) > 0"), ["stage1_id"])
 
 
+@query("task_round_trip")
+def task_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label maps sent through annotation tasks and back."""
+    p = pages(spark, sf_dir).where("size(languages) = length(text)")
+    return labels.round_trip(p, ["stage1_id"])
+
+
+@query("folder_names", "select dictionary, source_language as source, target_languages as targets from dictionaries")
+def folder_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read_table(spark, sf_dir, "dictionaries")
+    return d.select("dictionary", labels.folder_name(F.col("dictionary"), ["English", "French", "German", "Spanish", "Russian", "Indonesian"]).alias("r")).select("dictionary", "r.*")
+
+
+@query("projected_labels")
+def projected_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values' labels carried to their normal form."""
+    v = once(spark, sf_dir, "mdf_value_projections", "value_id").where("value is not null and normalized_value is not null and primary_language is not null")
+    return v.select("value_id", labels.projected(F.col("value"), F.col("normalized_value"), F.array_repeat("primary_language", F.length("value"))).alias("languages"))
+
+
 # predicates
 
 NOISE = (("replacement", "�"), ("backslash", r"\\\\"), ("html_tag", "</?[a-zA-Z][^<>]*>"), ("markdown", r"\*\*|__"), ("dollar", r"\$"), ("soft_break", "[¬=‐]$"), ("digits_only", r"^\W*\d+\W*$"), ("wide_gap", r"\S {3,}\S"))
