@@ -204,6 +204,8 @@ def test_leaks_are_found_and_others_not(spark):
     assert got <= want and len(got) >= 0.95 * len(want)
     spans = leakage.removal_spans(df, ev).collect()
     assert spans and all(r["last_word"] - r["first_word"] >= 15 for r in spans)
+    whole = {tuple(r) for r in leakage.passages(df, ev).collect()}
+    assert {tuple(r) for r in leakage.passages(df, ev, shard_words=70).collect()} >= whole
     assert leakage.leaks_found(df.limit(0), ev).count() == 0 and leakage.leaks_found(df, ev.limit(0)).count() == 0
 
 
