@@ -3,8 +3,8 @@
 Running heads are found by masking digits: a masked line that returns on several pages of a dictionary and is
 close to its title, or that prints two guide words, is a head. Words are grouped by the skeleton of their
 confusable glyphs; a word outside the vocabulary is misread if its group holds a frequent form of a target
-language that it can be made into by known confusions, if its neighbours are words of target languages, and if it
-is no word of the source language and rare beside that form. A line-end hyphen is noise unless the vocabulary has
+language from which known confusions make it, if a neighbour is a word of a target language or a number, and if it
+is no word of a source language. A line-end hyphen is noise unless the vocabulary has
 the word with it. Paragraphs are reflowed over SQL windows.
 
 Defined results: null and empty texts give no rows; blank lines count as lines; a row delivered again gives its
