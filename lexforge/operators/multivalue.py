@@ -35,11 +35,14 @@ OPEN, SHUT = "([{«„“‹", ")]}»“”›"
 ENUM = re.compile(r"(?:(?<=\s)|^|(?<=[;,.\n]))\(?(?P<n>\d{1,2}|[a-z])(?P<t>[).])\s+(?=\S)")
 ADDITION = re.compile(r"\s*(?:" + "|".join(map(re.escape, ADDITIONS)) + r")(?=\s|$)", re.I)
 QUOTES = {'"': '"', "«": "»", "„": "“", "“": "”", "‘": "’", "'": "'"}
+HELD = re.compile(r"[\"(\[{«„‹]")
 TOKEN_LEFT, TOKEN_RIGHT = re.compile(r"\S+$"), re.compile(r"^\S+")
 
 
 def masked(s: str) -> list[bool]:
-    """True for each character inside brackets or quotes."""
+    """True for each character inside brackets or quotes; empty if there are none."""
+    if not HELD.search(s):
+        return []
     out, depth, quote = [], 0, ""
     for i, c in enumerate(s):
         if quote:
@@ -87,20 +90,25 @@ def is_stroke(s: str, i: int, learned: frozenset) -> bool:
 
 
 def cut(s: str, delim: str, learned: frozenset = frozenset(), mask: list[bool] | None = None) -> list[str]:
+    """Pieces between the delimiter's places that are in no bracket or quotation and join no addition, number or abbreviation."""
+    at = s.find(delim)
+    if at < 0:
+        return [s]
     mask = masked(s) if mask is None else mask
-    out, start, i, n = [], 0, 0, len(delim)
-    while i < len(s):
-        if not mask[i] and s.startswith(delim, i):
-            if delim == "," and (ADDITION.match(s, i + 1) or (s[i - 1 : i].isdigit() and s[i + 1 : i + 2].isdigit())):
-                pass
-            elif delim == "/" and (is_stroke(s, i, learned) or s.startswith("//", i)):
-                pass
-            else:
-                out.append(s[start:i])
-                start = i + n
-                i += n
-                continue
-        i += 1
+    out, start, n = [], 0, len(delim)
+    while at >= 0:
+        if mask and mask[at]:
+            pass
+        elif delim == "," and (ADDITION.match(s, at + 1) or (s[at - 1 : at].isdigit() and s[at + 1 : at + 2].isdigit())):
+            pass
+        elif delim == "/" and (is_stroke(s, at, learned) or s.startswith("//", at)):
+            pass
+        else:
+            out.append(s[start:at])
+            start = at + n
+            at = s.find(delim, start)
+            continue
+        at = s.find(delim, at + 1)
     return [*out, s[start:]]
 
 
@@ -163,7 +171,7 @@ def pieces(value: str, scores: dict[str, float] | None = None, learned: frozense
                         continue
                     return out
     mask = masked(s)
-    best = [d for d in CANDIDATES if d not in WEAK and len(cut(s, d, learned, mask)) > 1]
+    best = [d for d in CANDIDATES if d not in WEAK and d in s and len(cut(s, d, learned, mask)) > 1]
     if ";;" in best and ";" in best:
         best.remove(";")
     out = [s]
@@ -198,19 +206,23 @@ def regular(parts: list[str]) -> float:
 
 
 def delimiter_scores(entries: DataFrame) -> DataFrame:
-    """source, field_name, delim, score: support x consistency of the piece counts x regularity of the pieces; all in built-in expressions.
+    """source, field_name, delim, values, cut_values, score of every candidate that cuts a value: support x consistency of the piece counts x regularity of the pieces.
 
-    Pre-aggregated by source before the shuffle; a source's share of the rows doesn't matter.
+    In built-in expressions, pre-aggregated by source before the shuffle, so a source's share of the rows doesn't matter.
     """
     values = packed_fields(entries)
-    cands = F.array(*[F.struct(F.lit(d).alias("delim"), (F.size(F.split("value", re.escape(d))) - 1).alias("cuts"), F.size(F.filter(F.split("value", re.escape(d)), lambda p: F.trim(p).rlike(r"^[\"«„“(¿¡]?[\p{L}\p{N}]"))).alias("good")) for d in CANDIDATES])
-    each = values.select("source", "field_name", F.explode(cands).alias("c")).select("source", "field_name", "c.*")
-    return (
-        each.groupBy("source", "field_name", "delim")
-        .agg(F.count("*").alias("values"), F.count_if(F.col("cuts") > 0).alias("cut_values"), F.avg(F.expr("if(cuts > 0, cuts, null)")).alias("mean_cuts"), F.stddev_pop(F.expr("if(cuts > 0, cuts, null)")).alias("sd"), F.sum(F.expr("if(cuts > 0, good, 0)")).alias("good"), F.sum(F.expr("if(cuts > 0, cuts + 1, 0)")).alias("parts"))
-        .withColumn("score", F.coalesce(F.col("cut_values") / F.col("values") * (F.lit(1.0) / (F.lit(1.0) + F.col("sd") / F.col("mean_cuts"))) * F.col("good") / F.col("parts"), F.lit(0.0)))
-        .select("source", "field_name", "delim", "values", "cut_values", "score")
-    )
+
+    def candidate(d: str):  # noqa: ANN202
+        parts = F.split("value", re.escape(d))
+        good = F.size(F.filter(parts, lambda p: F.trim(p).rlike(r"^[\"«„“(¿¡]?[\p{L}\p{N}]")))
+        return F.when(F.instr("value", d) > 0, F.struct(F.lit(d).alias("delim"), (F.size(parts) - 1).alias("cuts"), good.alias("good")))
+
+    each = values.select("source", "field_name", F.explode(F.array_compact(F.array(*map(candidate, CANDIDATES)))).alias("c")).select("source", "field_name", "c.*")
+    got = each.groupBy("source", "field_name", "delim").agg(F.count("*").alias("cut_values"), F.avg("cuts").alias("mean_cuts"), F.stddev_pop("cuts").alias("sd"), F.sum("good").alias("good"), F.sum(F.col("cuts") + 1).alias("parts"))
+    all_ = values.groupBy("source", "field_name").agg(F.count("*").alias("values")).withColumnsRenamed({"source": "_s", "field_name": "_f"})
+    both = got.join(all_, got["source"].eqNullSafe(all_["_s"]) & (got["field_name"] == all_["_f"]))
+    score = F.col("cut_values") / F.col("values") * (F.lit(1.0) / (F.lit(1.0) + F.col("sd") / F.col("mean_cuts"))) * F.col("good") / F.col("parts")
+    return both.select("source", "field_name", "delim", "values", "cut_values", score.alias("score"))
 
 
 def packed_fields(entries: DataFrame) -> DataFrame:
@@ -234,6 +246,7 @@ def learned_strokes(entries: DataFrame, least: int = 5, share: float = 0.8, boun
     return frozenset(r[0].rstrip(".,;:)") for r in rows)
 
 
+MAY_HOLD = r"[;|¦•·\t\n、/,)\]]|\d\."
 OUT = pa.schema([("entry_id", pa.int64()), ("field_name", pa.string()), ("value_no", pa.int32()), ("item", pa.string())])
 
 
@@ -262,7 +275,9 @@ def split_values(entries: DataFrame, score_bound: int = 200_000) -> DataFrame:
                             col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, OUT)], schema=OUT)
 
-    return packed_fields(entries.dropDuplicates(["entry_id"])).mapInArrow(run, "entry_id bigint, field_name string, value_no int, item string")
+    # a field without any candidate, mark of enumeration or list bracket holds one value
+    packed = packed_fields(entries.dropDuplicates(["entry_id"])).where(F.col("value").rlike(MAY_HOLD))
+    return packed.mapInArrow(run, "entry_id bigint, field_name string, value_no int, item string")
 
 
 def items_of(values: Counter) -> Counter:  # used by tests: the vocabulary of single values
