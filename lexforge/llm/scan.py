@@ -1,7 +1,8 @@
 """Problem 3: noise in text from scanned pages: running heads, page numbers, words broken over lines, misread characters.
 
-Running heads are found by masking digits: a masked line that returns on several pages of a dictionary and is
-close to its title, or that prints two guide words, is a head. Words are grouped by the skeleton of their
+A line is a running head if, its page number masked, it is close to the dictionary's title (alone, or with one or
+two guide words), or if it prints two guide words; `running_heads` counts the masked lines that return on several
+pages, which shows the heads of a dictionary but isn't asked by noise_found. Words are grouped by the skeleton of their
 confusable glyphs; a word outside the vocabulary is misread if its group holds a frequent form of a target
 language from which known confusions make it, if a neighbour is a word of a target language or a number, and if it
 is no word of a source language. A line-end hyphen is noise unless the vocabulary has
