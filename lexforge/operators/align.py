@@ -232,7 +232,11 @@ def match_page(gold: list[str], pred: list[str]) -> list[tuple[list[int], list[i
 def match_lines(gold: DataFrame, pred: DataFrame, keys: list[str], place: str = "line_idx", text: str = "line") -> DataFrame:
     """keys, gold_idx, pred_idx (arrays of places), gold_text, pred_text, edit: the alignment of each page."""
     side = lambda df, name: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(place).alias("k"), F.col(text).alias("t")))), lambda x: x["t"]).alias(name))
-    pages = side(gold, "gold").join(side(pred, "pred"), keys, "full")
+    return match_pages(side(gold, "gold").join(side(pred, "pred"), keys, "full"), keys)
+
+
+def match_pages(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """match_lines of pages that hold both sides as arrays of lines (keys, gold, pred; null is no line); keys may be null."""
     names = [f.name for f in pages.schema.fields if f.name in keys]
     schema = T.StructType([f for f in pages.schema.fields if f.name in keys] + [T.StructField("gold_idx", T.ArrayType(T.IntegerType())), T.StructField("pred_idx", T.ArrayType(T.IntegerType())), T.StructField("gold_text", T.StringType()), T.StructField("pred_text", T.StringType()), T.StructField("edit", T.DoubleType())])
 

@@ -359,18 +359,19 @@ def lexical_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reading_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, dictionary, gold, pred: first lines of both readings, cleaned, as aligned by their place."""
-    g, r = pages(spark, sf_dir), readings(spark, sf_dir)
-    both = g.select("page_id", "dictionary", "text").join(r, "page_id")
-    z = F.arrays_zip(F.split("text", "\n").alias("g"), F.split("transcript", "\n").alias("p"))
-    x = both.select("page_id", "dictionary", F.posexplode(z).alias("k", "z"))
-    neat = lambda c: text.collapse(F.coalesce(F.col(c), F.lit("")))
-    return x.select("page_id", "dictionary", "k", neat("z.g").alias("gold"), neat("z.p").alias("pred"))
+    """page_id, dictionary, gold, pred, edit: the lines of both readings, white space collapsed and blank lines left out, as paired by align.match_pages."""
+    both = pages(spark, sf_dir).select("page_id", "dictionary", "text").join(readings(spark, sf_dir), "page_id")
+    lines = lambda c: F.filter(F.transform(F.split(c, "\n"), text.collapse), lambda x: x != "")
+    pairs = align.match_pages(both.select("page_id", "dictionary", lines("text").alias("gold"), lines("transcript").alias("pred")), ["page_id", "dictionary"])
+    return pairs.select("page_id", "dictionary", F.col("gold_text").alias("gold"), F.col("pred_text").alias("pred"), "edit")
 
 
 @query("reading_quality")
 def reading_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.text_quality(metrics.pair_counts(reading_pairs(spark, sf_dir)), ["dictionary"], total="__aggregate__")
+    """Quality of the second reading over the pairs of the line alignment (align.match_pages, as in line_alignment): lines
+    of one side only count with an empty other side, and text_edit is the mean of the alignment's own edit shares."""
+    counted = metrics.pair_counts(reading_pairs(spark, sf_dir)).withColumn("ned", F.col("edit"))
+    return metrics.text_quality(counted, ["dictionary"], total="__aggregate__")
 
 
 @query("name_quality", "with p as (select c_mktsegment as segment, c_name as gold, s_name as pred from customer join supplier on c_custkey = s_suppkey), e as (select segment, levenshtein(gold, pred) as edits, length(gold) as gold_len, greatest(length(gold), length(pred), 1) as longest, case when gold = pred then 0 else 1 end as word_edits from p) select coalesce(segment, '__aggregate__') as segment, count(*) as pairs, cast(sum(edits) as bigint) as edits, cast(sum(gold_len) as bigint) as gold_len, sum(edits) / sum(gold_len) as gcer from e group by grouping sets ((segment), ())")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import edit, scripts, text
 from lexforge.operators import align, incremental, layout, mdf, metrics, provenance, spans, verify
+from lexforge.plans import catalog
 from lexforge.sources import files
 from lexforge.streaming import events
 
@@ -93,6 +94,17 @@ def test_match_page():
     assert {(tuple(g), tuple(p)) for g, p, e in align.match_page(["abc", "xyzzy"], ["abc"])} == {((0,), (0,)), ((1,), ())}
 
 
+def test_reading_quality_follows_the_alignment(spark, tmp_path):
+    page = ["bako small house", "divo red fish", "lumi old river", "sarto cold wind"]
+    pages = [(1, "D/page_1", "D", "\n".join(page)), (2, "D/page_2", None, "alone")]
+    spark.createDataFrame(pages, "stage1_id bigint, page_id string, dictionary string, text string").write.parquet(f"{tmp_path}/stage1_projections.parquet")
+    read = [(1, "D/page_9", "page_1", "\n".join(["A running head", "", *page])), (2, "D/page_9", "page_2", " ")]
+    spark.createDataFrame(read, "neighbor_id bigint, page_id string, stem string, transcript string").write.parquet(f"{tmp_path}/neighbor_pages.parquet")
+    rows = {r["dictionary"]: r for r in catalog.reading_quality(spark, str(tmp_path)).collect()}
+    assert (rows["D"]["pairs"], rows["D"]["edits"], rows["D"]["gold_len"], rows["D"]["text_edit"]) == (5, 14, sum(map(len, page)), 0.2)
+    assert (rows[None]["pairs"], rows[None]["gcer"]) == (1, 1.0) and rows["__aggregate__"]["pairs"] == 6
+
+
 def test_greedy_join(spark):
     gold = spark.createDataFrame([("p", 0, "abcd"), ("p", 1, "abce"), ("q", 0, "")], "page string, k int, v string")
     pred = spark.createDataFrame([("p", 0, "abce"), ("p", 1, "zzzzzzzzzzzz"), ("q", 0, "")], "page string, k int, v string")
