@@ -46,6 +46,11 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy(key.alias("page_id")).agg(F.min_by("transcript", "neighbor_id").alias("transcript"))
 
 
+def page_lines(df: DataFrame, body: str) -> DataFrame:
+    """page_id, line_idx, line: a page's lines that aren't blank, with their place in it."""
+    return df.select("page_id", F.posexplode(F.split(body, "\n")).alias("line_idx", "line")).where("trim(line) <> ''")
+
+
 @query("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multivalue.split_values(read_table(spark, sf_dir, "dictionary_entries"))
@@ -73,14 +78,12 @@ def clean_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("projection_values", "select line_id, trim(regexp_replace(regexp_replace(replace(lower(trim(value)), ',', ';'), '(?i)</?[bi]>', '', 'g'), '\\s+', ' ', 'g')) as value_norm from (select distinct line_id, value from field_lines where regexp_full_match(value, '[\\x20-\\x7e]*'))")
 def projection_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = once(spark, sf_dir, "field_lines", "line_id").where(F.col("value").rlike(r"^[\x20-\x7e]*$"))
-    return f.select("line_id", text.projection_value(F.col("value"), composed=True).alias("value_norm"))
+    return once(spark, sf_dir, "field_lines", "line_id").select("line_id", text.projection_value(F.col("value")).alias("value_norm"))
 
 
 @query("homoglyph_values", "select line_id, replace(lower(trim(translate(value, 'Bpə', 'Врә'))), ',', ';') as folded from (select distinct line_id, value from field_lines where marker in ('lx', 'cf') and not regexp_matches(value, '[^\\x20-\\x7eə]'))")
 def homoglyph_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = once(spark, sf_dir, "field_lines", "line_id").where("marker in ('lx', 'cf')").where(~F.col("value").rlike(r"[^\x20-\x7eə]"))
-    return f.select("line_id", text.homoglyphs(F.col("value")).alias("folded"))
+    return once(spark, sf_dir, "field_lines", "line_id").select("line_id", text.homoglyphs(F.col("value")).alias("folded"))
 
 
 @query("gloss_pieces", "with e as (select distinct entry_id, gloss from dictionary_entries where gloss is not null and gloss <> ''), p as (select entry_id, list_filter(list_transform(string_split(gloss, ';'), lambda x: regexp_replace(x, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), lambda x: x <> '') as parts, gloss from e) select entry_id, unnest(case when len(parts) > 0 then parts else [gloss] end) as piece from p")
@@ -134,8 +137,7 @@ def typography(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("grapheme_lengths", "select doc_id, length_grapheme(text) as n from documents where not regexp_matches(text, '[\\x{80}-\\x{9f}]')")
 def grapheme_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[\x{80}-\x{9f}]"))
-    return d.select("doc_id", F.size(text.graphemes(F.col("text"))).cast("bigint").alias("n"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.size(text.graphemes(F.col("text"))).cast("bigint").alias("n"))
 
 
 def _script_case(c: str) -> str:
@@ -323,15 +325,14 @@ def preferred_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cost_matrix", "with g as (select n_regionkey as k, n_nationkey as gi, n_name as g from nation) select a.k, a.gi as gold_idx, b.gi as pred_idx, levenshtein(b.g, a.g) / greatest(length(a.g), length(b.g), 1) as ned from g a join g b on a.k = b.k")
 def cost_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = read_table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("k"), F.col("n_nationkey").alias("line_idx"), F.col("n_name").alias("line"))
-    return align.cost_matrix(n, n, ["k"])
+    """Every line of a page's first reading against every line of its second one."""
+    return align.cost_matrix(page_lines(pages(spark, sf_dir), "text"), page_lines(readings(spark, sf_dir), "transcript"), ["page_id"])
 
 
 @query("line_alignment")
 def line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """quick matching of both readings' lines, page by page."""
-    side = lambda df, t: df.select("page_id", F.posexplode(F.split(t, "\n")).alias("line_idx", "line")).where("trim(line) <> ''")
-    return align.match_lines(side(pages(spark, sf_dir), "text"), side(readings(spark, sf_dir), "transcript"), ["page_id"])
+    return align.match_lines(page_lines(pages(spark, sf_dir), "text"), page_lines(readings(spark, sf_dir), "transcript"), ["page_id"])
 
 
 @query("record_matching")

@@ -2,9 +2,12 @@
 
 import itertools
 import random
+import re
+import unicodedata
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from lexforge.functions import edit, scripts, text
@@ -105,6 +108,26 @@ def test_reading_quality_follows_the_alignment(spark, tmp_path):
     assert (rows[None]["pairs"], rows[None]["gcer"]) == (1, 1.0) and rows["__aggregate__"]["pairs"] == 6
 
 
+def test_whole_tables_against_brute_force(spark, tmp_path):
+    values = ["Bap, pə", "\u041a\u043e\u0442, \u0434\u043e\u043c", " e\u0301te\u0301 <B>x</B>  y ", "\u039b\u03cc\u03b3\u03bf\u03c2", "", None]
+    rows = [(i, m, v) for i, (m, v) in enumerate(itertools.product(("lx", "cf", "ge"), values))]
+    spark.createDataFrame(rows, "line_id bigint, marker string, value string").write.parquet(f"{tmp_path}/field_lines.parquet")
+    folded = {i: (v or "").translate(str.maketrans("Bpə", "\u0412\u0440\u04d9")).strip().lower().replace(",", ";") for i, _, v in rows}
+    assert dict(map(tuple, catalog.homoglyph_values(spark, str(tmp_path)).collect())) == folded
+    norm = {i: re.sub(r"\s+", " ", re.sub("</?[bi]>", "", unicodedata.normalize("NFC", v or "").strip().lower().replace(",", ";"))).strip() for i, _, v in rows}
+    assert dict(map(tuple, catalog.projection_values(spark, str(tmp_path)).collect())) == norm
+
+    docs = [(1, "abc"), (2, "e\u0301\u0085\u0080x"), (3, "\u0091\u0301\U0001f469\u200d\U0001f33e"), (4, "")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert dict(map(tuple, catalog.grapheme_lengths(spark, str(tmp_path)).collect())) == {i: len(regex.findall(r"\X", t)) for i, t in docs}
+
+    gold, pred = ["bako house", "", "d\u00edvo"], ["di\u0301vo", "bakoo  house", "\u0434\u0438\u0432\u043e"]
+    spark.createDataFrame([(1, "D/page_1", "\n".join(gold)), (2, "D/page_2", "alone")], "stage1_id bigint, page_id string, text string").write.parquet(f"{tmp_path}/stage1_projections.parquet")
+    spark.createDataFrame([(1, "D/page_9", "page_1", "\n".join(pred))], "neighbor_id bigint, page_id string, stem string, transcript string").write.parquet(f"{tmp_path}/neighbor_pages.parquet")
+    got = {(r["page_id"], r["gold_idx"], r["pred_idx"]): r["ned"] for r in catalog.cost_matrix(spark, str(tmp_path)).collect()}
+    assert got == {("D/page_1", i, k): align.ned(" ".join(p.split()), g) for i, g in enumerate(gold) if g for k, p in enumerate(pred)}
+
+
 def test_greedy_join(spark):
     gold = spark.createDataFrame([("p", 0, "abcd"), ("p", 1, "abce"), ("q", 0, "")], "page string, k int, v string")
     pred = spark.createDataFrame([("p", 0, "abce"), ("p", 1, "zzzzzzzzzzzz"), ("q", 0, "")], "page string, k int, v string")
