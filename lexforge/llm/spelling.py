@@ -5,7 +5,8 @@ decompose again. Words with one skeleton look alike. The plain spelling of a tex
 removed, wide forms and ligatures narrowed, every space an ordinary one, accents composed, and each word's
 letters from one alphabet: the one most of its letters that have no look-alike belong to. A word written
 wholly in letters that another alphabet shares is judged by the forms of its skeleton group: counted over the
-dictionary's rows, the form that prevails tells the alphabet; its text decides where the group doesn't.
+dictionary's rows, an alphabet's form that is PREVAILS times as frequent as the word's own tells the alphabet
+(`group_cases`); a word of an alphabet that the dictionary doesn't use is Latin; any other stays as it is.
 
 Defined results: null and empty texts are no cases; raised digits, quotation marks and dashes stay; repeated
 rows give one result; other columns are ignored; text in an alphabet outside the table keeps its letters.
@@ -46,6 +47,11 @@ PROTOTYPE = {c: latin for latin, others in LOOKALIKES.items() for c in others}
 #: Letters of the Cyrillic alphabets in use here that have a Latin look-alike.
 CYRILLIC = frozenset("асеорхуАВСЕНКМОРТХ")
 TO_CYRILLIC = {PROTOTYPE[c]: c for c in sorted(CYRILLIC, reverse=True)}
+#: Letters that look-alikes have in common, without accents, and how many times as frequent a group's prevailing form is.
+SHARED, PREVAILS = "".join(sorted({unicodedata.normalize("NFD", c)[0] for pair in PROTOTYPE.items() for c in pair if c})), 10
+SHARED_WORD = re.compile(rf"(?<![^\W\d_])(?<![\u0300-\u036f])[{SHARED}][{SHARED}\u0300-\u036f]*(?![^\W\d_]|[\u0300-\u036f])")
+#: Groups that a task counts before it passes them on.
+HELD = 50_000
 TO_GREEK = {latin: c for latin, others in LOOKALIKES.items() for c in others if "\u0370" <= c <= "\u03ff"}
 
 
@@ -139,6 +145,16 @@ def plain(text: str, scripts: str = "") -> tuple[str, list[tuple[str, str]]]:
     return t, doubts
 
 
+@lru_cache(maxsize=200_000)
+def shared_word(word: str) -> tuple[str, str, str]:
+    """(skeleton, alphabet, other alphabets it can be spelled in) of a decomposed word of shared letters; alphabet '' if it has several."""
+    kinds = {k for c in word if not unicodedata.combining(c) and (k := script(c))}
+    if len(kinds) != 1:
+        return "", "", ""
+    k = kinds.pop()
+    return skeleton(word), k, "".join(to for to in "CGL" if to != k and respell(word, to))
+
+
 def alphabets(dictionaries: DataFrame) -> dict[str, str]:
     """Alphabets (L, C, G) that a dictionary's languages are written in; the table is fixed in size, which is checked."""
     from lexforge.session import small_rows
@@ -208,10 +224,71 @@ def spelling_sources(tables: dict[str, DataFrame]) -> list[tuple[str, DataFrame]
     ]
 
 
+def group_cases(found: DataFrame) -> DataFrame:
+    """table_name, row_id of the texts with a word whose skeleton group prevails in another alphabet that the word can be spelled in.
+
+    found: word_rows. Forms are counted by dictionary and skeleton; a word is a case if the form that prevails is PREVAILS times as frequent.
+    """
+    forms = found.where("skeleton is not null").groupBy("dictionary", "skeleton", "kind").agg(F.sum("n").alias("n"))
+    top = forms.groupBy("dictionary", "skeleton").agg(F.max_by("kind", F.struct("n", "kind")).alias("to"), F.max("n").alias("most"))
+    odd = forms.join(top, ["dictionary", "skeleton"]).where((F.col("kind") != F.col("to")) & (F.col("most") >= PREVAILS * F.col("n"))).select("dictionary", "skeleton", "kind", "to")
+    words = found.where("row_id is not null and skeleton is not null")
+    return words.join(odd, ["dictionary", "skeleton", "kind"]).where("contains(others, to)").select("table_name", "row_id")
+
+
+def word_rows(name: str, rows: DataFrame, allowed: dict[str, str]) -> DataFrame:
+    """table_name, row_id, dictionary, skeleton, kind, others, n: texts that differ from their plain spelling by their own letters
+    (skeleton null), words of shared letters that another alphabet of the dictionary could spell, and counts of the other ones (row_id null)."""
+    by = rows.sparkSession.sparkContext.broadcast(allowed)
+    rows = rows.select(F.col("row_id").cast("bigint").alias("row_id"), F.col("dictionary").cast("string"), F.col("text").cast("string")).where("text is not null")
+    # an ASCII text is plain by its letters, and by its groups too where its dictionary is in Latin alone
+    several = [d for d, k in allowed.items() if d is not None and k not in ("", "L")]
+    rows = rows.where(F.col("text").rlike(r"[^\x00-\x7f]") | F.coalesce(F.col("dictionary").isin(several), F.lit(False)))
+
+    def batch(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({f.name: pa.array(x, f.type) for f, x in zip(WORD_ROWS, zip(*out) if out else [[]] * len(WORD_ROWS))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, int] = {}
+        for b in batches:
+            out = []
+            for i, d, t in zip(*(c.to_pylist() for c in b.columns)):
+                used = by.value.get(d, "")
+                p, differs = judged(t, used)
+                if differs:
+                    out.append((name, i, d, None, None, None, 1))
+                if used in ("", "L"):
+                    continue
+                for w in set(SHARED_WORD.findall(p if p.isascii() else unicodedata.normalize("NFD", p))):
+                    key, kind, others = shared_word(w)
+                    if not kind:
+                        continue
+                    others = "".join(k for k in others if k in used)
+                    if others:
+                        out.append((name, i, d, key, kind, others, 1))
+                    else:
+                        held[d, key, kind] = held.get((d, key, kind), 0) + 1
+            if len(held) > HELD:
+                out += [(name, None, *k, "", n) for k, n in held.items()]
+                held = {}
+            yield batch(out)
+        yield batch([(name, None, *k, "", n) for k, n in held.items()])
+
+    return rows.mapInArrow(run, "table_name string, row_id bigint, dictionary string, skeleton string, kind string, others string, n bigint")
+
+
+WORD_ROWS = pa.schema([("table_name", pa.string()), ("row_id", pa.int64()), ("dictionary", pa.string()), ("skeleton", pa.string()), ("kind", pa.string()), ("others", pa.string()), ("n", pa.int64())])
+
+
 def spelling_found(tables: dict[str, DataFrame]) -> DataFrame:
-    """p4_found: table_name, row_id of the texts that look like their plain spelling and differ from it."""
-    out = None
+    """p4_found: table_name, row_id of the texts that look like their plain spelling and differ from it, by their letters or by their words' groups."""
+    from lexforge.session import checkpoint_dir
+
+    allowed = alphabets(tables["dictionaries"])
+    found = None
     for name, rows in spelling_sources(tables):
-        got = respelled(rows, tables["dictionaries"], only_cases=True).select(F.lit(name).alias("table_name"), "row_id")
-        out = got if out is None else out.unionByName(got)
-    return out.distinct()
+        got = word_rows(name, rows, allowed)
+        found = got if found is None else found.unionByName(got)
+    checkpoint_dir(found.sparkSession)
+    found = found.checkpoint()  # read three times below; texts are analysed once
+    return found.where("skeleton is null").select("table_name", "row_id").unionByName(group_cases(found)).distinct()

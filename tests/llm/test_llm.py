@@ -79,6 +79,20 @@ def test_skeleton_groups(spark):
     assert r[2] == ("котёл", True) and r[5] == ("v.tr.", True) and r[1][1] is False and 3 not in r
 
 
+def test_words_in_look_alikes_follow_their_group(spark):
+    lines = [(i, "D", "ссора и мир") for i in range(60)] + [(120, "D", "ccopa"), (122, "D", "о"), (123, "D", "o"), (124, "E", "ccopa"), (125, None, "ccopa")]
+    lines += [(200 + i, "D", "asap api") for i in range(12)] + [(250, "D", "аѕар")]
+    lines += [(300 + i, "D", "e") for i in range(12)] + [(350, "D", "ёлка"), (351, "D", "её")]
+    names = spark.createDataFrame([("D", "Orvani-Cyrillic", ["Indonesian-Latin"]), ("E", "Tesmek-Latin", ["English-Latin"])], "dictionary string, source_label string, target_labels array<string>")
+    tables = {
+        "dictionaries": names, "field_lines": spark.createDataFrame(lines, "line_id bigint, dictionary string, value string"),
+        "mdf_value_projections": spark.createDataFrame([(1, "D", "ccopa"), (1, "D", "ccopa"), (2, "D", None)], "value_id bigint, dictionary string, normalized_value string"),
+        "stage1_projections": spark.createDataFrame([(1, "D", "мир\nccopa 2"), (2, "E", "fоіn")], "stage1_id bigint, dictionary string, text string"),
+    }
+    got = sorted(map(tuple, spelling.spelling_found(tables).collect()))
+    assert got == [("field_lines", 120), ("field_lines", 250), ("mdf_value_projections", 1), ("stage1_projections", 1), ("stage1_projections", 2)]
+
+
 # scans (3)
 
 WORDS = scan.Words({w: 50 for w in "the wooden ladle grand-mère arc-en-ciel village broken paddle depuis winter kept for musim котёл медный children".split()})
