@@ -1,8 +1,8 @@
 """Problem 8: per-document text statistics and the shape they show (prose, list, table or junk).
 
 Huge documents are split into chunks. Each chunk yields an associative partial state: counts over its
-complete lines, plus the unfinished line at either end (its counts, and the token fragment that touches
-the cut). ``merge`` joins two neighbouring states and corrects the word and the line on the border, so
+complete lines, plus the unfinished line at either end (its counts, and the whole of the tokens that touch
+the cut, however long: a token's figures need all of it). ``merge`` joins two neighbouring states and corrects the word and the line on the border, so
 any tree of merges gives the state of the whole text. Ratios and rules come from the final state only.
 
 Defined results: null text counts as empty; an empty text has all counts 0 and shape ``junk`` is not
@@ -11,8 +11,8 @@ claimed for it (``prose``); repeated doc_ids give one row; other columns of the
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,16 +23,15 @@ from lexforge.session import small_rows
 
 #: Code points of a chunk; longer documents are split.
 CHUNK = 65_536
-#: A token beyond this length is counted, but only so much of it is kept at a border.
+#: A token beyond this length is figured anew each time, and stands among the distinct ones by its digest.
 TOKEN_KEPT = 1_024
-#: Bits of the distinct-word map of a document.
+#: Documents with half as many distinct words aren't held to repeat themselves.
 MAP_BITS = 4_096
 
 WORD = re.compile(r"[^\W\d_]+(?:[’'\-\u0300-\u036f]+[^\W\d_]+)*")
 CLEAN = re.compile(r"[^\w\s]*[^\W\d_][^\W\d_\u0300-\u036f]*(?:[’'\-/‐\u00ad\u2060\u200b-\u200f\ufeff\u0300-\u036f]+[^\W\d_]+)*[\u0300-\u036f]*[^\w\s]*|[^\w\s]{0,2}\d[\d.,:\-/–]*[^\w\s]{0,3}|[—–•*\-|→«»]")
 MOJI = re.compile("[ÂÃÅÉÊÌÍÎÏÐÑ][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]")
 ENDS = re.compile(r"[.!?…][\"»“”’)\]]*$")
-END_TOKEN = re.compile(r"[.!?…]+[\"»“”)\]]*$")
 BULLET = re.compile(r"^\W{0,2}(?:[-–—•*·▪]|\(?\d{1,4}[.)]|[a-zA-Z][.)])\s")
 CELL_JOIN = re.compile(r"[;,|\t](?=\S)")
 LEFT = re.compile(r"\s*\S*(?:\s+\S+)?")
@@ -54,8 +53,14 @@ class Tokens(dict):
         self.common = common
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
+        packed = sum(x << (FIELD * i) for i, x in enumerate(self.vector(w)))
+        if len(w) <= TOKEN_KEPT:
+            if len(self) > 200_000:
+                self.clear()
+            self[w] = packed
+        return packed
+
+    def vector(self, w: str) -> list[int]:
         v = [0] * N
         v[T] = 1
         low = w.lower()
@@ -64,7 +69,7 @@ class Tokens(dict):
         v[COM] = sum(1 for x in words if x in self.common)
         v[CLN] = int(w.isalpha() or bool(CLEAN.fullmatch(w)))
         v[KEY] = int("=" in w and bool(PAIR.match(w)))
-        if len(w) > 3 and END_TOKEN.search(w):
+        if len(w) > 3 and w.rstrip("\"»“”)]").endswith((".", "!", "?", "…")):
             v[SEN] = 1
         elif w[0].isdigit():
             v[NUM] = 1
@@ -78,9 +83,7 @@ class Tokens(dict):
         v[MOJ] = 0 if w.isascii() else len(MOJI.findall(w))
         v[CHR] = len(w)
         v[SYM] = len(w) - sum(map(str.isalnum, w))
-        packed = sum(x << (FIELD * i) for i, x in enumerate(v))
-        self[w] = packed
-        return packed
+        return v
 
 
 def count(s: str, common: Tokens, bits: set) -> tuple[list[int], set]:
@@ -91,8 +94,11 @@ def count(s: str, common: Tokens, bits: set) -> tuple[list[int], set]:
         v[PIP] = v[JNT] = v[TAB] = s.count("\t")
         return v, bits
     bits.update(toks)
-    total = sum(map(common.__getitem__, toks))
-    v = [(total >> (FIELD * i)) & MASK for i in range(N)]
+    if len(s) <= MASK:
+        total = sum(map(common.__getitem__, toks))
+        v = [(total >> (FIELD * i)) & MASK for i in range(N)]
+    else:  # counts beyond a field's bits
+        v = [sum(x) for x in zip(*map(common.vector, toks))]
     if "\t" in s:
         tabs = s.count("\t")
         v[PIP] += tabs
@@ -109,12 +115,8 @@ def add(a: list[int], b: list[int]) -> list[int]:
 
 def last_token(s: str, least: int) -> int:
     """Where the white space before the last token begins, not before `least`."""
-    k = len(s.rstrip())
-    while k > least and not s[k - 1].isspace():
-        k -= 1
-    while k > least and s[k - 1].isspace():
-        k -= 1
-    return max(k, least)
+    parts = s[least:].rsplit(None, 1)
+    return least + len(parts[0]) if len(parts) > 1 else least
 
 
 def segment(s: str, common: Tokens, bits: set) -> tuple[list, set]:
@@ -122,7 +124,7 @@ def segment(s: str, common: Tokens, bits: set) -> tuple[list, set]:
     m = LEFT.match(s)
     cut = m.end()
     if cut == len(s):
-        return [s[: TOKEN_KEPT * 2], None, ""], bits
+        return [s, None, ""], bits
     k = last_token(s, cut)
     v, bits = count(s[cut:k], common, bits)
     return [s[:cut], v, s[k:]], bits
@@ -226,9 +228,8 @@ def scan(text: str, common: Tokens) -> list:
     if len(lines) == 1:
         return [acc, head, None, bits]
     for line in lines[1:-1]:
-        if line:
-            seg, bits = segment(line, common, bits)
-            bits = close(acc, seg, common, bits)
+        if line and (v := count(line, common, bits)[0])[T]:
+            put(acc, v, line.lstrip(), line.rstrip())
     tail, bits = segment(lines[-1], common, bits)
     return [acc, head, tail, bits]
 
@@ -284,8 +285,8 @@ def derive(acc: list[int], bits: set) -> dict:
 
 
 def places(tokens: set) -> set:
-    """Places in the word map; tokens already turned into places (of a merged state) are kept."""
-    return {w if isinstance(w, int) else zlib.crc32(w.lower().encode("utf-8", "replace")) % MAP_BITS for w in tokens}
+    """The distinct words of tokens: small letters, and a digest after a space for those beyond TOKEN_KEPT; what is in this form stays."""
+    return {low if len(low := w.lower()) <= TOKEN_KEPT else " " + hashlib.blake2b(low.encode("utf-8", "replace"), digest_size=16).hexdigest() for w in tokens}
 
 
 def pack(state: list) -> dict:
@@ -299,9 +300,9 @@ def unpack(row: dict) -> list:
 
 
 SEG = pa.struct([("left", pa.string()), ("counts", pa.list_(pa.int64())), ("right", pa.string())])
-STATE = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("acc", pa.list_(pa.int64())), ("head", SEG), ("tail", SEG), ("map", pa.list_(pa.int64()))])
+STATE = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("acc", pa.list_(pa.int64())), ("head", SEG), ("tail", SEG), ("map", pa.list_(pa.string()))])
 SEG_SQL = "struct<left:string,counts:array<bigint>,right:string>"
-STATE_SQL = f"doc_id bigint, part bigint, acc array<bigint>, head {SEG_SQL}, tail {SEG_SQL}, map array<bigint>"
+STATE_SQL = f"doc_id bigint, part bigint, acc array<bigint>, head {SEG_SQL}, tail {SEG_SQL}, map array<string>"
 FIGURES = pa.schema(
     [("doc_id", pa.int64()), ("lines", pa.int64()), ("words", pa.int64()), ("mean_word_length", pa.float64()), ("symbol_ratio", pa.float64()), ("line_end_ratio", pa.float64()), ("common_ratio", pa.float64()), ("distinct_words", pa.int64()), ("tokens", pa.int64()), ("shape", pa.string())]
 )
@@ -331,14 +332,14 @@ def text_quality(docs: DataFrame, common_words: DataFrame, chunk: int = CHUNK, i
 
     def fold(table: pa.Table) -> list | None:
         rows = sorted(table.to_pylist(), key=lambda r: r["part"])
-        state = None
-        last = None
+        last, states = None, []
         for r in rows:
-            if r["part"] == last:  # the same chunk, delivered again
-                continue
+            if r["part"] != last:  # else the same chunk, delivered again
+                states.append(unpack(r))
             last = r["part"]
-            state = unpack(r) if state is None else merge(state, unpack(r), common)
-        return state
+        while len(states) > 1:  # in pairs, so that a token over many chunks isn't copied once a chunk
+            states = [merge(*states[i : i + 2], common) if i + 1 < len(states) else states[i] for i in range(0, len(states), 2)]
+        return states[0] if states else None
 
     def level(key: tuple, table: pa.Table) -> pa.Table:
         return pa.Table.from_pylist([{"doc_id": key[0].as_py(), "part": key[1].as_py()} | pack(fold(table))], schema=STATE)

@@ -40,6 +40,18 @@ def test_shapes(text, shape):
     assert quality.figures(text, COMMON)["shape"] == shape
 
 
+@pytest.mark.parametrize("text", ["QUJD/" * 600 + " tail.\n" + "b" * 5000, "ab\n" + "х" * 3000 + ", " + "y;z" * 1500 + "\nthe end.", "a" * 2500, "!" * 2200 + "x one\n", "\n".join("w%d" % k for k in range(5000))])
+@pytest.mark.parametrize("size", [700, 4000])
+def test_long_tokens_are_counted_whole(text, size):
+    parts = [quality.unpack(quality.pack(quality.scan(text[i : i + size], COMMON))) for i in range(0, len(text), size)]
+    state = parts[0]
+    for part in parts[1:]:
+        state = quality.merge(state, part, COMMON)
+    got = quality.finish(state, COMMON)
+    assert got == quality.figures(text, COMMON)
+    assert (got["tokens"], got["distinct_words"]) == (len(text.split()), len(set(text.split())))
+
+
 def test_quality_table(spark):
     docs = spark.createDataFrame([(1, PROSE * 50, "x"), (1, PROSE * 50, "x"), (2, None, "x"), (3, "", "x"), (4, "\n".join("word%d" % k for k in range(4000)), "x")], "doc_id bigint, text string, shape string")
     words = spark.createDataFrame([("en", w) for w in COMMON.common] + [(None, None)], "lang string, word string")
