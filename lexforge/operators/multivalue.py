@@ -246,7 +246,8 @@ def learned_strokes(entries: DataFrame, least: int = 5, share: float = 0.8, boun
     return frozenset(r[0].rstrip(".,;:)") for r in rows)
 
 
-MAY_HOLD = r"[;|¦•·\t\n、/,)\]]|\d\."
+#: What a field of several values holds, of all forms that pieces() splits (numbers and letters as in ENUM).
+MAY_HOLD = r"(?U)[;|¦•·\t\n、/,)\]]|\d\.|(?:^|[\s\x1c-\x1f;,.(])[a-z]\.[\s\x1c-\x1f]"
 OUT = pa.schema([("entry_id", pa.int64()), ("field_name", pa.string()), ("value_no", pa.int32()), ("item", pa.string())])
 
 

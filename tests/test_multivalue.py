@@ -60,3 +60,10 @@ def test_scores(spark):
     df = spark.createDataFrame([(k, "D", "a dog; a cat" if k % 2 else "a dog", None, "") for k in range(10)], COLUMNS)
     best = delimiter_scores(df).orderBy("score", ascending=False).first()
     assert (best["delim"], best["cut_values"]) == (";", 5)
+
+
+def test_filter_passes_all_that_splits(spark):
+    held = ["a. house b. hut", "(a. house b. hut", "a. house b. hut", "a.\u001chouse b.\u001chut", "1. house 2. hut", "١. house ٢. hut", "a) house b) hut", "(1) house (2) hut", "house, hut", "house / hut", "house;hut", '["house", "hut"]', "дом、изба"]
+    rows = [(i, "D", v, None, None) for i, v in enumerate(held)] + [(99, "D", "Mr. Hut", None, None)]
+    want = {(i, k + 1, x) for i, v in enumerate(held) if len(got := pieces(v)) > 1 for k, x in enumerate(got)}
+    assert {(r["entry_id"], r["value_no"], r["item"]) for r in split_values(spark.createDataFrame(rows, COLUMNS)).collect()} == want and {(0, 1, "house"), (0, 2, "hut")} < want
