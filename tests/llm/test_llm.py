@@ -147,10 +147,46 @@ def test_cut_texts(spark):
     }
     got = {tuple(r) for r in truncation.truncated_found(t).collect()}
     assert got == {("dictionary_pages", 2), ("dictionary_pages", 4), ("stage1_projections", 2), ("stage1_projections", 3), ("stage1_projections", 5)}
+    cause = {tuple(r[:2]): r["cause"] for r in truncation.cut_texts(t).collect()}
+    assert cause["stage1_projections", 2] == "copy" and cause["dictionary_pages", 1] is None
     empty = {k: v.limit(0) for k, v in t.items()}
     assert truncation.truncated_found(empty).count() == 0
 
 
+def test_windows_meet_copies():
+    rng = random.Random(3)
+    text = "".join(rng.choice("abdefgihkmrstvw") for _ in range(1500))
+    h, p = truncation.windows(text)
+    assert p[0] == 0 and len(h) == len(p) > 8 and (np.diff(p) > 0).all()
+    for k in p.tolist():  # a window's hash depends on its letters alone
+        assert truncation.windows(text[k : k + truncation.PREFIX])[0][0] == h[p.tolist().index(k)]
+    a, b = truncation.windows(text[:900]), truncation.windows("xy" + text)
+    last = slice(-truncation.TAIL, None)
+    assert truncation.goes_on(900, a[0][last].tolist(), a[1][last].tolist(), 1502, b[0].tolist(), b[1].tolist()) == 600
+    other = truncation.windows("".join(rng.choice("abdefgihkmrstvw") for _ in range(1500)))
+    assert truncation.goes_on(900, a[0][last].tolist(), a[1][last].tolist(), 1500, other[0].tolist(), other[1].tolist()) is None
+    assert len(truncation.windows("short")[0]) == len(truncation.windows("")[0]) == 0
+
+
+def test_copies_elsewhere_and_hot_starts(spark):
+    """A longer copy counts under any page and source; a window that many texts start with is met by page."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("ka to mi re su vel dor nin gar pek".split()) for _ in range(3))
+    front = " ".join(word() for _ in range(60))
+    bodies = [front + " " + " ".join(word() for _ in range(200)) + "." for _ in range(40)]
+    alone = " ".join(word() for _ in range(200)) + "."
+    texts = [(k, f"D/page_{k}", "D", "f", b if k % 4 else b[:900] + ".") for k, b in enumerate(bodies)] + [(90, "D/page_90", "D", "f", alone[:700] + "."), (91, "E/page_2", "E", "g", alone), (92, None, None, None, alone)]
+    near = [(k, f"D/page_{k + 1}", "previous", f"page_{k}", b) for k, b in enumerate(bodies)]
+    t = {
+        "dictionary_pages": spark.createDataFrame([], "page_key bigint, page_id string, dictionary string, source_file string, mdf_text string"), "stage1_projections": spark.createDataFrame(texts, "stage1_id bigint, page_id string, dictionary string, source_file string, text string"),
+        "neighbor_pages": spark.createDataFrame(near, "neighbor_id bigint, page_id string, side string, stem string, transcript string"), "dictionaries": spark.createDataFrame([("D", "Kamus D")], "dictionary string, title string"),
+    }
+    want = {k for k in range(0, 40, 4)} | {90}
+    for hot in (truncation.HOT, 10):
+        got = {r["row_id"]: r["cause"] for r in truncation.cut_texts(t, hot).where("cut").collect()}
+        assert got == {k: "copy" for k in want}
+
+
 # languages (1)
 
 
