@@ -1,9 +1,11 @@
 """Problem 8: per-document text statistics and the shape they show (prose, list, table or junk).
 
-Huge documents are split into chunks. Each chunk yields an associative partial state: counts over its
-complete lines, plus the unfinished line at either end (its counts, and the whole of the tokens that touch
-the cut, however long: a token's figures need all of it). ``merge`` joins two neighbouring states and corrects the word and the line on the border, so
-any tree of merges gives the state of the whole text. Ratios and rules come from the final state only.
+Every document is split into chunks of CHUNK code points. Each chunk yields an associative partial state: counts
+over its complete lines, plus the unfinished line at either end (its counts, and the whole of the tokens that touch
+the cut, however long: a token's figures need all of it). ``merge`` joins two neighbouring states and corrects the
+word and the line on the border, so any tree of merges gives the state of the whole text. Neighbouring chunks are
+merged where they are read; what a task holds of a document goes on as one state, and states that meet no neighbour
+there are merged in order by document. Ratios and rules come from the final state only; there is no other path.
 
 Defined results: null text counts as empty; an empty text has all counts 0 and shape ``junk`` is not
 claimed for it (``prose``); repeated doc_ids give one row; other columns of the input are ignored.
@@ -21,12 +23,12 @@ from pyspark.sql import functions as F
 
 from lexforge.session import small_rows
 
-#: Code points of a chunk; longer documents are split.
-CHUNK = 65_536
+#: Code points of a chunk.
+CHUNK = 4_096
+#: Code points beyond which a document's chunks are spread over tasks before they are counted.
+SPREAD = 1_048_576
 #: A token beyond this length is figured anew each time, and stands among the distinct ones by its digest.
 TOKEN_KEPT = 1_024
-#: Documents with half as many distinct words aren't held to repeat themselves.
-MAP_BITS = 4_096
 
 WORD = re.compile(r"[^\W\d_]+(?:[’'\-\u0300-\u036f]+[^\W\d_]+)*")
 CLEAN = re.compile(r"[^\w\s]*[^\W\d_][^\W\d_\u0300-\u036f]*(?:[’'\-/‐\u00ad\u2060\u200b-\u200f\ufeff\u0300-\u036f]+[^\W\d_]+)*[\u0300-\u036f]*[^\w\s]*|[^\w\s]{0,2}\d[\d.,:\-/–]*[^\w\s]{0,3}|[—–•*\-|→«»]")
@@ -211,15 +213,6 @@ def close(acc: list[int], seg: list, common: Tokens, bits: set) -> set:
     return bits
 
 
-def figures(text: str, common: Tokens) -> dict:
-    """finish(scan(text)) of a whole text, without states."""
-    acc, bits = [0] * (10 + N), set()
-    for line in text.split("\n"):
-        if line and (v := count(line, common, bits)[0])[T]:
-            put(acc, v, line.lstrip(), line.rstrip())
-    return derive(acc, bits)
-
-
 def scan(text: str, common: Tokens) -> list:
     """The state of a text or chunk: [counts of closed lines, head, tail or None, words seen]. tail None: no newline inside."""
     acc, bits = [0] * (10 + N), set()
@@ -270,7 +263,7 @@ def derive(acc: list[int], bits: set) -> dict:
     stops, marks = c[SEN], c[CMA] + c[COL]
     if not n:
         pass
-    elif n >= 8 and distinct < min(n / 3, max(4, 2.4 * n**0.5)) and distinct < MAP_BITS // 2:
+    elif n >= 8 and distinct < min(n / 3, max(4, 2.4 * n**0.5)):
         out["shape"] = "junk"
     elif c[MOJ] * 2 > 0.06 * chars or kinds["junk"] * 2 > n:
         out["shape"] = "junk"
@@ -299,67 +292,103 @@ def unpack(row: dict) -> list:
     return [list(row["acc"]), seg(row["head"]), seg(row["tail"]), set(row["map"])]
 
 
+def combined(states: list[list], common: Tokens) -> list:
+    """The state of states in order, merged in pairs, so that what a border carries isn't copied once a chunk."""
+    while len(states) > 1:
+        states = [merge(*states[i : i + 2], common) if i + 1 < len(states) else states[i] for i in range(0, len(states), 2)]
+    return states[0]
+
+
+def figures(text: str, common: Tokens, chunk: int = CHUNK) -> dict:
+    """Figures and shape of a text, by the states of its chunks."""
+    return finish(combined([scan(text[i : i + chunk], common) for i in range(0, len(text), chunk)] or [scan("", common)], common), common)
+
+
 SEG = pa.struct([("left", pa.string()), ("counts", pa.list_(pa.int64())), ("right", pa.string())])
-STATE = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("acc", pa.list_(pa.int64())), ("head", SEG), ("tail", SEG), ("map", pa.list_(pa.string()))])
 SEG_SQL = "struct<left:string,counts:array<bigint>,right:string>"
-STATE_SQL = f"doc_id bigint, part bigint, acc array<bigint>, head {SEG_SQL}, tail {SEG_SQL}, map array<string>"
 FIGURES = pa.schema(
-    [("doc_id", pa.int64()), ("lines", pa.int64()), ("words", pa.int64()), ("mean_word_length", pa.float64()), ("symbol_ratio", pa.float64()), ("line_end_ratio", pa.float64()), ("common_ratio", pa.float64()), ("distinct_words", pa.int64()), ("tokens", pa.int64()), ("shape", pa.string())]
+    [("lines", pa.int64()), ("words", pa.int64()), ("mean_word_length", pa.float64()), ("symbol_ratio", pa.float64()), ("line_end_ratio", pa.float64()), ("common_ratio", pa.float64()), ("distinct_words", pa.int64()), ("tokens", pa.int64()), ("shape", pa.string())]
 )
-FIGURES_SQL = "doc_id bigint, lines bigint, words bigint, mean_word_length double, symbol_ratio double, line_end_ratio double, common_ratio double, distinct_words bigint, tokens bigint, shape string"
+STATE = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("last", pa.int64()), ("parts", pa.int64()), *FIGURES, ("acc", pa.list_(pa.int64())), ("head", SEG), ("tail", SEG), ("map", pa.list_(pa.string()))])
+STATE_SQL = f"doc_id bigint, part bigint, last bigint, parts bigint, lines bigint, words bigint, mean_word_length double, symbol_ratio double, line_end_ratio double, common_ratio double, distinct_words bigint, tokens bigint, shape string, acc array<bigint>, head {SEG_SQL}, tail {SEG_SQL}, map array<string>"
+NOTHING = dict.fromkeys(FIGURES.names) | {"acc": None, "head": None, "tail": None, "map": None}
 
 
-def text_quality(docs: DataFrame, common_words: DataFrame, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of figures a document (FIGURES_SQL), and the shape they show.
+def text_quality(docs: DataFrame, common_words: DataFrame, chunk: int = CHUNK, spread: int = SPREAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of figures a document (FIGURES), and the shape they show.
 
-    docs: id_col, text_col. common_words: a fixed table (word). Documents of up to `chunk` code points are
-    figured where they are read, without a shuffle; only the chunks of longer ones are spread and merged in a tree.
+    docs: id_col, text_col. common_words: a fixed table (word). Chunks of documents beyond `spread` code points are
+    spread over all tasks; that decides where a chunk is counted, not how.
     """
     words = frozenset(r[0].lower() for r in small_rows(common_words.select("word").where("word is not null").distinct(), "common_words"))
     common = Tokens(words)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            rows = [figures(t, common) for t in texts]
-            yield pa.RecordBatch.from_pydict({"doc_id": ids} | {f.name: [r[f.name] for r in rows] for f in list(FIGURES)[1:]}, schema=FIGURES)
+    def batch(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({f.name: pa.array([r[f.name] for r in rows], f.type) for f in STATE}, schema=STATE)
+
+    def row(doc: int, part: int, last: int, parts: int, states: list[list]) -> dict:
+        """A whole document's figures, or the state of chunks part to last."""
+        state = combined(states, common)
+        at = {"doc_id": doc, "part": part, "last": last, "parts": parts}
+        return NOTHING | at | (finish(state, common) if part == 0 and last == parts - 1 else pack(state))
 
-    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks to states; those that follow each other are merged."""
+        for b in batches:
+            out: list[dict] = []
+            run: list = []  # document, first and last chunk, chunks of the document, states
+            for doc, part, parts, text in zip(*(c.to_pylist() for c in b.columns)):
+                state = scan(text, common)
+                if run and run[0] == doc and run[2] == part - 1:
+                    run[2] = part
+                    run[4].append(state)
+                    continue
+                if run:
+                    out.append(row(*run))
+                run = [doc, part, part, parts, [state]]
+            if run:
+                out.append(row(*run))
+            yield batch(out)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in the order of documents and chunks: figures stay, states are merged. Another delivery of the same chunks is passed over."""
+        done: object = NOTHING
+        doc, upto, stack = done, 0, []  # stack: (number of chunks, state), the numbers falling, as in a binary counter
         for b in batches:
-            rows = [{"doc_id": i, "part": p} | pack(scan(t, common)) for i, p, t in zip(*(c.to_pylist() for c in b.columns))]
-            yield pa.RecordBatch.from_pylist(rows, schema=STATE)
-
-    def fold(table: pa.Table) -> list | None:
-        rows = sorted(table.to_pylist(), key=lambda r: r["part"])
-        last, states = None, []
-        for r in rows:
-            if r["part"] != last:  # else the same chunk, delivered again
-                states.append(unpack(r))
-            last = r["part"]
-        while len(states) > 1:  # in pairs, so that a token over many chunks isn't copied once a chunk
-            states = [merge(*states[i : i + 2], common) if i + 1 < len(states) else states[i] for i in range(0, len(states), 2)]
-        return states[0] if states else None
-
-    def level(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist([{"doc_id": key[0].as_py(), "part": key[1].as_py()} | pack(fold(table))], schema=STATE)
-
-    def final(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist([{"doc_id": key[0].as_py()} | finish(fold(table), common)], schema=FIGURES)
-
-    short = docs.where(F.length("text") <= chunk).mapInArrow(whole, FIGURES_SQL)
+            out: list[dict] = []
+            for r in b.to_pylist():
+                if r["doc_id"] != doc:
+                    doc, upto, stack = r["doc_id"], 0, []
+                if upto == r["parts"] or r["part"] != upto:
+                    continue
+                upto = r["last"] + 1
+                if r["lines"] is not None:
+                    out.append(r)
+                    continue
+                stack.append((upto - r["part"], unpack(r)))
+                while len(stack) > 1 and (stack[-2][0] <= stack[-1][0] or upto == r["parts"]):
+                    (m, x), (n, y) = stack[-2:]
+                    stack[-2:] = [(m + n, merge(x, y, common))]
+                if upto == r["parts"]:
+                    out.append(NOTHING | {"doc_id": doc} | finish(stack[0][1], common))
+                    stack = []
+            yield batch([dict.fromkeys(STATE.names) | x for x in out])
+
+    parts = f"greatest(1, ceil(length(text) / {chunk}))"
     big = chunk * 128
+    short = docs.where(F.length("text") <= spread).selectExpr("doc_id", f"cast({parts} as bigint) as parts", f"posexplode(transform(sequence(0, cast({parts} - 1 as int)), i -> substring(text, cast(i * {chunk} + 1 as int), {chunk}))) as (q, text)").selectExpr("doc_id", "cast(q as bigint) as part", "parts", "text")
     long = (
-        docs.where(F.length("text") > chunk)
-        .selectExpr("doc_id", f"posexplode(transform(sequence(0, (length(text) - 1) div {big}), i -> substring(text, cast(i * {big} + 1 as int), {big}))) as (p, text)")
-        .selectExpr("doc_id", "p", f"posexplode(transform(sequence(0, (length(text) - 1) div {chunk}), i -> substring(text, cast(i * {chunk} + 1 as int), {chunk}))) as (q, text)")
-        .selectExpr("doc_id", "cast(p * 128 + q as bigint) as part", "text")
-        .repartition("doc_id", "part")
-        .mapInArrow(states, STATE_SQL)
+        docs.where(F.length("text") > spread)
+        .selectExpr("doc_id", f"cast({parts} as bigint) as parts", f"posexplode(transform(sequence(0, (length(text) - 1) div {big}), i -> substring(text, cast(i * {big} + 1 as int), {big}))) as (p, text)")
+        .repartition("doc_id", "p")
+        .selectExpr("doc_id", "p", "parts", f"posexplode(transform(sequence(0, (length(text) - 1) div {chunk}), i -> substring(text, cast(i * {chunk} + 1 as int), {chunk}))) as (q, text)")
+        .selectExpr("doc_id", "cast(p * 128 + q as bigint) as part", "parts", "text")
     )
-    tree = long.withColumn("up", F.expr("part div 256")).groupBy("doc_id", "up").applyInArrow(lambda k, t: level(k, t.drop_columns(["up"])), STATE_SQL)
-    merged = tree.groupBy("doc_id").applyInArrow(final, FIGURES_SQL)
-    return short.unionByName(merged).dropDuplicates(["doc_id"])
+    states = short.unionByName(long).mapInArrow(counted, STATE_SQL)
+    # of chunks delivered twice the longest run comes first; a run of the other delivery goes on where it ends
+    ordered = states.repartition("doc_id").sortWithinPartitions("doc_id", "part", F.col("last").desc())
+    return ordered.mapInArrow(merged, STATE_SQL).select("doc_id", *FIGURES.names)
 
 
 def shapes_found(docs: DataFrame, common_words: DataFrame) -> DataFrame:
