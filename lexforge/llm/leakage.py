@@ -1,20 +1,27 @@
 """Problem 6: passages of evaluation texts inside training documents.
 
 Documents are read in shards of words; each shard gets an FM-index over its word symbols (suffix array, BWT, a
-wavelet matrix for ranks, sampled suffix positions). Phrases of PHRASE words of the items that hold a rare word are
-searched backwards in all shards at once; their occurrences are located from the sampled positions. Where phrases
-with at least two different rare words of an item lie close together, the passage is aligned with the item exactly
-(a banded alignment), and what reaches LEAST running words with few errors is a leak; its span is for removal.
+wavelet matrix for ranks, sampled suffix positions). Phrases of the items are searched backwards in all shards at
+once; their occurrences are located from the sampled positions. Every passage of an item is covered by one of two
+kinds of phrases: PHRASE words with a rare word, where a passage has two telling words (rare ones and numbers);
+the passage itself, all LEAST words of it, where it hasn't. Where phrases with at least two telling words of an item
+lie close together, the passage is aligned with the item exactly (a banded alignment), and what reaches LEAST
+running words with few errors is a leak; a whole phrase of LEAST words is one as it stands. Spans are for removal.
+
+A word is rare if few different items hold it (RARE of them, or one in RARE_SHARE), so that copies of an item
+under other ids and larger collections change nothing.
 
 Words are compared by the skeleton of their letters without case and punctuation, so spacing, case, punctuation and
 character forms don't matter. Words outside the items' vocabulary are one symbol, as no phrase holds them.
 
 Defined results: null and empty texts give nothing; a document given twice gives its rows once; items shorter than
-LEAST words can't leak; other columns are ignored. The items are a fixed table, whose size is checked.
+LEAST words can't leak; other columns are ignored. Items are searched in blocks of BLOCK, each of which is sent to
+the executors; every further block reads the documents once more.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
 from collections.abc import Iterator
@@ -28,8 +35,10 @@ from lexforge.llm.spelling import skeleton
 from lexforge.session import small_rows
 
 PHRASE = 4
-#: A word is rare if no more items than this hold it.
-RARE = 4
+#: A word is rare if no more different items than this hold it, or no more than one item in RARE_SHARE.
+RARE, RARE_SHARE = 4, 80
+#: Items that are searched at once.
+BLOCK = 20_000
 #: Running words of an item that make a passage.
 LEAST = 20
 #: Words of a shard.
@@ -162,25 +171,58 @@ class FMIndex:
         return out
 
 
+class Phrases:
+    """Different phrases of n words, and the items and places that each one stands at."""
+
+    def __init__(self, found: dict[tuple, list[tuple[int, int]]], n: int):
+        self.words = np.array(list(found), np.int64).reshape(-1, n)
+        places = list(found.values())
+        self.counts = np.array([len(x) for x in places], np.int64)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.item = np.array([k for x in places for k, _ in x], np.int64)
+        self.at = np.array([q for x in places for _, q in x], np.int64)
+
+    def seeds(self, index: FMIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the text, item, place in the item) of every occurrence."""
+        lo, hi = index.search(self.words)
+        hit = np.flatnonzero(hi > lo)
+        if not len(hit):
+            return (np.zeros(0, np.int64),) * 3
+        counts = (hi - lo)[hit]
+        rows = np.repeat(lo[hit], counts) + (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
+        at = index.locate(rows)
+        which = np.repeat(hit, counts)
+        many = self.counts[which]
+        seed = np.repeat(np.arange(len(which)), many)
+        flat = self.starts[which][seed] + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+        return at[seed], self.item[flat], self.at[flat]
+
+
 class Items:
-    """The items' words as symbols, their phrases with a rare word, and where these stand."""
+    """The items' words as symbols, their phrases, and where these stand.
+
+    shared: words that are too frequent among the items to be rare.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], shared: frozenset):
         self.ids = [i for i, _ in items]
         words = [[w for w in map(word_key, (t or "").split()) if w] for _, t in items]
         self.symbol: dict[str, int] = {}
-        held: dict[str, int] = {}
         for ws in words:
             for w in ws:
                 self.symbol.setdefault(w, len(self.symbol) + 2)
-            for w in set(ws):
-                held[w] = held.get(w, 0) + 1
         self.size = len(self.symbol) + 2
         self.words = [np.array([self.symbol[w] for w in ws], np.int64) for ws in words]
         self.rare = np.zeros(self.size, bool)
-        for w, n in held.items():
-            self.rare[self.symbol[w]] = n <= RARE and not w.isdigit()
+        for w, x in self.symbol.items():
+            self.rare[x] = w not in shared and not w.isdigit()
+        #: Words that tell sentences of one build apart: rare ones and numbers.
+        self.telling = self.rare.copy()
+        for w, x in self.symbol.items():
+            if any(c.isdigit() for c in w):
+                self.telling[x] = True
         phrases: dict[tuple, list[tuple[int, int]]] = {}
+        passages: dict[tuple, list[tuple[int, int]]] = {}
         for k, ws in enumerate(self.words):
             if len(ws) < LEAST:
                 continue
@@ -188,17 +230,11 @@ class Items:
                 part = ws[p : p + PHRASE]
                 if self.rare[part].any():
                     phrases.setdefault(tuple(part.tolist()), []).append((k, p))
-        self.phrases = np.array(list(phrases), np.int64).reshape(-1, PHRASE)
-        places = list(phrases.values())
-        self.place_counts = np.array([len(x) for x in places], np.int64)
-        self.place_starts = np.cumsum(self.place_counts) - self.place_counts
-        self.place_item = np.array([k for x in places for k, _ in x], np.int64)
-        self.place_at = np.array([q for x in places for _, q in x], np.int64)
-        #: Words that tell sentences of one build apart: rare ones and numbers.
-        self.telling = self.rare.copy()
-        for w, x in self.symbol.items():
-            if any(c.isdigit() for c in w):
-                self.telling[x] = True
+            tell = np.cumsum(np.append(0, self.telling[ws]))
+            for p in np.flatnonzero(tell[LEAST:] - tell[:-LEAST] < 2).tolist():
+                passages.setdefault(tuple(ws[p : p + LEAST].tolist()), []).append((k, p))
+        self.phrases = Phrases(phrases, PHRASE)
+        self.passages = Phrases(passages, LEAST)
         self.cache: dict[str, int] = {}
 
     def promising(self, k: int, at: np.ndarray) -> bool:
@@ -275,39 +311,53 @@ def near_enough(item: np.ndarray, doc: np.ndarray, shift: int) -> bool:
     return len(item) >= LEAST and bool((c[LEAST:] - c[:-LEAST] >= LEAST - MISSED).any())
 
 
+def unbroken(item: np.ndarray, doc: np.ndarray, shift: int) -> int:
+    """The most running words of the item that stand in the document as they are, within BAND of the diagonal."""
+    most = 0
+    for t in range(shift - BAND, shift + BAND + 1):
+        a, b = max(0, -t), min(len(item), len(doc) - t)
+        if b - a > most:
+            other = np.flatnonzero(item[a:b] != doc[a + t : b + t])
+            most = max(most, int(np.diff(np.concatenate([[-1], other, [b - a]])).max()) - 1)
+    return most
+
+
 def leaks(docs: list[tuple[int, array, int]], items: Items) -> list[tuple[int, int, int, int, int, int, float]]:
     """(document, item, item words, errors, first, last document word, share of telling words kept) of candidates in a shard of (document, symbols, words before them), aligned."""
     starts = np.cumsum([0] + [len(s) + 1 for _, s, _ in docs])
     seq = np.full(starts[-1], OTHER, np.int64)
     for (_, s, _), at in zip(docs, starts):
         seq[at : at + len(s)] = s
-    if not len(seq) or not len(items.phrases):
+    if not len(seq) or not len(items.phrases.words) + len(items.passages.words):
         return []
     index = FMIndex(seq, items.size)
-    lo, hi = index.search(items.phrases)
-    hit = np.flatnonzero(hi > lo)
-    if not len(hit):
-        return []
-    counts = (hi - lo)[hit]
-    rows = np.repeat(lo[hit], counts) + (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
-    at = index.locate(rows)
-    which = np.repeat(hit, counts)
-    doc = np.searchsorted(starts, at, "right") - 1
-    # one row a seed: document, item, place in the item, shift between the two
-    many = items.place_counts[which]
-    seed = np.repeat(np.arange(len(which)), many)
-    flat = items.place_starts[which][seed] + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-    item, p = items.place_item[flat], items.place_at[flat]
-    d = doc[seed]
-    shift = at[seed] - starts[d] - p
-    order = np.lexsort((p, shift, item, d))
-    d, item, p, shift = d[order], item[order], p[order], shift[order]
+
+    def placed(phrases: Phrases) -> tuple:
+        """Document, item, place in the item and shift between the two of every seed, in order."""
+        at, item, p = phrases.seeds(index)
+        d = np.searchsorted(starts, at, "right") - 1
+        shift = at - starts[d] - p
+        order = np.lexsort((p, shift, item, d))
+        return d[order], item[order], p[order], shift[order]
+
+    out = []
+    # whole passages: those of one shift that overlap are one
+    d, item, p, shift = placed(items.passages)
+    if len(d):
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (p[1:] - p[:-1] > LEAST)
+        first = np.flatnonzero(new)
+        for a, b in zip(first.tolist(), (np.append(first[1:], len(d)) - 1).tolist()):
+            i, _, before = docs[d[a]]
+            out.append((i, items.ids[item[a]], int(p[b] - p[a]) + LEAST, 0, before + int(p[a] + shift[a]), before + int(p[b] + shift[b]) + LEAST - 1, 1.0))
+    d, item, p, shift = placed(items.phrases)
+    if not len(d):
+        return out
     # runs of seeds of a document and item whose shifts follow each other closely
     new = np.ones(len(d), bool)
     new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > 2)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(d))
-    out = []
     done: dict[tuple[int, int], list[int]] = {}
     for a, b in zip(first[last - first > 1].tolist(), last[last - first > 1].tolist()):
         k = int(item[a])
@@ -325,7 +375,10 @@ def leaks(docs: list[tuple[int, array, int]], items: Items) -> list[tuple[int, i
             telling = [w for w in ws[fi : fi + words] if items.telling[w]]
             there = set(docs[key[0]][1][fj : lj + 1])
             before = docs[key[0]][2]
-            out.append((docs[key[0]][0], items.ids[k], words, errors, before + fj, before + lj, sum(w in there for w in telling) / max(1, len(telling))))
+            share = sum(w in there for w in telling) / max(1, len(telling))
+            if share < KEPT_SHORT and unbroken(items.words[k], seq[starts[key[0]] : starts[key[0]] + len(docs[key[0]][1])], s) >= LEAST:
+                share = 1.0  # a passage stands there word by word, whatever follows it
+            out.append((docs[key[0]][0], items.ids[k], words, errors, before + fj, before + lj, share))
     return out
 
 
@@ -333,13 +386,43 @@ SPANS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words
 SPANS_SQL = "doc_id bigint, item_id bigint, item_words int, errors int, first_word int, last_word int"
 
 
-def passages(docs: DataFrame, eval_items: DataFrame, least: int = LEAST, shard_words: int = SHARD) -> DataFrame:
+def shared_words(items: DataFrame) -> frozenset:
+    """Words that more than RARE different items hold, and more than one in RARE_SHARE: at most RARE_SHARE times the mean words of an item, whatever their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[], []]
+            for t in b.column(0).to_pylist():
+                ws = [w for w in map(word_key, t.split()) if w]
+                key = int.from_bytes(hashlib.blake2b(" ".join(ws).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+                for w in set(ws):
+                    out[0].append(key)
+                    out[1].append(w)
+            yield pa.RecordBatch.from_pydict({"item": pa.array(out[0], pa.int64()), "word": pa.array(out[1], pa.string())})
+
+    held = items.select("text").mapInArrow(run, "item bigint, word string").distinct()
+    most = max(RARE, held.select("item").distinct().count() // RARE_SHARE)
+    return frozenset(r[0] for r in small_rows(held.groupBy("word").count().where(F.col("count") > most).select("word"), "shared words of eval_items", 1_000_000))
+
+
+def passages(docs: DataFrame, eval_items: DataFrame, least: int = LEAST, shard_words: int = SHARD, block: int = BLOCK) -> DataFrame:
     """SPANS_SQL: every passage of at least `least` running words of an item, with the words of the document it spans."""
-    rows = [(r[0], r[1]) for r in small_rows(eval_items.where("text is not null").select("item_id", "text").distinct(), "eval_items")]
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
+    items = eval_items.where("text is not null").select("item_id", "text").distinct()
+    blocks = max(1, -(-items.count() // block))
+    shared = shared_words(items)
+    found = None
+    for k in range(blocks):
+        rows = small_rows(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k), "a block of eval_items", 4 * block)
+        got = block_passages(docs, sorted(((r[0], r[1]) for r in rows), key=str), shared, least, shard_words)
+        found = got if found is None else found.unionByName(got)
+    return found
+
+
+def block_passages(docs: DataFrame, rows: list[tuple[int, str]], shared: frozenset, least: int, shard_words: int) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast((rows, shared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(shared.value)
+        items = Items(*sent.value)
         shard: list[tuple[int, array, int]] = []
         words = 0
         overlap = 2 * max((len(w) for w in items.words), default=0) + 2 * BAND  # a longer document's parts share any passage at their border
