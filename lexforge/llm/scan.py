@@ -1,8 +1,9 @@
 """Problem 3: noise in text from scanned pages: running heads, page numbers, words broken over lines, misread characters.
 
-A line is a running head if, its page number masked, it is close to the dictionary's title (alone, or with one or
-two guide words), or if it prints two guide words; `running_heads` counts the masked lines that return on several
-pages, which shows the heads of a dictionary but isn't asked by noise_found. Words are grouped by the skeleton of their
+The first and last lines of pages are masked (digits as #, confusable glyphs as one prototype) and counted by
+dictionary: a masked line with a number or the title that returns on RETURNS of its pages or more is a running head
+(`returning_heads`; headings of chapters return as well, without either), and so is a line close to the dictionary's title, which its heads print and which tells them where a dictionary has few
+pages, or one that prints two guide words, which differ from page to page. Words are grouped by the skeleton of their
 confusable glyphs; a word outside the vocabulary is misread if its group holds a frequent form of a target
 language from which known confusions make it, if a neighbour is a word of a target language or a number, and if it
 is no word of a source language. A line-end hyphen is noise unless the vocabulary has
@@ -143,9 +144,14 @@ def strip(t: str) -> str:
     return t.strip(OUTER)
 
 
+#: Share of a dictionary's pages, and number of them, on which a masked line returns to be a running head.
+RETURNS, LEAST_PAGES = 0.05, 3
+DIGITS = re.compile(r"\S*\d\S*")
+
+
 def masked(line: str) -> str:
-    """A line with digits masked and letters folded, for counting running heads."""
-    return re.sub(r"\d+", "9", " ".join(line.split())).lower()
+    """A line for counting running heads: small letters, what holds digits as #, confusable glyphs as their prototype."""
+    return DIGITS.sub("#", " ".join(line.split()).lower()).translate(SINGLE)
 
 
 def is_head(line: str, title: str) -> bool:
@@ -187,7 +193,7 @@ def page_no(line: str, page: int | None, edge: bool) -> bool:
     return bool(re.match(r"^\W*[OolIi|!SBZ]{1,3}\W*$", line)) and edge and (page is None or len(core) == len(str(page)))
 
 
-def analyse(text: str, title: str, page: int | None, words: Words, repair: bool = False) -> tuple[list[tuple[int, str, str, str]], list[tuple[int, int, str]]]:
+def analyse(text: str, title: str, page: int | None, words: Words, repair: bool = False, heads: frozenset = frozenset()) -> tuple[list[tuple[int, str, str, str]], list[tuple[int, int, str]]]:
     """(noise rows: line_no, noise, word, printed form), (body lines, if they are to be repaired: line_no, 1 if broken at the end, text)."""
     lines = text.split("\n")
     rows: list[tuple[int, str, str, str]] = []
@@ -197,10 +203,10 @@ def analyse(text: str, title: str, page: int | None, words: Words, repair: bool
     kinds: dict[int, str] = {}
     for k in filled:
         x = lines[k]
-        if len(x) < 120:
-            if is_head(x, title):
-                kinds[k] = "header"
-            elif len(x) < 24 and page_no(x, page, k in edges or kinds.get(k - 1) == "header" or k + 1 < len(lines) and is_head(lines[k + 1], title)):
+        if heads and x.rstrip()[-1] not in ".;,:!?" and masked(x) in heads or is_head(x, title):
+            kinds[k] = "header"
+        elif len(x) < 120:
+            if len(x) < 24 and page_no(x, page, k in edges or kinds.get(k - 1) == "header" or k + 1 < len(lines) and is_head(lines[k + 1], title)):
                 kinds[k] = "page_number"
         if k in kinds:
             rows.append((k + 1, kinds[k], "", ""))
@@ -272,13 +278,15 @@ def analyse(text: str, title: str, page: int | None, words: Words, repair: bool
     return rows, out
 
 
-def scanned(tables: dict[str, DataFrame]) -> DataFrame:
-    """table_name, row_id, dictionary, page, text of the three scanned texts; null and empty texts are left out."""
+def scanned(tables: dict[str, DataFrame], names: tuple[str, ...] = ("neighbor_pages", "stage1_projections", "layout_blocks")) -> DataFrame:
+    """table_name, row_id, dictionary, page, text of the scanned texts; null and empty texts are left out."""
     name = F.substring_index("page_id", "/", 1).alias("dictionary")
     number = lambda c: F.regexp_extract(c, r"(\d+)$", 1).try_cast("int").alias("page")
     parts = [("neighbor_pages", "neighbor_id", "transcript", "stem"), ("stage1_projections", "stage1_id", "text", "page_id"), ("layout_blocks", "block_row_id", "text", "page_id")]
     out = None
     for table, key, text, page in parts:
+        if table not in names:
+            continue
         df = tables[table].select(F.lit(table).alias("table_name"), F.col(key).cast("bigint").alias("row_id"), name, number(page), F.col(text).alias("text"))
         out = df if out is None else out.unionByName(df)
     return out.where("text is not null and text <> ''")
@@ -320,18 +328,51 @@ def titles_of(dictionaries: DataFrame) -> dict[str, str]:
     return {r[0]: r[1] or "" for r in small_rows(dictionaries.select("dictionary", "title"), "dictionaries")}
 
 
+def returning_heads(tables: dict[str, DataFrame]) -> DataFrame:
+    """dictionary, head (masked), pages, lines: masked first and last lines that return on enough pages of a dictionary.
+
+    The two first and two last filled lines of each reading count, once a delivery; only these are moved.
+    """
+    keys, values = "".join(map(chr, SINGLE)), "".join(SINGLE.values())
+    read = scanned({k: v for k, v in tables.items() if k != "layout_blocks"}, ("neighbor_pages", "stage1_projections")).where("dictionary is not null and page is not null")
+    filled = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != "")
+    edges = F.array_distinct(F.concat(F.slice("x", 1, 2), F.when(F.size("x") > 2, F.slice("x", -2, 2)).otherwise(F.array().cast("array<string>"))))
+    lines = read.select("dictionary", "page", "table_name", "row_id", filled.alias("x")).where("size(x) > 0").select("dictionary", "page", "table_name", "row_id", F.explode(edges).alias("line"))
+    lines = lines.where(~F.col("line").rlike(r"[.;,:!?]$"))
+    mask = F.translate(F.regexp_replace(F.lower("line"), r"(?U)\S*\d\S*", "#"), keys, values)
+    masks = lines.select("dictionary", "page", "table_name", "row_id", mask.alias("head")).where(F.col("head").rlike(r"\p{L}\p{L}")).distinct()
+    counted = masks.groupBy("dictionary", "head", "page").count().groupBy("dictionary", "head").agg(F.count("*").alias("pages"), F.sum("count").alias("lines"))
+    of = read.select("dictionary", "page").distinct().groupBy("dictionary").agg(F.count("*").alias("all_pages"))
+    titles = tables["dictionaries"].groupBy("dictionary").agg(F.max(F.translate(F.lower("title"), keys, values)).alias("title"))
+    often = counted.where(F.col("pages") >= LEAST_PAGES).join(of, "dictionary").where(F.col("pages") >= RETURNS * F.col("all_pages")).join(titles, "dictionary", "left")
+    # chapters' headings return too; a running head prints a number or the title
+    return often.where(F.contains("head", F.lit("#")) | F.coalesce(F.contains(F.col("head"), F.col("title")), F.lit(False))).select("dictionary", "head", "pages", "lines")
+
+
+def heads_of(tables: dict[str, DataFrame]) -> dict[str, frozenset]:
+    """Running heads by dictionary, for the executors. Their number is bounded: each page has four such lines a reading, and each head returns on RETURNS of the pages."""
+    out: dict[str, set] = {}
+    for r in small_rows(returning_heads(tables), "running heads", 200_000):
+        out.setdefault(r["dictionary"], set()).add(r["head"])
+    return {k: frozenset(v) for k, v in out.items()}
+
+
+def shared_words(tables: dict[str, DataFrame]):  # noqa: ANN201
+    """What every executor reads of the tables: vocabulary, titles and running heads, each of bounded size."""
+    return tables["field_lines"].sparkSession.sparkContext.broadcast((vocabulary(tables["field_lines"], tables.get("language_samples")), titles_of(tables["dictionaries"]), heads_of(tables)))
+
+
 def noise_candidates(tables: dict[str, DataFrame]) -> DataFrame:
     """NOISE_SQL: noise in every line, misread words not yet held against the source languages."""
-    spark = tables["field_lines"].sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary(tables["field_lines"], tables.get("language_samples")), titles_of(tables["dictionaries"])))
+    shared = shared_words(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, titles = shared.value
+        counts, titles, heads = shared.value
         words = Words(counts)
         for b in batches:
             out: list[list] = [[] for _ in NOISE]
             for table, row, name, page, text in zip(*(c.to_pylist() for c in b.columns)):
-                for line, noise, w, v in analyse(text, titles.get(name, ""), page, words)[0]:
+                for line, noise, w, v in analyse(text, titles.get(name, ""), page, words, heads=heads.get(name, frozenset()))[0]:
                     for col, x in zip(out, (table, row, line, noise, w, v)):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, NOISE)], schema=NOISE)
@@ -357,31 +398,21 @@ def noise_found(tables: dict[str, DataFrame]) -> DataFrame:
     return rows.withColumn("word", key).join(source_words(tables["field_lines"]), "word", "left_anti").select("table_name", "row_id", "line_no", "noise").distinct()
 
 
-def running_heads(tables: dict[str, DataFrame], least: int = 3) -> DataFrame:
-    """dictionary, head (digits masked), pages: masked lines that return on at least `least` pages of a dictionary, with its title in them."""
-    lines = scanned(tables).select("dictionary", "page", F.explode(F.split("text", "\n")).alias("line")).where("length(line) between 3 and 80")
-    masks = lines.select("dictionary", "page", F.regexp_replace(F.lower(F.trim(F.regexp_replace("line", r"\s+", " "))), r"\d+", "9").alias("head"))
-    titles = tables["dictionaries"].select("dictionary", F.lower("title").alias("title"))
-    counted = masks.groupBy("dictionary", "head", "page").count().groupBy("dictionary", "head").agg(F.count("*").alias("pages"), F.sum("count").alias("lines"))
-    return counted.where(F.col("pages") >= least).join(titles, "dictionary").where(F.expr("contains(head, title) or levenshtein(left(regexp_replace(head, '^[^\\\\p{L}]+|[^\\\\p{L}]+$', ''), 60), title) <= 2")).select("dictionary", "head", "pages", "lines")
-
-
 def paragraphs(tables: dict[str, DataFrame]) -> DataFrame:
     """table_name, row_id, para_no (from 1), text: scanned texts repaired and reflowed.
 
     Heads and page numbers are left out, broken words joined, misread words set right; lines run on until a blank line.
     """
-    spark = tables["field_lines"].sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary(tables["field_lines"], tables.get("language_samples")), titles_of(tables["dictionaries"])))
+    shared = shared_words(tables)
     schema = pa.schema([("table_name", pa.string()), ("row_id", pa.int64()), ("line_no", pa.int32()), ("broken", pa.int32()), ("line", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, titles = shared.value
+        counts, titles, heads = shared.value
         words = Words(counts)
         for b in batches:
             out: list[list] = [[] for _ in schema]
             for table, row, name, page, text in zip(*(c.to_pylist() for c in b.columns)):
-                for line, broken, t in analyse(text, titles.get(name, ""), page, words, True)[1]:
+                for line, broken, t in analyse(text, titles.get(name, ""), page, words, True, heads.get(name, frozenset()))[1]:
                     t = t.rstrip()
                     for col, x in zip(out, (table, row, line, broken, t.rstrip(BREAKS) if broken else t)):
                         col.append(x)
