@@ -3,7 +3,8 @@
 Documents are counted by source and exact token length. A source's budget is its share of the mix; whole passes
 over its documents come first, then for the rest the same part of every length, and the small remainder is
 filled by bounded-knapsack dynamic programming over the lengths still to be had. How many documents of each
-length are used once more is thus fixed; which ones is drawn by a seeded hash.
+length are used once more is thus fixed; which ones is drawn by a seeded hash. Where few documents share a length
+the parts round down, and the longest documents are topped up first, so the mix leans to them by up to that much.
 
 Shares are those of the targeted sources that have documents, scaled to 1: a source without documents can't
 contribute, and documents of sources without a target aren't used. The mix is as large as max_repeats allow for
@@ -147,7 +148,7 @@ def plan(counted: DataFrame, budget: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """(mix: doc_id, source, n_tokens, times (0: left out) for every document; shares: source, target_share, docs, tokens, reached_share, max_repeats).
+    """(mix: doc_id, source, n_tokens, times (1 or more) of the chosen documents; shares: source, target_share, docs, tokens, reached_share, max_repeats).
 
     targets: a fixed table (source, target_share, max_repeats), whose size is checked.
     """
@@ -171,13 +172,8 @@ def mixed(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: i
     starts = in_bucket.withColumn("before", before).join(planned, ["source", "n_tokens"]).select("source", "n_tokens", "bucket", "before", "docs", "passes", "extra")
     ranked = counted_docs.join(starts, ["source", "n_tokens", "bucket"])
     rank = F.row_number().over(W.partitionBy("source", "n_tokens", "bucket").orderBy("h", "doc_id"))
-    chosen = ranked.select("doc_id", "source", "n_tokens", (F.col("passes") + (F.col("before") + rank <= F.col("extra")).cast("bigint")).cast("int").alias("times"))
-    # every document comes out with its decision; those of sources without a target and those without tokens are used 0 times
-    aimed = F.broadcast(targets.select("source").distinct().withColumn("aimed", F.lit(True)))
-    rest = every.join(aimed, "source", "left").where("aimed is null or n_tokens = 0").select("doc_id", "source", "n_tokens", F.lit(0).alias("times"))
-    unplanned = counted_docs.join(aimed, "source").join(planned.select("source").distinct(), "source", "left_anti").select("doc_id", "source", "n_tokens", F.lit(0).alias("times"))
-    mix = chosen.unionByName(rest).unionByName(unplanned)
-    used = mix.where("times > 0").groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.col("n_tokens") * F.col("times")).alias("tokens"), F.max("times").alias("most_times"))
+    mix = ranked.select("doc_id", "source", "n_tokens", (F.col("passes") + (F.col("before") + rank <= F.col("extra")).cast("bigint")).cast("int").alias("times")).where("times > 0")
+    used = mix.groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.col("n_tokens") * F.col("times")).alias("tokens"), F.max("times").alias("most_times"))
     everything = W.partitionBy(F.lit(1))
     shares = (
         targets.join(used, "source", "left")
