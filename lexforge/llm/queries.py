@@ -44,7 +44,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.running_heads(tables(spark, sf_dir, *SCANNED))
+    return scan.returning_heads(tables(spark, sf_dir, *SCANNED))
 
 
 def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +56,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tables(spark, sf_dir, "field_lines")
-    return spelling.look_alike_groups(t["field_lines"].dropDuplicates(["line_id"]).selectExpr("line_id as row_id", "dictionary", "value as text"))
+    rows = [df.dropDuplicates(["row_id"]) for _, df in spelling.spelling_sources(tables(spark, sf_dir, "field_lines", "mdf_value_projections", "stage1_projections"))]
+    return spelling.look_alike_groups(rows[0].unionByName(rows[1]).unionByName(rows[2]))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,13 +19,22 @@ TEXTS = st.text(st.sampled_from("ab the of\n \t|;,.=—1<td>é̃"), max_size=400
 # quality (8)
 
 
+def whole_figures(text):
+    """Line by line over the whole text, without chunks or states."""
+    acc, seen = [0] * (10 + quality.N), set()
+    for line in text.split("\n"):
+        if line and (v := quality.count(line, COMMON, seen)[0])[quality.T]:
+            quality.put(acc, v, line.lstrip(), line.rstrip())
+    return quality.derive(acc, seen)
+
+
 @settings(max_examples=300, deadline=None)
 @given(TEXTS, st.integers(1, 40))
 def test_chunks_give_the_same_figures(text, size):
     parts = [quality.scan(text[i : i + size], COMMON) for i in range(0, len(text), size)] or [quality.scan("", COMMON)]
     while len(parts) > 1:
         parts = [quality.merge(*parts[i : i + 2], COMMON) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-    assert quality.finish(quality.unpack(quality.pack(parts[0])), COMMON) == quality.figures(text, COMMON)
+    assert quality.finish(quality.unpack(quality.pack(parts[0])), COMMON) == whole_figures(text)
 
 
 @pytest.mark.parametrize(
@@ -48,17 +57,25 @@ def test_long_tokens_are_counted_whole(text, size):
     for part in parts[1:]:
         state = quality.merge(state, part, COMMON)
     got = quality.finish(state, COMMON)
-    assert got == quality.figures(text, COMMON)
+    assert got == whole_figures(text) == quality.figures(text, COMMON)
     assert (got["tokens"], got["distinct_words"]) == (len(text.split()), len(set(text.split())))
 
 
+@pytest.mark.parametrize("text", ["x" * 70000 + " the end is near.", "天地玄黄。" * 20000, "well-" * 40000 + "known", "a b\n" + "q" * 200_000 + " c"])
+def test_huge_tokens_on_any_chunking(text):
+    assert quality.figures(text, COMMON) == quality.figures(text, COMMON, 1000) == quality.figures(text, COMMON, 65_536) == whole_figures(text)
+
+
 def test_quality_table(spark):
-    docs = spark.createDataFrame([(1, PROSE * 50, "x"), (1, PROSE * 50, "x"), (2, None, "x"), (3, "", "x"), (4, "\n".join("word%d" % k for k in range(4000)), "x")], "doc_id bigint, text string, shape string")
+    docs = [(1, PROSE * 50, "x"), (1, PROSE * 50, "x"), (2, None, "x"), (3, "", "x"), (4, "\n".join("word%d" % k for k in range(4000)), "x"), (5, PROSE * 300 + "\n" + "z" * 3000, "x"), (5, PROSE * 300 + "\n" + "z" * 3000, "x"), (None, "one two", "x")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, shape string")
     words = spark.createDataFrame([("en", w) for w in COMMON.common] + [(None, None)], "lang string, word string")
-    small = {r["doc_id"]: r.asDict() for r in quality.text_quality(docs, words, chunk=500).collect()}
-    whole = {r["doc_id"]: r.asDict() for r in quality.text_quality(docs, words).collect()}
-    assert small == whole and set(small) == {1, 2, 3, 4} and small[2]["words"] == 0
-    assert quality.text_quality(docs.limit(0), words).count() == 0
+    want = {i: whole_figures(t or "") for i, t, _ in docs}
+    for chunk, spread in ((quality.CHUNK, quality.SPREAD), (500, 2000), (333, 10)):
+        rows = [r.asDict() for r in quality.text_quality(df, words, chunk, spread).collect()]
+        assert len(rows) == 6 and {r.pop("doc_id"): r for r in rows} == want
+    assert want[2]["words"] == 0 and want[2]["shape"] == "prose"
+    assert quality.text_quality(df.limit(0), words).count() == 0
 
 
 # spelling (4)
@@ -132,6 +149,22 @@ def test_any_scan(text):
     assert all(1 <= r[0] <= n for r in rows) and all(1 <= b[0] <= n for b in body)
 
 
+def test_masked_lines_that_return_are_heads(spark):
+    """Heads without title or guide words are told by their return on pages; a line of one page isn't."""
+    text = lambda k: f"Letter section  {k}\n{'abcdefghij'[k] * 3} wooden ladle was kept for\nwinter. the village\nof the village {'abcdefghij'[k] * 2}.\n- {k} -"
+    pages = [(k, f"D/page_{k}", "D", text(k)) for k in range(10)] + [(3, "D/page_3", "D", text(3)), (20, "E/page_1", "E", text(1)), (21, None, None, "x"), (22, "D/page_40", "D", "")]
+    t = {
+        "stage1_projections": spark.createDataFrame(pages, "stage1_id bigint, page_id string, dictionary string, text string"), "neighbor_pages": spark.createDataFrame([(1, "D/page_2", "page_1", text(1)), (2, None, None, None)], "neighbor_id bigint, page_id string, stem string, transcript string"),
+        "layout_blocks": spark.createDataFrame([(1, "D/page_1", "Letter section 12")], "block_row_id bigint, page_id string, text string"), "dictionaries": spark.createDataFrame([("D", "Kamus Orvani")], "dictionary string, title string"),
+        "field_lines": spark.createDataFrame([(1, "D", "ge", "wooden ladle")], "line_id bigint, dictionary string, marker string, value string"),
+    }
+    heads = [tuple(r) for r in scan.returning_heads(t).collect()]
+    assert heads == [("D", scan.masked("Letter section 5"), 10, 11)]
+    rows = {tuple(r)[:4] for r in scan.noise_found(t).collect()}
+    assert {("stage1_projections", k, 1, "header") for k in range(10)} | {("neighbor_pages", 1, 1, "header"), ("layout_blocks", 1, 1, "header")} == {r for r in rows if r[3] == "header"}
+    assert scan.noise_found({k: v.limit(0) for k, v in t.items()}).count() == 0
+
+
 # truncation (2)
 
 
@@ -155,17 +188,19 @@ def test_cut_texts(spark):
 
 def test_windows_meet_copies():
     rng = random.Random(3)
-    text = "".join(rng.choice("abdefgihkmrstvw") for _ in range(1500))
+    some = lambda: truncation.letters("".join(rng.choice("abdefgihkmrstvw") for _ in range(2000)))
+    text = some()
     h, p = truncation.windows(text)
     assert p[0] == 0 and len(h) == len(p) > 8 and (np.diff(p) > 0).all()
     for k in p.tolist():  # a window's hash depends on its letters alone
         assert truncation.windows(text[k : k + truncation.PREFIX])[0][0] == h[p.tolist().index(k)]
-    a, b = truncation.windows(text[:900]), truncation.windows("xy" + text)
+    a, b = truncation.windows(text[:900]), truncation.windows(np.append(np.array([120, 121], np.uint32), text))
     last = slice(-truncation.TAIL, None)
-    assert truncation.goes_on(900, a[0][last].tolist(), a[1][last].tolist(), 1502, b[0].tolist(), b[1].tolist()) == 600
-    other = truncation.windows("".join(rng.choice("abdefgihkmrstvw") for _ in range(1500)))
+    assert truncation.goes_on(900, a[0][last].tolist(), a[1][last].tolist(), len(text) + 2, b[0].tolist(), b[1].tolist()) == len(text) - 900
+    other = truncation.windows(some())
     assert truncation.goes_on(900, a[0][last].tolist(), a[1][last].tolist(), 1500, other[0].tolist(), other[1].tolist()) is None
-    assert len(truncation.windows("short")[0]) == len(truncation.windows("")[0]) == 0
+    assert len(truncation.windows(truncation.letters("short"))[0]) == len(truncation.windows(truncation.letters(""))[0]) == 0
+    assert truncation.letters("The mo-\nrn clock 12.").tolist() == truncation.letters("the momclock").tolist() != []
 
 
 def test_copies_elsewhere_and_hot_starts(spark):
@@ -268,9 +303,23 @@ def test_leaks_are_found_and_others_not(spark):
     assert spans and all(r["last_word"] - r["first_word"] >= 15 for r in spans)
     whole = {tuple(r) for r in leakage.passages(df, ev).collect()}
     assert {tuple(r) for r in leakage.passages(df, ev, shard_words=70).collect()} >= whole
+    assert {tuple(r) for r in leakage.passages(df, ev, block=15).collect()} == whole
     assert leakage.leaks_found(df.limit(0), ev).count() == 0 and leakage.leaks_found(df, ev.limit(0)).count() == 0
 
 
+def test_items_without_rare_words_are_found(spark):
+    """Copies of an item under many ids, and items of few words that all share: whole passages are found, shorter ones aren't."""
+    rng = random.Random(11)
+    words = [f"w{chr(97 + k % 20)}{chr(97 + k // 20)}" for k in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(50)) for _ in range(120)]
+    items = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty twentyone") for k in range(50)]
+    docs = [(k, "xx " * 7 + " ".join(texts[k].split()[k % 25 : k % 25 + 22]).upper() + " yy" * 5) for k in range(0, 100, 3)]
+    docs += [(500, "a b " + items[-1][1] + " c"), (501, " ".join(texts[7].split()[3:22])), (502, " ".join(rng.choice(words) for _ in range(400)))]
+    df, ev = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {tuple(r) for r in leakage.leaks_found(df, ev).collect()}
+    assert got == {(k, k) for k in range(0, 100, 3)} | {(500, 1000 + k) for k in range(50)}
+
+
 # mixing (7)
 
 
@@ -300,9 +349,9 @@ def test_mix(spark):
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("none", 0.2, 1), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
     mix, shares = mixing.mixed(df, targets)
     rows = mix.collect()
-    assert len(rows) == len({r["doc_id"] for r in rows}) == 303
+    assert len(rows) == len({r["doc_id"] for r in rows}) and {r["source"] for r in rows} == {"a", "b"}
     most = {"a": 1, "b": 2}
-    assert all(r["times"] <= most.get(r["source"], 0) for r in rows)
+    assert all(1 <= r["times"] <= most[r["source"]] for r in rows)
     got = {r["source"]: r["reached_share"] for r in shares.collect() if r["source"]}
     assert got["a"] == pytest.approx(0.625, abs=0.01) and got["b"] == pytest.approx(0.375, abs=0.01) and got["none"] == 0
     again = {r["doc_id"]: r["times"] for r in mixing.mixed(df, targets)[0].collect()}
