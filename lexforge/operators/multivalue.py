@@ -1,9 +1,9 @@
 """Problem 5: several values packed in one field.
 
-A delimiter is inferred for each source (dictionary and field): every candidate is scored on how many
-values it cuts, on how alike the piece counts are, and on how regular the pieces are (a piece should look
-like a value: it starts with a letter or digit and is about as long as the source's uncut values).
-A value is then cut at the delimiters its own text supports, the source's scores deciding where two compete.
+Delimiters are inferred for each source (dictionary and field): every candidate is scored on how many values it
+cuts (support), on how alike the piece counts are (consistency) and on how regular the pieces are (a piece starts
+with a letter or digit). A candidate whose consistency x regularity reaches FIT delimits the source's values; values
+are cut at these delimiters alone, and of a comma and a stroke at the one of the better score where both would do.
 Brackets, quotes, additions ("esp. ...") and strokes in abbreviations and fractions are never cut.
 
 Defined results: null and empty fields, and fields of one value, give no rows; pieces that are empty after
@@ -17,7 +17,6 @@ import csv
 import io
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +30,8 @@ STROKES = frozenset({"qn/qc", "jdm/etw", "jmd/etw", "and/or", "sso/sst", "alg./a
 #: Candidates by strength; a comma or a stroke yields to any other.
 CANDIDATES = (";;", "//", ";", "|", "¦", "•", "·", "\t", "\n", "、", " / ", "/", ",")
 WEAK = (" / ", "/", ",")
+#: Consistency x regularity from which a candidate delimits a source's values.
+FIT = 0.25
 OPEN, SHUT = "([{«„“‹", ")]}»“”›"
 ENUM = re.compile(r"(?:(?<=\s)|^|(?<=[;,.\n]))\(?(?P<n>\d{1,2}|[a-z])(?P<t>[).])\s+(?=\S)")
 ADDITION = re.compile(r"\s*(?:" + "|".join(map(re.escape, ADDITIONS)) + r")(?=\s|$)", re.I)
@@ -130,8 +131,12 @@ def enumerated(s: str) -> list[str] | None:
 
 
 def pieces(value: str, scores: dict[str, float] | None = None, learned: frozenset = frozenset()) -> list[str]:
-    """The values in a field, in order, cleaned; one piece if the field holds one."""
-    scores = scores or {}
+    """The values in a field, in order, cleaned; one piece if the field holds one.
+
+    scores: those of the source's delimiters; no other candidate is cut. None: every candidate delimits, all alike.
+    """
+    if scores is None:
+        scores = dict.fromkeys(CANDIDATES, 1.0)
     s = value.strip()
     if not s:
         return []
@@ -154,7 +159,7 @@ def pieces(value: str, scores: dict[str, float] | None = None, learned: frozense
     # quoted pieces: a field in the manner of CSV
     if s.count('"') >= 2:
         for d in (";", ",", "|", "\t"):
-            if re.search(f'(?:^|{re.escape(d)})\\s*"', s) and re.search(f'"\\s*(?:$|{re.escape(d)})', s) and d in s:
+            if d in scores and re.search(f'(?:^|{re.escape(d)})\\s*"', s) and re.search(f'"\\s*(?:$|{re.escape(d)})', s) and d in s:
                 try:
                     row = next(csv.reader(io.StringIO(s, newline=""), delimiter=d, skipinitialspace=True, strict=True))
                 except (csv.Error, StopIteration):
@@ -171,20 +176,19 @@ def pieces(value: str, scores: dict[str, float] | None = None, learned: frozense
                         continue
                     return out
     mask = masked(s)
-    best = [d for d in CANDIDATES if d not in WEAK and d in s and len(cut(s, d, learned, mask)) > 1]
+    best = [d for d in CANDIDATES if d not in WEAK and d in scores and d in s and len(cut(s, d, learned, mask)) > 1]
     if ";;" in best and ";" in best:
         best.remove(";")
     out = [s]
     for d in best:
         out = [y for x in out for y in cut(x, d, learned)]
-    # a stroke with spaces separates beside other delimiters; a bare stroke or a comma only where nothing else does and the source doesn't speak against it
-    out = [y for x in out for y in cut(x, " / ", learned)]
+    # a stroke with spaces separates beside other delimiters; a bare stroke or a comma only where nothing else does
+    if " / " in scores:
+        out = [y for x in out for y in cut(x, " / ", learned)]
     if len(out) == 1:
-        weak = [(d, p) for d in ("/", ",") if len(p := [x for x in cut(s, d, learned, mask) if x.strip()]) > 1]
-        if len(weak) == 2:
-            weak.sort(key=lambda x: (-regular(x[1]), -scores.get(x[0], 0.0)))
-        if weak and regular(weak[0][1]) > 0.5:
-            out = weak[0][1]
+        weak = [(d, p) for d in ("/", ",") if d in scores and len(p := [x for x in cut(s, d, learned, mask) if x.strip()]) > 1 and regular(p) > 0.5]
+        if weak:
+            out = max(weak, key=lambda x: (regular(x[1]), scores[x[0]]))[1]
     return [x for x in (unquote(y.strip().strip(";|¦•")) for y in out) if x and any(c.isalnum() for c in x)]
 
 
@@ -206,7 +210,9 @@ def regular(parts: list[str]) -> float:
 
 
 def delimiter_scores(entries: DataFrame) -> DataFrame:
-    """source, field_name, delim, values, cut_values, score of every candidate that cuts a value: support x consistency of the piece counts x regularity of the pieces.
+    """source, field_name, delim, values, cut_values, fit, score of every candidate that cuts a value.
+
+    fit: consistency of the piece counts x regularity of the pieces; score: support x fit.
 
     In built-in expressions, pre-aggregated by source before the shuffle, so a source's share of the rows doesn't matter.
     """
@@ -221,8 +227,8 @@ def delimiter_scores(entries: DataFrame) -> DataFrame:
     got = each.groupBy("source", "field_name", "delim").agg(F.count("*").alias("cut_values"), F.avg("cuts").alias("mean_cuts"), F.stddev_pop("cuts").alias("sd"), F.sum("good").alias("good"), F.sum(F.col("cuts") + 1).alias("parts"))
     all_ = values.groupBy("source", "field_name").agg(F.count("*").alias("values")).withColumnsRenamed({"source": "_s", "field_name": "_f"})
     both = got.join(all_, got["source"].eqNullSafe(all_["_s"]) & (got["field_name"] == all_["_f"]))
-    score = F.col("cut_values") / F.col("values") * (F.lit(1.0) / (F.lit(1.0) + F.col("sd") / F.col("mean_cuts"))) * F.col("good") / F.col("parts")
-    return both.select("source", "field_name", "delim", "values", "cut_values", score.alias("score"))
+    fit = F.lit(1.0) / (F.lit(1.0) + F.col("sd") / F.col("mean_cuts")) * F.col("good") / F.col("parts")
+    return both.select("source", "field_name", "delim", "values", "cut_values", fit.alias("fit"), (F.col("cut_values") / F.col("values") * fit).alias("score"))
 
 
 def packed_fields(entries: DataFrame) -> DataFrame:
@@ -231,19 +237,18 @@ def packed_fields(entries: DataFrame) -> DataFrame:
     return entries.select("entry_id", F.col("dictionary").alias("source"), F.explode(fields).alias("f")).select("entry_id", "source", "f.*").where("value is not null and trim(value) <> ''")
 
 
-def learned_strokes(entries: DataFrame, least: int = 5, share: float = 0.8, bound: int = 5_000) -> frozenset:
-    """Token pairs around a bare stroke that hardly occur apart: abbreviations such as qn/qc. Values between delimiters vary, abbreviations don't.
+STROKE = r"([\p{L}.]+/[\p{L}\-.]+)"
+
 
-    Counted over all values; only pairs seen `least` times that make up `share` of either token's strokes are kept, and their number is checked.
+def learned_strokes(entries: DataFrame, least: int = 5, share: float = 0.8) -> DataFrame:
+    """pair: token pairs around a bare stroke that hardly occur apart: abbreviations such as qn/qc. Values between delimiters vary, abbreviations don't.
+
+    Counted over all values; only pairs seen `least` times that make up `share` of either token's strokes are kept.
     """
-    pairs = packed_fields(entries).select(F.explode(F.regexp_extract_all("value", F.lit(r"([\p{L}.]+/[\p{L}\-.]+)"), 1)).alias("pair")).groupBy(F.lower("pair").alias("pair")).count()
+    pairs = packed_fields(entries).where(F.contains("value", F.lit("/"))).select(F.explode(F.regexp_extract_all("value", F.lit(STROKE), 1)).alias("pair")).groupBy(F.lower("pair").alias("pair")).count()
     pairs = pairs.withColumn("l", F.substring_index("pair", "/", 1)).withColumn("r", F.substring_index("pair", "/", -1))
     left, right = pairs.groupBy("l").agg(F.sum("count").alias("nl")), pairs.groupBy("r").agg(F.sum("count").alias("nr"))
-    kept = pairs.where(F.col("count") >= least).join(left, "l").join(right, "r").where((F.col("count") >= share * F.col("nl")) & (F.col("count") >= share * F.col("nr")))
-    rows = kept.select("pair").limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"more than {bound} abbreviations with a stroke")
-    return frozenset(r[0].rstrip(".,;:)") for r in rows)
+    return pairs.where(F.col("count") >= least).join(left, "l").join(right, "r").where((F.col("count") >= share * F.col("nl")) & (F.col("count") >= share * F.col("nr"))).select("pair")
 
 
 #: What a field of several values holds, of all forms that pieces() splits (numbers and letters as in ENUM).
@@ -251,39 +256,46 @@ MAY_HOLD = r"(?U)[;|¦•·\t\n、/,)\]]|\d\.|(?:^|[\s\x1c-\x1f;,.(])[a-z]\.[\s\
 OUT = pa.schema([("entry_id", pa.int64()), ("field_name", pa.string()), ("value_no", pa.int32()), ("item", pa.string())])
 
 
-def split_values(entries: DataFrame, score_bound: int = 200_000) -> DataFrame:
-    """entry_id, field_name, value_no (from 1), item for every field of at least two values."""
-    spark = entries.sparkSession
-    learned = learned_strokes(entries)
-    scored = delimiter_scores(entries).where("score > 0")
-    rows = scored.limit(score_bound + 1).collect()
-    if len(rows) > score_bound:
-        raise ValueError(f"more than {score_bound} scores; give the source column fewer distinct values")
-    table: dict[tuple, dict[str, float]] = {}
-    for r in rows:
-        table.setdefault((r["source"], r["field_name"]), {})[r["delim"]] = r["score"]
-    shared = spark.sparkContext.broadcast((table, learned))
+def split_values(entries: DataFrame, bound: int = 200_000) -> DataFrame:
+    """entry_id, field_name, value_no (from 1), item for every field of at least two values.
+
+    The scores and the learned abbreviations are sent to the executors where there are at most `bound` of each; where
+    there are more, they are joined to the fields they apply to.
+    """
+    entries = entries.select(F.col("entry_id").cast("bigint"), "dictionary", "gloss", "gloss_secondary").dropDuplicates(["entry_id"])
+    # a field without any candidate, mark of enumeration or list bracket holds one value
+    packed = packed_fields(entries).where(F.col("value").rlike(MAY_HOLD)).withColumns({"scores": F.lit(None).cast("map<string,double>"), "strokes": F.lit(None).cast("array<string>")})
+    scores = delimiter_scores(entries).where(F.col("fit") >= FIT).select("source", "field_name", "delim", "score")
+    strokes = learned_strokes(entries)
+    rows, pairs = scores.limit(bound + 1).collect(), strokes.limit(bound + 1).collect()
+    table: dict[tuple, dict[str, float]] | None = {}
+    if len(rows) > bound:
+        table = None
+        maps = scores.groupBy(F.col("source").alias("_s"), F.col("field_name").alias("_f")).agg(F.map_from_entries(F.collect_list(F.struct("delim", "score"))).alias("m"))  # one entry a candidate
+        packed = packed.join(maps, packed["source"].eqNullSafe(maps["_s"]) & (packed["field_name"] == maps["_f"]), "left").withColumn("scores", F.col("m")).drop("_s", "_f", "m")
+    else:
+        for r in rows:
+            table.setdefault((r["source"], r["field_name"]), {})[r["delim"]] = r["score"]
+    learned = None
+    if len(pairs) > bound:
+        held = packed.select("entry_id", "field_name", F.explode(F.regexp_extract_all("value", F.lit(STROKE), 1)).alias("pair")).withColumn("pair", F.lower("pair")).join(strokes, "pair")
+        held = held.groupBy("entry_id", "field_name").agg(F.collect_set("pair").alias("held"))
+        packed = packed.join(held, ["entry_id", "field_name"], "left").withColumn("strokes", F.coalesce("held", "strokes"))
+    else:
+        learned = frozenset(r[0].rstrip(".,;:)") for r in pairs)
+    shared = entries.sparkSession.sparkContext.broadcast((table, learned))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores, strokes = shared.value
+        table, learned = shared.value
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for i, source, field, value in zip(*(c.to_pylist() for c in b.columns)):
-                got = pieces(value, scores.get((source, field)), strokes)
+            for i, source, field, value, own, held in zip(*(c.to_pylist() for c in b.columns)):
+                marks = learned if learned is not None else frozenset(x.rstrip(".,;:)") for x in held or ())
+                got = pieces(value, table.get((source, field), {}) if table is not None else dict(own or ()), marks)
                 if len(got) > 1:
                     for k, item in enumerate(got, 1):
                         for col, x in zip(out, (i, field, k, item)):
                             col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, OUT)], schema=OUT)
 
-    # a field without any candidate, mark of enumeration or list bracket holds one value
-    packed = packed_fields(entries.dropDuplicates(["entry_id"])).where(F.col("value").rlike(MAY_HOLD))
-    return packed.mapInArrow(run, "entry_id bigint, field_name string, value_no int, item string")
-
-
-def items_of(values: Counter) -> Counter:  # used by tests: the vocabulary of single values
-    out: Counter = Counter()
-    for v, n in values.items():
-        for p in pieces(v):
-            out[p] += n
-    return out
+    return packed.select("entry_id", "source", "field_name", "value", "scores", "strokes").mapInArrow(run, "entry_id bigint, field_name string, value_no int, item string")

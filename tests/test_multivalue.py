@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexforge.operators.multivalue import delimiter_scores, learned_strokes, pieces, split_values
+from lexforge.operators.multivalue import FIT, delimiter_scores, learned_strokes, pieces, split_values
 
 COLUMNS = "entry_id bigint, dictionary string, gloss string, gloss_secondary string, value_no string"
 
@@ -51,7 +51,7 @@ def test_empty_table(spark):
 def test_long_and_learned(spark):
     rows = [(k, "D", "give to xx/yy", None, "") for k in range(20)] + [(100, "D", "; ".join(f"word {k}" for k in range(30_000)), None, "")]
     df = spark.createDataFrame(rows, COLUMNS)
-    assert "xx/yy" in learned_strokes(df)
+    assert [r[0] for r in learned_strokes(df).collect()] == ["xx/yy"]
     got = split_values(df)
     assert got.count() == 30_000 and got.where("entry_id = 100").selectExpr("max(value_no)").first()[0] == 30_000
 
@@ -67,3 +67,20 @@ def test_filter_passes_all_that_splits(spark):
     rows = [(i, "D", v, None, None) for i, v in enumerate(held)] + [(99, "D", "Mr. Hut", None, None)]
     want = {(i, k + 1, x) for i, v in enumerate(held) if len(got := pieces(v)) > 1 for k, x in enumerate(got)}
     assert {(r["entry_id"], r["value_no"], r["item"]) for r in split_values(spark.createDataFrame(rows, COLUMNS)).collect()} == want and {(0, 1, "house"), (0, 2, "hut")} < want
+
+
+def test_the_source_decides(spark):
+    """A candidate that doesn't delimit its source's values isn't cut; without scores nothing is."""
+    assert pieces("a dog; a cat", {}) == ["a dog; a cat"]
+    assert pieces("a dog; a cat | x", {"|": 0.5}) == ["a dog; a cat", "x"]
+    assert pieces("red, blue/green hat", {",": 0.1, "/": 0.6}) == ["red, blue", "green hat"] and pieces("red, blue/green hat", {",": 0.6, "/": 0.1}) == ["red", "blue/green hat"]
+    # in D strokes stand before odd pieces and in odd numbers, in E they delimit
+    rows = [(k, "D", "a dog" + "/- ;" * (k % 9 * 3 + 1), None, "") for k in range(40)] + [(100 + k, "E", "a dog/a cat", None, "") for k in range(9)]
+    fit = {(r["source"], r["delim"]): r["fit"] for r in delimiter_scores(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert fit["E", "/"] == 1 and fit["D", "/"] < FIT
+
+
+def test_beyond_the_bound_gives_the_same(spark):
+    rows = [(k, "DE"[k % 2], ["a dog; a cat", "give to xx/yy", "one, two", "p q | r s"][k % 4], "u v/w x" if k % 3 else None, "") for k in range(60)] + [(70, None, "x y; z w", None, None)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    assert sorted(map(tuple, split_values(df, bound=0).collect())) == sorted(map(tuple, split_values(df).collect())) != []
