@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import re
 import unicodedata
 from collections.abc import Callable
@@ -99,65 +98,10 @@ def without_noise(c: Column, spaces: bool = True) -> Column:
     return F.regexp_replace(c, r"(?U)[\s\p{P}]" if spaces else r"\p{P}", "")
 
 
-def dashes(c: Column) -> Column:
-    """Page heads `X - 12 - Y` keep em dashes between their parts; every other dash is a hyphen."""
-    plain = F.regexp_replace(c, "[\u2010-\u2015\u2212]", "-")
-    return F.when(c.rlike(r"^\S.*\s[\u2014\u2013-]\s*\d+\s*[\u2014\u2013-]\s.*\S$"), F.regexp_replace(c, r"\s[\u2014\u2013-]\s*(\d+)\s*[\u2014\u2013-]\s", " — $1 — ")).otherwise(plain)
-
-
-def apostrophes(c: Column) -> Column:
-    return F.translate(c, "\u2018\u2019\u201a\u201b\u02bc\u2032\u00b4", "'''''''")
-
-
 def cuneiform_spacing(c: Column) -> Column:
     return F.regexp_replace(c, r"([\x{12000}-\x{1247F}])\s+(?=[\x{12000}-\x{1247F}])", "$1")
 
 
-def html_to_dictionary_tags(c: Column) -> Column:
-    """strong and em as b and i; b, i and N stay; other tags are dropped."""
-    c = F.regexp_replace(F.regexp_replace(c, r"(?i)<(/?)(?:strong|b)(?:\s[^<>]*)?>", "<$1b>"), r"(?i)<(/?)(?:em|i)(?:\s[^<>]*)?>", "<$1i>")
-    return F.regexp_replace(c, r"</?(?!(?:b|i|N)>)[a-zA-Z][^<>]*>", "")
-
-
-def markdown_to_dictionary_tags(c: Column) -> Column:
-    c = F.regexp_replace(F.regexp_replace(c, r"\*\*(?=\S)(.+?)(?<=\S)\*\*", "<b>$1</b>"), r"__(?=\S)(.+?)(?<=\S)__", "<b>$1</b>")
-    return F.regexp_replace(F.regexp_replace(c, r"(?<![\*\w])\*(?=\S)([^*]+?)(?<=\S)\*(?![\*\w])", "<i>$1</i>"), r"(?<![_\w])_(?=\S)([^_]+?)(?<=\S)_(?![_\w])", "<i>$1</i>")
-
-
-def stray_angles(c: Column) -> Column:
-    return F.regexp_replace(c, r"<(?!/?(?:b|i|N)>)|(?<!<b|<i|<N|</b|</i|</N)>", "")
-
-
-LATEX_GROUP = re.compile(r"\\([A-Za-z]+)\s*\{([^{}]*)\}")
-LATEX_BARE = re.compile(r"\\([A-Za-z]+)")
-JUNK_TOKENS = re.compile(r"\$\$?|\\\(|\\\)|\\\[|\\\]|&nbsp;|\ufffd")
-
-
-def unlatex(s: str) -> str:
-    """Braced groups give their text (bold and italic ones as tags), to a fixpoint; a bare command of at most six letters its name."""
-    while True:
-        t = LATEX_GROUP.sub(lambda m: f"<b>{m[2]}</b>" if m[1] in ("textbf", "mathbf", "bf") else f"<i>{m[2]}</i>" if m[1] in ("textit", "mathit", "emph", "it") else m[2], s)
-        if t == s:
-            break
-        s = t
-    return LATEX_BARE.sub(lambda m: m[1] if len(m[1]) <= 6 else "", s)
-
-
-@F.pandas_udf(T.StringType())
-def strip_garbage(s: pd.Series) -> pd.Series:
-    """Entities and LaTeX of recognised text resolved to a fixpoint, delimiters and replacement characters removed."""
-
-    def one(x: str | None) -> str | None:
-        if x is None:
-            return None
-        last = None
-        while x != last:
-            last, x = x, JUNK_TOKENS.sub("", html.unescape(unlatex(x)))
-        return x.replace("{", "").replace("}", "")
-
-    return s.map(one)
-
-
 def is_junk_line(c: Column) -> Column:
     """Blank, replacement characters, only backslashes, long digit runs, few distinct characters, one character twelve times over, or mostly CJK."""
 
@@ -173,19 +117,6 @@ def is_junk_line(c: Column) -> Column:
     return let(strip(c), of)
 
 
-def normalise_line(c: Column) -> Column:
-    """Typography of a recognised line; junk gives an empty string."""
-    c = html_to_dictionary_tags(markdown_to_dictionary_tags(strip_garbage(c)))
-    c = F.regexp_replace(stray_angles(c), r"<([bi])>\s*</\1>", "")
-    c = collapse(cuneiform_spacing(nfc(apostrophes(dashes(c)))))
-    return F.when(is_junk_line(c), "").otherwise(c)
-
-
-def renormalise_line(c: Column) -> Column:
-    """normalise_line, or the composed line where that leaves nothing."""
-    return F.coalesce(F.nullif(normalise_line(c), F.lit("")), nfc(strip(c)))
-
-
 def letter_ratios(c: Column) -> Column:
     t = F.regexp_replace(c, SPACE, "")
     n = F.greatest(F.length(t), F.lit(1))
@@ -279,3 +210,15 @@ def occurrences(text: Column, part: Column) -> Column:
 def replace_once(text: Column, old: Column, new: Column) -> Column:
     """The text with `old` replaced if it stands there exactly once, else null."""
     return F.when(occurrences(text, old) == 1, F.replace(text, old, new))
+
+
+def mdf_text(c: Column) -> Column:
+    """Record text with every line's value cleaned (mdf_value); other lines stay."""
+    line = r"^(\\[A-Za-z0-9_-]+ )(.*)$"
+    clean = lambda x: F.when(x.rlike(line), F.concat(F.regexp_extract(x, line, 1), mdf_value(F.regexp_extract(x, line, 2)))).otherwise(x)
+    return F.array_join(F.transform(F.split(c, "\n"), clean), "\n")
+
+
+def natural_key(c: Column) -> Column:
+    """Array of a name's runs of digits, padded, and of other characters, in small letters: sorts names as numbers read."""
+    return F.transform(F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), 1), lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 12, "0")).otherwise(F.lower(x)))

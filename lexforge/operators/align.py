@@ -319,3 +319,70 @@ def cost_matrix(gold: DataFrame, pred: DataFrame, keys: list[str], place: str =
     g = gold.select(*keys, F.col(place).alias("gold_idx"), collapse(F.col(text)).alias("_g"))
     p = pred.select(*keys, F.col(place).alias("pred_idx"), collapse(F.col(text)).alias("_p"))
     return g.join(p, keys).select(*keys, "gold_idx", "pred_idx", grapheme_ned(F.col("_p"), F.col("_g")).alias("ned"))
+
+
+def record_lines(gold: DataFrame, pred: DataFrame, keys: list[str], record_least: float = 0.6, line_least: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """(records, lines) of two sets of record lines (keys, record_index, line_in_record, marker, value).
+
+    records: greedy_join of the records' fingerprints. lines: keys, gold_record, gold_line, pred_record, pred_line,
+    gold_marker, pred_marker, gold_value, pred_value, similarity, status: the lines of matched records, matched one to
+    one by the ratio of their values; missing and extra lines of matched records, and all lines of records alone.
+    """
+    from lexforge.operators.mdf import records as record_rows
+
+    checkpoint_dir(gold.sparkSession)
+    gold, pred = gold.checkpoint(), pred.checkpoint()
+    found = greedy_join(record_rows(gold, keys), record_rows(pred, keys), keys, "record_index", "fingerprint", record_least).checkpoint()
+    cols = lambda df, side: df.select(*keys, F.col("record_index").alias(f"{side}_record"), F.col("line_in_record").cast("int").alias(f"{side}_line"), F.col("marker").alias(f"{side}_marker"), F.col("value").alias(f"{side}_value"))
+    g, p = cols(gold, "gold"), cols(pred, "pred")
+    matched = found.where("status = 'matched'").select(*keys, F.col("gold_idx").alias("gold_record"), F.col("pred_idx").alias("pred_record"))
+    pair = [*keys, "gold_record", "pred_record"]
+    gm, pm = g.join(matched, [*keys, "gold_record"], "left"), p.join(matched, [*keys, "pred_record"], "left")
+    # a page's records are small: the lines of a pair are compared in one grouped row of arrays
+    side = lambda df, s: df.where(f"{'pred' if s == 'gold' else 'gold'}_record is not null").groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct(f"{s}_line", f"{s}_marker", f"{s}_value"))).alias(s))
+    both = spread(side(gm, "gold").join(side(pm, "pred"), pair, "full"), *pair)
+    schema = T.StructType([f for f in both.schema.fields if f.name in pair] + [T.StructField(n, t) for n, t in (("gold_line", T.IntegerType()), ("pred_line", T.IntegerType()), ("gold_marker", T.StringType()), ("pred_marker", T.StringType()), ("gold_value", T.StringType()), ("pred_value", T.StringType()), ("similarity", T.DoubleType()), ("status", T.StringType()))])
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                key = [getattr(r, n) for n in [f.name for f in schema][: len(pair)]]
+                a, b = [list(x) if x is not None else [] for x in (r.gold, r.pred)]
+                for i, j, s in line_matches([x["gold_value"] for x in a], [x["pred_value"] for x in b], line_least):
+                    x, y = a[i] if i is not None else None, b[j] if j is not None else None
+                    rows.append([*key, x and x["gold_line"], y and y["pred_line"], x and x["gold_marker"], y and y["pred_marker"], x and x["gold_value"], y and y["pred_value"], s, "matched" if x and y else "missing" if x else "extra"])
+            yield pd.DataFrame(rows, columns=[f.name for f in schema]).astype({"gold_line": "Int32", "pred_line": "Int32"})
+
+    none = lambda t: F.lit(None).cast(t)
+    lines = both.mapInPandas(run, schema)
+    order = [*keys, "gold_record", "gold_line", "pred_record", "pred_line", "gold_marker", "pred_marker", "gold_value", "pred_value", "similarity", "status"]
+    alone_g = gm.where("pred_record is null").withColumns({"pred_line": none("int"), "pred_marker": none("string"), "pred_value": none("string"), "similarity": none("double"), "status": F.lit("missing")})
+    alone_p = pm.where("gold_record is null").withColumns({"gold_line": none("int"), "gold_marker": none("string"), "gold_value": none("string"), "similarity": none("double"), "status": F.lit("extra")})
+    return found, lines.select(*order).unionByName(alone_g.select(*order)).unionByName(alone_p.select(*order))
+
+
+def line_matches(gold: list[str], pred: list[str], least: float) -> list[tuple[int | None, int | None, float | None]]:
+    """(gold place, predicted place, ratio) of values taken by falling ratio, then places, each once; the rest alone."""
+    out, free_g, free_p = [], [], set(range(len(pred)))
+    at: dict[str, list[int]] = {}
+    for j, v in enumerate(pred):
+        at.setdefault(v or "", []).append(j)
+    for i, v in enumerate(gold):  # equal values are first in the greedy order
+        js = at.get(v or "")
+        if js:
+            j = js.pop(0)
+            free_p.discard(j)
+            out.append((i, j, 1.0))
+        else:
+            free_g.append(i)
+    left = sorted(free_p)
+    scored = sorted((-s, i, j) for i in free_g for j in left if (s := value_ratio(gold[i], pred[j], least)) >= least)
+    seen_g: set[int] = set()
+    for s, i, j in scored:
+        if i not in seen_g and j in free_p:
+            seen_g.add(i)
+            free_p.discard(j)
+            out.append((i, j, -s))
+    out += [(i, None, None) for i in free_g if i not in seen_g] + [(None, j, None) for j in sorted(free_p)]
+    return sorted(out, key=lambda x: (x[0] is None, x[0], x[1]))

@@ -144,3 +144,39 @@ def hinted(results: DataFrame, experiment: str = "experiment", flag: str = "hint
     """Adds any_hint: whether any of an experiment's pages used the hint."""
     any_ = results.groupBy(experiment).agg(F.bool_or(F.coalesce(F.col(flag), F.lit(False))).alias("any_hint"))
     return results.join(any_, experiment)
+
+
+CARRIED = T.StructType([T.StructField("text", T.StringType()), T.StructField("labels", T.ArrayType(T.StringType()))])
+
+
+def casefold_carrying(text: Column, labels: Column) -> Column:
+    """Struct (text, labels) of a text with its letters folded; a letter that folds to several passes its label to each."""
+
+    @F.pandas_udf(CARRIED)
+    def run(texts: pd.Series, marks: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, ls in zip(texts, marks):
+            parts = [c.casefold() if c.isalpha() else c for c in t or ""]
+            ls = list(ls) if ls is not None else []
+            rows.append(("".join(parts), [x for p, x in zip(parts, ls) for _ in p]))
+        return pd.DataFrame(rows, columns=["text", "labels"])
+
+    return run(text, labels)
+
+
+def normal_carrying(text: Column, labels: Column) -> Column:
+    """Struct (text, labels) in small letters, commas as semicolons, white space collapsed and trimmed, each kept character with its label.
+
+    In built-in expressions: characters and labels are filtered side by side; of a run of white space the first stays.
+    """
+    chars = F.split(F.translate(F.lower(text), ",", ";"), "")
+    pairs = F.transform(F.arrays_zip(chars.alias("c"), labels.alias("l")), lambda z: F.struct(F.when(z["c"].rlike(r"(?U)^\s$"), " ").otherwise(z["c"]).alias("c"), z["l"].alias("l")))
+    kept = F.filter(pairs, lambda z, i: (z["c"] != " ") | (i > 0) & (F.get(pairs, i - 1)["c"] != " "))
+    kept = F.when((F.size(kept) > 0) & (F.element_at(kept, -1)["c"] == " "), F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+    return F.struct(F.array_join(F.transform(kept, lambda z: z["c"]), "").alias("text"), F.transform(kept, lambda z: z["l"]).alias("labels"))
+
+
+def grapheme_labels(graphemes: Column, labels: Column) -> Column:
+    """The label of each grapheme's first code point."""
+    ends = F.aggregate(graphemes, F.array(F.lit(0)), lambda a, g: F.concat(a, F.array(F.element_at(a, -1) + F.length(g))))
+    return F.transform(F.slice(ends, 1, F.size(graphemes)), lambda i: F.get(labels, i))

@@ -145,3 +145,33 @@ def cheatsheet_issues(markers: DataFrame, column: str = "marker") -> DataFrame:
     m = markers.select(F.lower(F.regexp_replace(strip(F.col(column)), r"^\\+", "")).alias("marker"))
     bad = m.where(~F.col("marker").rlike("^[a-z][a-z0-9_-]*$")).select("marker", F.lit("invalid").alias("issue"))
     return bad.unionByName(m.groupBy("marker").count().where("count > 1").select("marker", F.lit("repeated").alias("issue")))
+
+
+def page_evaluation(records: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Figures of each page: record and marker counts (tp, fp, fn), read order of records, and edits of all values, headwords and glosses.
+
+    records, lines: those of align.record_lines. A matched line with another marker counts as wrong and as missing.
+    Values are compared as field values, in graphemes and words.
+    """
+    from lexforge.functions.text import field_value
+    from lexforge.operators.metrics import pair_counts
+    from lexforge.operators.reports import read_order_records
+
+    status = F.col("status")
+    r = records.groupBy(*keys).agg(F.count_if(status == "matched").alias("record_tp"), F.count_if(status == "extra").alias("record_fp"), F.count_if(status == "missing").alias("record_fn"))
+    inside = lines.where("gold_record is not null and pred_record is not null")
+    same = marker_class(F.col("gold_marker")) == marker_class(F.col("pred_marker"))
+    hit = status == "matched"
+    gold = F.col("gold_marker")
+    c = pair_counts(inside.withColumns({"gold": F.when(hit, field_value(F.col("gold_value"))), "pred": F.when(hit, field_value(F.col("pred_value")))}))
+    kinds = (("field", F.lit(True)), ("headword", gold.isin(*HEADWORDS)), ("gloss", gold.isin(*GLOSSES)))
+    sums = [F.coalesce(F.sum(F.when(hit & test, F.col(k))), F.lit(0)).alias(f"{name}_{k}") for name, test in kinds for k in ("edits", "gold_len", "word_edits", "gold_words")]
+    m = c.groupBy(*keys).agg(F.count_if(hit & same).alias("marker_tp"), F.count_if((hit & ~same) | (status == "extra")).alias("marker_fp"), F.count_if((hit & ~same) | (status == "missing")).alias("marker_fn"), *sums)
+    order = read_order_records(records.where(hit), keys, r.select(*keys, (F.col("record_tp") + F.col("record_fn")).alias("n_gold")))
+    zero = [f.name for f in m.schema.fields if f.name not in keys]
+    return r.join(m, keys, "left").na.fill(0, zero).join(order, keys)
+
+
+#: Markers of headwords and of glosses in page figures.
+HEADWORDS = ("lx", "se")
+GLOSSES = ("ge", "gn", "gr", "gv", "de", "dn")

@@ -109,3 +109,36 @@ def samples(rows: DataFrame, by: list[str], order: list[Column], most: int) -> D
     from pyspark.sql import Window as W
 
     return rows.withColumn("sample_no", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("sample_no") <= most)
+
+
+WORD_EDITS = T.ArrayType(T.StructType([T.StructField("language", T.StringType()), T.StructField("word_edits", T.LongType()), T.StructField("gold_words", T.LongType())]))
+
+
+@F.pandas_udf(WORD_EDITS)
+def language_word_edits(gold: pd.Series, pred: pd.Series, labels: pd.Series) -> pd.Series:
+    """Word edits by language: a changed or dropped word counts for its own label, an added one for the gold word before it (the first one's at the start)."""
+
+    def one(g: str | None, p: str | None, lab: list | None) -> list[dict]:
+        a, b = (g or "").split(), (p or "").split()
+        lab = (list(lab if lab is not None else []) + ["other"] * len(a))[: len(a)]
+        out: dict[str, list[int]] = {}
+        for x in lab:
+            out.setdefault(x, [0, 0])[1] += 1
+        if a != b:
+            for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, False).get_opcodes():
+                if op == "equal":
+                    continue
+                for w in range(i, j):
+                    out[lab[w]][0] += 1
+                if (m - k) > (j - i):
+                    at = lab[j - 1] if j else lab[0] if lab else "other"
+                    out.setdefault(at, [0, 0])[0] += (m - k) - (j - i)
+        return [{"language": x, "word_edits": e, "gold_words": n} for x, (e, n) in out.items()]
+
+    return pd.Series([one(x, y, z) for x, y, z in zip(gold, pred, labels)])
+
+
+def per_language_words(pairs: DataFrame, by: list[str], gold: str = "gold", pred: str = "pred", labels: str = "languages", reserved: tuple = ("space", "meta")) -> DataFrame:
+    """by, language, word_edits, gold_words, wer: pooled over pairs whose labels are one a gold word."""
+    e = pairs.select(*by, F.explode(language_word_edits(gold, pred, labels)).alias("e")).select(*by, "e.*").where(~F.col("language").isin(*reserved))
+    return e.groupBy(*by, "language").agg(F.sum("word_edits").alias("word_edits"), F.sum("gold_words").alias("gold_words")).withColumn("wer", ratio(F.col("word_edits"), F.col("gold_words")))

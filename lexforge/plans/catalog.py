@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexforge.functions import edit, scripts, text
+from lexforge.functions import edit, ocr, scripts, text
 from lexforge.operators import align, incremental, labels, layout, mdf, metrics, multivalue, provenance, spans, verify
 from lexforge.session import read_table
 from lexforge.streaming import events as stream
@@ -76,12 +76,12 @@ def clean_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "field_lines", "line_id").select("line_id", text.clean_text(F.col("value")).alias("cleaned"))
 
 
-@query("projection_values", "select line_id, trim(regexp_replace(regexp_replace(replace(lower(trim(value)), ',', ';'), '(?i)</?[bi]>', '', 'g'), '\\s+', ' ', 'g')) as value_norm from (select distinct line_id, value from field_lines where regexp_full_match(value, '[\\x20-\\x7e]*'))")
+@query("projection_values", "select line_id, regexp_replace(regexp_replace(regexp_replace(replace(lower(nfc_normalize(value)), ',', ';'), '</?[bi]>', '', 'g'), '[\\s\\p{Z}\\x0b\\x1c-\\x1f\\x85]+', ' ', 'g'), '^ +| +$', '', 'g') as value_norm from (select distinct line_id, value from field_lines)")
 def projection_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "field_lines", "line_id").select("line_id", text.projection_value(F.col("value")).alias("value_norm"))
 
 
-@query("homoglyph_values", "select line_id, replace(lower(trim(translate(value, 'Bpə', 'Врә'))), ',', ';') as folded from (select distinct line_id, value from field_lines where marker in ('lx', 'cf') and not regexp_matches(value, '[^\\x20-\\x7eə]'))")
+@query("homoglyph_values", "select line_id, replace(lower(regexp_replace(translate(value, 'Bpə', 'Врә'), '^[\\s\\p{Z}\\x0b\\x1c-\\x1f\\x85]+|[\\s\\p{Z}\\x0b\\x1c-\\x1f\\x85]+$', '', 'g')), ',', ';') as folded from (select distinct line_id, value from field_lines)")
 def homoglyph_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "field_lines", "line_id").select("line_id", text.homoglyphs(F.col("value")).alias("folded"))
 
@@ -129,13 +129,13 @@ def letter_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("typography")
 def typography(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = pages(spark, sf_dir).select("stage1_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("stage1_id", "line_no", text.renormalise_line(F.col("line")).alias("normal"))
+    return lines.select("stage1_id", "line_no", ocr.renewed_line(F.col("line")).alias("normal"))
 
 
 # characters and scripts
 
 
-@query("grapheme_lengths", "select doc_id, length_grapheme(text) as n from documents where not regexp_matches(text, '[\\x{80}-\\x{9f}]')")
+@query("grapheme_lengths", "select doc_id, length_grapheme(regexp_replace(text, '[\\x{80}-\\x{9f}]', chr(10), 'g')) as n from documents")
 def grapheme_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", F.size(text.graphemes(F.col("text"))).cast("bigint").alias("n"))
 
@@ -226,14 +226,14 @@ def projected_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # predicates
 
-NOISE = (("replacement", "�"), ("backslash", r"\\\\"), ("html_tag", "</?[a-zA-Z][^<>]*>"), ("markdown", r"\*\*|__"), ("dollar", r"\$"), ("soft_break", "[¬=‐]$"), ("digits_only", r"^\W*\d+\W*$"), ("wide_gap", r"\S {3,}\S"))
+#: The patterns of the audit that RE2 can't say, otherwise.
+OTHERWISE = {"stray_lt": r"regexp_matches(regexp_replace(line, '(?i)</?(b|i)\b|</?N>', '', 'g'), '<')", "char_repeat": "list_any_value(list_filter(range(greatest(length(line) - 10, 1)), lambda i: line[i + 1] <> '' and line[i + 1:i + 12] = repeat(line[i + 1], 12))) is not null"}
 
 
-@query("noise_audit", "with l as (select stage1_id, unnest(string_split(text, chr(10))) as line from (select distinct stage1_id, text from stage1_projections)) select pattern, count(*) as hits from l, (values " + ", ".join(f"('{n}', '{p.replace(chr(92) * 4, chr(92) * 2)}')" for n, p in NOISE) + ") as p(pattern, rx) where regexp_matches(line, rx) group by pattern")
+@query("noise_audit", "with l as (select stage1_id, unnest(string_split(text, chr(10))) as line from (select distinct stage1_id, text from stage1_projections)) select pattern, hits from (" + " union all ".join(f"select '{n}' as pattern, count(*) as hits from l where " + OTHERWISE.get(n, f"regexp_matches(line, '{p}')") for n, p in ocr.AUDIT) + ") where hits > 0")
 def noise_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = pages(spark, sf_dir).select(F.explode(F.split("text", "\n")).alias("line"))
-    hits = F.array_compact(F.array(*[F.when(F.col("line").rlike(p.replace("\\" * 4, "\\" * 2)), n) for n, p in NOISE]))
-    return lines.select(F.explode(hits).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("hits"))
+    return lines.select(F.explode(ocr.audit_hits(F.col("line"))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("hits"))
 
 
 @query("junk_lines", "with l as (select distinct d.doc_id, unnest(string_split(d.text, chr(10))) as line, unnest(range(len(string_split(d.text, chr(10))))) as line_no from documents d), t as (select doc_id, line_no, regexp_replace(line, '^[\\s\\p{Z}\\x0b\\x1c-\\x1f\\x85]+|[\\s\\p{Z}\\x0b\\x1c-\\x1f\\x85]+$', '', 'g') as t from l) select doc_id, line_no from t where t = '' or contains(t, '�') or regexp_matches(t, '^[\\\\\\s]+$') or (length(t) >= 80 and length(regexp_replace(t, '[^0-9]', '', 'g')) >= 0.85 * length(regexp_replace(t, '[\\s\\p{Z}]', '', 'g'))) or (length(t) > 200 and len(list_distinct(string_split(t, ''))) <= 8) or (length(t) >= 80 and length(regexp_replace(t, '[^一-鿿]', '', 'g')) >= 0.55 * length(t) and length(regexp_replace(t, '[^A-Za-z]', '', 'g')) <= 0.15 * length(t)) or list_any_value(list_filter(range(greatest(length(t) - 10, 1)), lambda i: t[i + 1] <> '' and t[i + 1:i + 12] = repeat(t[i + 1], 12))) is not null")

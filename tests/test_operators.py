@@ -10,7 +10,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from lexforge.functions import edit, scripts, text
+from lexforge.functions import edit, ocr, scripts, text
 from lexforge.operators import align, incremental, layout, mdf, metrics, provenance, spans, verify
 from lexforge.plans import catalog
 from lexforge.sources import files
@@ -25,10 +25,10 @@ def one(spark, value, expr, kind="string"):
     "f, value, want",
     [
         (text.strip_tags, 'a <b>x</b> <a href="q">y', 'a x <a href="q">y'), (text.collapse, "  a   b\n", "a b"), (text.line_text, "a , b ( c )", "a, b( c)"), (text.clean_text, "é <i>x</i> !", "é x!"), (text.homoglyphs, " Bəp,P ", "вәр;p"),
-        (text.field_value, " A <b>x</b>, y ", "a x; y"), (text.projection_value, "Bp, Q", "bp; q"), (text.scoring_value, "ab, c.", "abc"), (text.casefold_letters, "Straße İΣ1", "strasse i̇σ1"), (text.apostrophes, "l’eau", "l'eau"),
-        (text.dashes, "a – b", "a - b"), (text.dashes, "FOO — 12 — BAR", "FOO — 12 — BAR"), (text.mdf_value, "<b>a</b> b. !? ", "a b"), (text.strip_fence, "```text\n\\lx a\n```", "\\lx a"), (text.markdown_to_dictionary_tags, "**a** *b* 2*3*4", "<b>a</b> <i>b</i> 2*3*4"),
-        (text.html_to_dictionary_tags, "<strong>a</strong><em>b</em><u>c</u><N>", "<b>a</b><i>b</i>c<N>"), (text.stray_angles, "<b>a</b> < c >", "<b>a</b>  c "), (text.strip_garbage, "\\textbf{a} &amp;amp; $x$", "<b>a</b> & x"), (text.cuneiform_spacing, "\U00012000 \U00012001 a", "\U00012000\U00012001 a"),
-        (text.extra_column, "plural_form", "Plural_Form"), (text.head_norm, "— Ａ", "- a"), (text.strip_marks, "é̂x", "ex"), (text.language_key, "Français ", "fr"), (text.normalise_line, "�", ""), (text.normalise_line, "<b></b> x’s", "x's"),
+        (text.field_value, " A <b>x</b>, y ", "a x; y"), (text.projection_value, "Bp, Q", "bp; q"), (text.scoring_value, "ab, c.", "abc"), (text.casefold_letters, "Straße İΣ1", "strasse i̇σ1"), (ocr.apostrophes, "l’eau", "l'eau"),
+        (ocr.dashes, "a – b", "a - b"), (ocr.dashes, "FOO — 12 — BAR", "FOO — 12 — BAR"), (text.mdf_value, "<b>a</b> b. !? ", "a b"), (text.strip_fence, "```text\n\\lx a\n```", "\\lx a"), (ocr.emphasis, "**a** *b* 2*3*4", "<b>a</b> <i>b</i> 2<i>3</i>4"),
+        (ocr.known_tags, "<strong>a</strong><em>b</em><u>c</u><N>", "<b>a</b><i>b</i>c<N>"), (ocr.stray_angles, "<b>a</b> < c >", "<b>a</b>  c "), (ocr.strip_noise, "\\textbf{a} &amp;amp; $x$ \\overline{\\text {q}}_{2} \\alphabeta z", "<b>a</b> &amp; x q2  z"), (text.cuneiform_spacing, "\U00012000 \U00012001 a", "\U00012000\U00012001 a"),
+        (text.extra_column, "plural_form", "Plural_Form"), (text.head_norm, "— Ａ", "- a"), (text.strip_marks, "é̂x", "ex"), (text.language_key, "Français ", "fr"), (ocr.recognised_line, "�", ""), (ocr.recognised_line, "<b></b> x’s", " x's"),
     ],
 )
 def test_scalars(spark, f, value, want):
