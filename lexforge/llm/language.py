@@ -172,7 +172,7 @@ def trained(tables: dict[str, DataFrame]) -> tuple[Model, dict, dict, dict]:
         v = tables["mdf_value_projections"].where("value is not null and primary_language like '%-%' and marker in ('lx', 'ge', 'gn', 'gr', 'xv')").select("dictionary", "marker", "value", "primary_language", "value_id")
         # a bounded sample: one value by hash for each label, marker and slot, reduced before the shuffle
         few = v.groupBy("primary_language", "marker", F.pmod(F.xxhash64("value_id"), F.lit(SAMPLE_VALUES)).alias("slot")).agg(F.min_by(F.struct("dictionary", "value"), F.struct(F.xxhash64("value_id"), "value_id")).alias("x"))
-        for r in small_rows(few.select("primary_language", "marker", "x.dictionary", "x.value"), "sample of values"):
+        for r in small_rows(few.select("primary_language", "marker", "x.dictionary", "x.value"), "sample of values", 1_000_000):
             if by_marker.get((r[2], r[1])) == r[0]:
                 texts.append(r[3])
                 labels.append(r[0])
@@ -182,6 +182,28 @@ def trained(tables: dict[str, DataFrame]) -> tuple[Model, dict, dict, dict]:
 # documents
 
 
+def sentence_spans(text: str) -> list[tuple[int, int]]:
+    """Start and end of sentences, white space between them left out; pieces of fewer than three words join the next, the last one the sentence before."""
+    cuts = [0, *(m.end() for m in SENTENCE.finditer(text)), len(text)]
+    out: list[tuple[int, int]] = []
+    held = None
+    for a, b in zip(cuts, cuts[1:]):
+        piece = text[a:b]
+        if not piece.strip():
+            continue
+        start = held if held is not None else a + len(piece) - len(piece.lstrip())
+        end = a + len(piece.rstrip())
+        held = None
+        if len(text[start:end].split()) < 3:
+            held = start
+            last = end
+            continue
+        out.append((start, end))
+    if held is not None:
+        out[-1:] = [(out[-1][0], last)] if out else [(held, last)]
+    return out
+
+
 def sentences(text: str) -> list[str]:
     """Sentences in order; pieces of fewer than three words join the next."""
     out, held = [], ""
@@ -202,7 +224,11 @@ def sentences(text: str) -> list[str]:
 
 def judge_documents(texts: list[str], model: Model, targets: list[int], others: list[int], codes: list[str], common: dict) -> list[list[tuple[str, float]]]:
     """For each text the (code or '', confidence) of its sentences. Words of source languages don't count; common words count for theirs."""
-    sents = [sentences(t) for t in texts]
+    return judge_sentences([sentences(t) for t in texts], model, targets, others, codes, common)
+
+
+def judge_sentences(sents: list[list[str]], model: Model, targets: list[int], others: list[int], codes: list[str], common: dict, least: int = 2) -> list[list[tuple[str, float]]]:
+    """judge_documents of texts given as sentences; a sentence needs `least` words of a target language."""
     words = [[w.lower() for w in LETTERS.findall(s)] for ss in sents for s in ss]
     model.learn({w for ws in words for w in ws})
     n = len(model.rows)
@@ -219,7 +245,7 @@ def judge_documents(texts: list[str], model: Model, targets: list[int], others:
     best = total.argmax(1)
     e = np.exp(2.0 * (total - total.max(1)[:, None]))
     sure = e.max(1) / e.sum(1)
-    flat = [(codes[k], float(p)) if c >= 2 else ("", 0.0) for k, p, c in zip(best.tolist(), sure.tolist(), counted.tolist())]
+    flat = [(codes[k], float(p)) if c >= least else ("", 0.0) for k, p, c in zip(best.tolist(), sure.tolist(), counted.tolist())]
     out, at = [], 0
     for ss in sents:
         out.append(flat[at : at + len(ss)])
@@ -414,8 +440,12 @@ def path(own: list[list[float]], marks: list[bool], firsts: list[bool]) -> list[
     return out[::-1]
 
 
+#: Different words that must be wrongly labelled on a page: one or two may be words that languages share ("in").
+KINDS = 3
+
+
 def page_languages(pages: DataFrame, common_words: DataFrame, shared, least: int = 4) -> DataFrame:  # noqa: ANN001
-    """LANG_SQL: languages of each page; named is false where at least `least` of its words carry no label or one that isn't theirs."""
+    """LANG_SQL: languages of each page; named is false where at least `least` of its words, KINDS of them different, carry no label or one that isn't theirs."""
     by = spoken(common_words)
     rows = pages.where("text is not null and text <> ''").select(F.col("stage1_id").cast("bigint"), "dictionary", "text", "languages")
 
@@ -433,8 +463,8 @@ def page_languages(pages: DataFrame, common_words: DataFrame, shared, least: int
                 options = [at[x] for x in [source, *targets] if x in at] or list(range(len(labels)))
                 carried = marks[k].as_py() or []
                 wrong: dict[int, int] = {}
-                total: dict[int, list[float]] = {}
                 kinds: dict[int, set] = {}
+                total: dict[int, list[float]] = {}
                 for s, e, o, margin in judge_page(text, model, options, title, common):
                     label = labels[options[o]]
                     total.setdefault(o, []).append(margin)
@@ -445,7 +475,7 @@ def page_languages(pages: DataFrame, common_words: DataFrame, shared, least: int
                         wrong[o] = wrong.get(o, 0) + 1
                         kinds.setdefault(o, set()).add(text[s:e])
                 for o, ms in total.items():
-                    out.append(("stage1_projections", i, labels[options[o]], float(1 / (1 + np.exp(-4 * np.mean(ms)))), wrong.get(o, 0) < least or len(kinds[o]) < 3))
+                    out.append(("stage1_projections", i, labels[options[o]], float(1 / (1 + np.exp(-4 * np.mean(ms)))), wrong.get(o, 0) < least or len(kinds[o]) < KINDS))
             yield emit(out)
 
     return rows.mapInArrow(run, LANG_SQL)
@@ -466,3 +496,80 @@ def languages(tables: dict[str, DataFrame], unnamed_only: bool = False) -> DataF
 def languages_found(tables: dict[str, DataFrame]) -> DataFrame:
     """p1_found: table_name, row_id, lang_found of languages that the rows don't name."""
     return languages(tables, unnamed_only=True).where("not named").select("table_name", "row_id", "lang_found").distinct()
+
+
+SEGMENT = pa.schema([("table_name", pa.string()), ("row_id", pa.int64()), ("segment_no", pa.int32()), ("start_at", pa.int32()), ("end_at", pa.int32()), ("language", pa.string()), ("confidence", pa.float64())])
+SEGMENT_SQL = "table_name string, row_id bigint, segment_no int, start_at int, end_at int, language string, confidence double"
+
+
+def runs(parts: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """(start, end, language, mean confidence) of successive parts in one language; parts without one ('') go with the part before, the first with the one after."""
+    out: list[list] = []
+    for a, b, name, p in parts:
+        if out and (name in ("", out[-1][2]) or not out[-1][2]):
+            out[-1][1] = b
+            out[-1][2] = out[-1][2] or name
+            if name:
+                out[-1][3].append(p)
+        else:
+            out.append([a, b, name, [p] if name else []])
+    return [(a, b, name, float(np.mean(ps)) if ps else 0.0) for a, b, name, ps in out]
+
+
+def segments(tables: dict[str, DataFrame]) -> DataFrame:
+    """SEGMENT_SQL: every document, value and page as segments [start_at, end_at) of one language each, with a confidence.
+
+    Documents are cut at sentences and named by code, pages at printed words and values as a whole by label. A
+    document without a sentence of two known words is one segment in the language of its words; one without any
+    known word has language null and confidence 0, as have pages without words. Empty texts give no row.
+    """
+    spark = tables["documents"].sparkSession
+    model, langs, by_marker, codes_of = trained(tables)
+    shared = spark.sparkContext.broadcast(((model.labels, model.weights), langs, by_marker, codes_of))
+    by = spoken(tables["common_words"])
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows)) if rows else [[] for _ in SEGMENT]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SEGMENT)], schema=SEGMENT)
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (labels, weights), _, _, codes_of = shared.value
+        model = Model(labels, weights)
+        targets = [k for k, x in enumerate(labels) if len(codes_of.get(x, "")) == 2]
+        others = [k for k in range(len(labels)) if k not in targets]
+        codes = [codes_of[labels[k]] for k in targets]
+        common = {w: codes.index(next(iter(c))) for w, c in by.items() if len(c) == 1 and next(iter(c)) in codes and len(w) > 1}
+        neat = lambda t: t if t.isascii() or not ODD.search(t) else plain(t)[0]
+        for b in batches:
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            spans = [sentence_spans(t) for t in texts]
+            judged = judge_sentences([[neat(t[a:e]) for a, e in ss] for t, ss in zip(texts, spans)], model, targets, others, codes, common)
+            alone = [k for k, j in enumerate(judged) if not any(c for c, _ in j)]
+            whole = dict(zip(alone, judge_sentences([[neat(texts[k])] for k in alone], model, targets, others, codes, common, 1))) if alone else {}
+            rows = []
+            for k, (i, t, ss, j) in enumerate(zip(ids, texts, spans, judged)):
+                parts = [(0, len(t), *whole[k][0])] if k in whole else [(a, e, c, p) for (a, e), (c, p) in zip(ss, j)]
+                rows += [("documents", i, n, a, e, c or None, p) for n, (a, e, c, p) in enumerate(runs(parts), 1)]
+            yield batch(rows)
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (labels, weights), langs, _, codes_of = shared.value
+        model = Model(labels, weights)
+        at = {x: k for k, x in enumerate(labels)}
+        by_code = {codes_of[x]: at[x] for x in labels if x in codes_of}
+        common = {w: by_code[next(iter(c))] for w, c in by.items() if len(c) == 1 and len(w) > 1 and next(iter(c)) in by_code}
+        for b in batches:
+            rows = []
+            for i, name, text in zip(*(c.to_pylist() for c in b.columns)):
+                source, targets, title = langs.get(name, ("", [], ""))
+                options = [at[x] for x in [source, *targets] if x in at] or list(range(len(labels)))
+                found = [(a, e, labels[options[o]], float(1 / (1 + np.exp(-4 * m)))) for a, e, o, m in judge_page(text, model, options, title, common)]
+                rows += [("stage1_projections", i, n, a, e, c or None, p) for n, (a, e, c, p) in enumerate(runs(found or [(0, len(text), "", 0.0)]), 1)]
+            yield batch(rows)
+
+    docs = tables["documents"].where("text is not null and text <> ''").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(documents, SEGMENT_SQL)
+    printed = tables["stage1_projections"].where("text is not null and text <> ''").select(F.col("stage1_id").cast("bigint"), "dictionary", "text").mapInArrow(pages, SEGMENT_SQL)
+    size = tables["mdf_value_projections"].select(F.col("value_id").cast("bigint").alias("row_id"), F.length("value").alias("end_at"))
+    values = value_languages(tables["mdf_value_projections"], shared).join(size.dropDuplicates(["row_id"]), "row_id")
+    values = values.select("table_name", "row_id", F.lit(1).alias("segment_no"), F.lit(0).alias("start_at"), "end_at", F.col("lang_found").alias("language"), "confidence")
+    return docs.unionByName(printed).unionByName(values).dropDuplicates(["table_name", "row_id", "segment_no"])

@@ -25,6 +25,10 @@ def p1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(tables(spark, sf_dir, *LABELLED)).dropDuplicates(["table_name", "row_id", "lang_found"])
 
 
+def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.segments(tables(spark, sf_dir, *LABELLED))
+
+
 CUT = ("dictionary_pages", "stage1_projections", "neighbor_pages", "dictionaries")
 
 
@@ -90,5 +94,5 @@ def p8_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_quality(t["documents"], t["common_words"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_shares": p2_shares, "p3_found": p3_found, "p3_heads": p3_heads, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_spans": p6_spans, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_figures": p8_figures}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_languages": p1_languages, "p1_segments": p1_segments, "p2_found": p2_found, "p2_shares": p2_shares, "p3_found": p3_found, "p3_heads": p3_heads, "p3_paragraphs": p3_paragraphs, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_spans": p6_spans, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_figures": p8_figures}
 SQL: dict[str, str] = {}

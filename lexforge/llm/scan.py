@@ -156,10 +156,12 @@ def masked(line: str) -> str:
 
 def is_head(line: str, title: str) -> bool:
     s = line.strip()
+    if not s or s[-1] in ".;,":
+        return False
     spaces = s.count(" ")
     if 2 <= spaces <= 6 and ("—" in s or "–" in s or " - " in s) and GUIDES.match(s) and s[-1] not in ".,;:!?)":
         return True
-    if not s or not title or spaces > 10 or spaces + 1 < title.count(" ") or len(s) > 3 * len(title) + 30 or s[-1] in ".;,":
+    if not title or spaces > 10 or spaces + 1 < title.count(" ") or len(s) > 3 * len(title) + 30:
         return False
     if len(s.split()) > title.count(" ") + 5:
         return False
