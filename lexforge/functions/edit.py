@@ -1,6 +1,6 @@
 """Edit distances over arrays of tokens in built-in expressions.
 
-Each distinct token of a pair becomes one private-use code point, so that Spark's own levenshtein counts tokens.
+Each distinct token of a pair becomes one code point of its own, so that Spark's own levenshtein counts tokens.
 """
 
 from __future__ import annotations
@@ -11,18 +11,18 @@ from pyspark.sql import functions as F
 from lexforge.functions.text import graphemes, let
 
 #: The first code point that stands for a token, and how many distinct tokens a pair may have.
-FIRST, MOST = 0xE000, 8190
+FIRST, MOST = 0xE000, 1_000_000
 
 
 def encoded(tokens: Column, alphabet: Column) -> Column:
-    return F.array_join(F.transform(tokens, lambda x: F.decode(F.unhex(F.hex(F.lit(FIRST) + F.array_position(alphabet, x).cast("int"))), "UTF-16BE")), "")
+    return F.array_join(F.transform(tokens, lambda x: F.decode(F.unhex(F.lpad(F.hex(F.lit(FIRST) + F.array_position(alphabet, x).cast("int")), 8, "0")), "UTF-32")), "")
 
 
 def token_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two arrays; null where the pair has more than MOST distinct tokens."""
+    """Levenshtein distance of two arrays; a pair of more than MOST distinct tokens raises."""
 
     def of(p: Column) -> Column:
-        distance = lambda al: F.when(F.size(al) <= MOST, F.levenshtein(encoded(p["a"], al), encoded(p["b"], al)))
+        distance = lambda al: F.when(F.size(al) > MOST, F.raise_error(F.lit("too many distinct tokens")).cast("int")).otherwise(F.levenshtein(encoded(p["a"], al), encoded(p["b"], al)))
         return F.when(p["a"] == p["b"], 0).otherwise(let(F.array_distinct(F.concat(p["a"], p["b"])), distance))
 
     return let(F.struct(a.alias("a"), b.alias("b")), of)

@@ -169,7 +169,7 @@ def ned(a: str, b: str) -> float:
     return levenshtein(ga, gb) / max(len(ga), len(gb), 1)
 
 
-#: A pair is masked below SURE, may be merged up to FUZZY, is kept up to REJECT; windows hold at most WINDOW lines.
+#: A pair is masked below SURE, may be merged up to FUZZY, is kept up to REJECT; a merge holds at most WINDOW lines.
 SURE, FUZZY, MANY, REJECT, WINDOW = 0.25, 0.6, 0.4, 0.7, 160
 
 
@@ -189,11 +189,11 @@ def match_page(gold: list[str], pred: list[str]) -> list[tuple[list[int], list[i
     merged: dict[int, list[int]] = {}
     for gi in np.flatnonzero(~sure_g):
         best = (cost[gi].min(), [])
-        for s in np.flatnonzero(~sure_p)[:WINDOW]:
+        for s in np.flatnonzero(~sure_p):
             part, text = [int(s)], pred[s]
             now = cost[gi, s]
             e = s + 1
-            while e < len(pred) and not sure_p[e] and len(text) < len(gold[gi]):
+            while e < len(pred) and e - s < WINDOW and not sure_p[e] and len(text) < len(gold[gi]):
                 longer = f"{text} {pred[e]}"
                 d = ned(longer, gold[gi])
                 if d > now or len(longer) > len(gold[gi]) * 1.2 + 2:

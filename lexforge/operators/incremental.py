@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.session import small_rows
+
 
 def valid_cache(tasks: DataFrame, cache: DataFrame, keys: list[str], stamps: list[str], version: int) -> DataFrame:
     """Cached rows of this version whose fingerprints all equal the task's."""
@@ -43,11 +45,11 @@ def prefer(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
 def sweep(axes: list[DataFrame], name: str, exclude: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """The product of configuration axes (each a small table of one column), less the excluded choices, with a name from a template of {axis}.
 
-    A rule excludes where all its non-null columns agree. Repeated names, no run at all and more than `most` runs raise.
+    A rule excludes where all its non-null columns agree. Repeated names, no run at all, more than `most` runs, and lists beyond the bound of a configuration raise.
     """
     spark = axes[0].sparkSession
     names = [a.columns[0] for a in axes]
-    values = [[r[0] for r in a.limit(10_001).collect()] for a in axes]
+    values = [[r[0] for r in small_rows(a, "an axis of the sweep")] for a in axes]
     size = reduce(lambda x, y: x * len(y), values, 1)
     if not size or most is not None and size > most:
         raise ValueError("no run" if not size else "too many runs")
@@ -58,8 +60,9 @@ def sweep(axes: list[DataFrame], name: str, exclude: DataFrame | None = None, mo
         left //= len(v)
         runs = runs.withColumn(n, F.get(F.array(*[F.lit(x) for x in v]), ((F.floor(F.col("id") / left)) % len(v)).cast("int")))
     if exclude is not None:
+        exclude = spark.createDataFrame(small_rows(exclude, "exclusions of the sweep"), exclude.schema)
         hit = reduce(lambda x, y: x & y, [F.col(f"e.{n}").isNull() | (F.col(f"e.{n}") == F.col(f"r.{n}")) for n in names if n in exclude.columns])
-        runs = runs.alias("r").join(F.broadcast(exclude.limit(10_000).alias("e")), hit, "left_anti")
+        runs = runs.alias("r").join(F.broadcast(exclude.alias("e")), hit, "left_anti")
     title = F.lit(name)
     for n in names:
         title = F.replace(title, F.lit("{" + n + "}"), F.col(n).cast("string"))

@@ -23,9 +23,11 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/lexforge-checkpoints") -> str:
-    """The cluster's shared checkpoint folder; the fallback is set only where the session names none (tests)."""
+    """The shared checkpoint folder that the session names. Where none is set, one of this machine's serves a local session (tests); on a cluster that raises."""
     at = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = fallback
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(at)
