@@ -46,3 +46,18 @@ def classify_token(scripts: Column, source: Column, targets: Column) -> Column:
     own = F.array_except(source, targets)
     other = F.array_except(targets, source)
     return F.when(F.size(letters) == 0, "punct").when(F.arrays_overlap(letters, own), "source").when(F.arrays_overlap(letters, other) & ~F.arrays_overlap(letters, source), "target").otherwise("residual")
+
+
+def char_scripts(c: Column) -> Column:
+    """One label a character: white space is `space`, every other character has the script of its token."""
+    tokens = F.regexp_extract_all(c, F.lit(r"(?U)(\s+|\S+)"), 1)
+    label = lambda t: F.when(t.rlike(r"(?U)^\s"), "space").otherwise(F.coalesce(token_script(F.transform(F.split(t, ""), base_script)), F.lit("other")))
+    return F.flatten(F.transform(tokens, lambda t: F.array_repeat(label(t), F.length(t))))
+
+
+#: Labels of annotation by script; any other script is `Other`.
+BUCKETS = {"latin": "Latin", "cyrillic": "Cyrillic", "greek": "Greek", "ipa": "IPA", "digit": "Digits", "space": "space"}
+
+
+def bucket_label(script: Column) -> Column:
+    return F.coalesce(*[F.when(F.lower(script) == k, F.lit(v)) for k, v in BUCKETS.items()], F.lit("Other"))

@@ -67,3 +67,31 @@ def sweep(axes: list[DataFrame], name: str, exclude: DataFrame | None = None, mo
     for n in names:
         title = F.replace(title, F.lit("{" + n + "}"), F.col(n).cast("string"))
     return runs.select(*names, title.alias("name"))
+
+
+def save_cache(metrics: DataFrame, path: str, version: int) -> None:
+    """Metrics with their version, over what was there."""
+    metrics.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(path)
+
+
+def load_cache(spark, path: str, version: int, schema) -> DataFrame:  # noqa: ANN001
+    """Saved metrics of this version; nothing where the cache is missing, unreadable or of another version."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        saved = spark.read.parquet(path)
+        if not {"version", *schema.names} <= set(saved.columns):
+            raise ValueError
+        return saved.where(F.col("version") == version).select(*schema.names)
+    except (AnalysisException, ValueError):
+        return spark.createDataFrame([], schema)
+
+
+def synced(stored: DataFrame, now: DataFrame, keys: list[str], value: str, path: str, dry: bool = False) -> DataFrame:
+    """now with status (new, unchanged, updated) against what is stored; rows that differ are written to path, none in a dry run."""
+    old = stored.select(*keys, F.to_json(F.struct(value)).alias("_old"), F.lit(True).alias("_there"))
+    same = F.col("_old").eqNullSafe(F.to_json(F.struct(value)))
+    got = now.join(old, keys, "left").withColumn("status", F.when(F.col("_there").isNull(), "new").when(same, "unchanged").otherwise("updated")).drop("_old", "_there")
+    if not dry:
+        got.where("status <> 'unchanged'").write.mode("overwrite").parquet(path)
+    return got

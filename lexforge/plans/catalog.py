@@ -56,7 +56,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multivalue.split_values(read_table(spark, sf_dir, "dictionary_entries"))
 
 
-@query("p5_delimiters")
+DELIMITERS = ", ".join(f"'{d}'" for d in multivalue.CANDIDATES).replace("\t", "' || chr(9) || '").replace("\n", "' || chr(10) || '")
+
+
+@query("p5_delimiters", f"with e as (select distinct entry_id, dictionary as source, gloss, gloss_secondary from dictionary_entries), v as (select source, 'gloss' as field_name, gloss as value from e union all select source, 'gloss_secondary', gloss_secondary from e), w as (select * from v where value is not null and trim(value) <> ''), x as (select source, field_name, delim, len(parts) - 1 as cuts, len(list_filter(parts, lambda p: regexp_matches(trim(p), '^[\"«„“(¿¡]?[\\p{{L}}\\p{{N}}]'))) as good from (select source, field_name, delim, string_split(value, delim) as parts from w, (select unnest([{DELIMITERS}]) as delim) where contains(value, delim))), g as (select source, field_name, delim, count(*) as cut_values, avg(cuts) as m, stddev_pop(cuts) as sd, sum(good) as good, sum(cuts + 1) as parts from x group by all), n as (select source, field_name, count(*) as values from w group by all), f as (select g.source, g.field_name, delim, values, cut_values, 1 / (1 + sd / m) * good / parts as fit from g join n on g.source is not distinct from n.source and g.field_name = n.field_name) select *, cut_values / values * fit as score from f")
 def p5_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multivalue.delimiter_scores(once(spark, sf_dir, "dictionary_entries", "entry_id"))
 
@@ -323,7 +326,7 @@ def preferred_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.prefer(first, second, ["page_id"])
 
 
-@query("cost_matrix", "with g as (select n_regionkey as k, n_nationkey as gi, n_name as g from nation) select a.k, a.gi as gold_idx, b.gi as pred_idx, levenshtein(b.g, a.g) / greatest(length(a.g), length(b.g), 1) as ned from g a join g b on a.k = b.k")
+@query("cost_matrix")
 def cost_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of a page's first reading against every line of its second one."""
     return align.cost_matrix(page_lines(pages(spark, sf_dir), "text"), page_lines(readings(spark, sf_dir), "transcript"), ["page_id"])

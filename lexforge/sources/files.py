@@ -161,10 +161,11 @@ def usage_rows(texts: DataFrame, text: str = "value") -> DataFrame:
 # sinks
 
 
-def write_flat(lines: DataFrame, path: str, page: str = "page") -> None:
+def write_flat(lines: DataFrame, path: str, page: str = "page", tail: str = "_stage1_flat.txt") -> None:
     """One text file a page: lines joined in order, a final newline if there are any; overwrites."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "line"))), lambda x: x["line"]), "\n")
-    lines.groupBy(page).agg(text.alias("value")).write.mode("overwrite").partitionBy(page).text(path)
+    pages = lines.groupBy(page).agg(text.alias("_t"))
+    write_pages(pages.select(F.concat(page, F.lit(tail)).alias("name"), F.when(F.col("_t") != "", F.concat("_t", F.lit("\n"))).otherwise("").alias("value")), path)
 
 
 def write_tsv(rows: DataFrame, path: str) -> None:
@@ -173,3 +174,57 @@ def write_tsv(rows: DataFrame, path: str) -> None:
 
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_report(rows: DataFrame, path: str, lines: DataFrame | None = None) -> None:
+    """A report as JSON and CSV under one folder, and its text lines if they are given."""
+    write_json(rows, f"{path}/json")
+    write_csv(rows, f"{path}/csv")
+    if lines is not None:
+        lines.select("line").write.mode("overwrite").text(f"{path}/text")
+
+
+def write_records_out(blocks: DataFrame, comparison: DataFrame, path: str) -> None:
+    """Record texts of pages (page_id, mdf_text) as one file a page, and the comparison with gold as JSON."""
+    write_pages(blocks.select(F.concat("page_id", F.lit(".mdf")).alias("name"), F.concat("mdf_text", F.lit("\n")).alias("value")), f"{path}/records")
+    write_json(comparison, f"{path}/comparison")
+
+
+def write_pages(texts: DataFrame, path: str) -> None:
+    """One text file a row (name, value) under a folder that all executors share; a task that is run again writes the same file.
+
+    Through the Hadoop file system where the folder's scheme has one that pyarrow knows, so nothing passes the driver.
+    """
+    from pyspark import TaskContext
+
+    def write(rows) -> None:  # noqa: ANN001
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+        made: set[str] = set()
+        tag = TaskContext.get().taskAttemptId() if TaskContext.get() else 0
+        for r in rows:
+            at = f"{base}/{r['name']}"
+            folder, _, name = at.rpartition("/")
+            if folder not in made:
+                system.create_dir(folder, recursive=True)
+                made.add(folder)
+            with system.open_output_stream(f"{folder}/.{name}.{tag}") as f:
+                f.write((r["value"] or "").encode())
+            system.move(f"{folder}/.{name}.{tag}", at)
+
+    texts.select("name", "value").foreachPartition(write)
+
+
+PROJECTION = T.StructType([T.StructField("fields", T.ArrayType(T.StructType([T.StructField("line_index", T.LongType()), T.StructField("primary_language", T.StringType())])))])
+
+
+def projection_languages(texts: DataFrame, text: str = "value") -> DataFrame:
+    """Other columns, line_index, language of projection JSON texts; lines without a language are dropped."""
+    keys = [c for c in texts.columns if c != text]
+    f = texts.select(*keys, F.explode(F.from_json(text, PROJECTION)["fields"]).alias("f"))
+    return f.select(*keys, F.col("f.line_index").alias("line_index"), F.col("f.primary_language").alias("language")).where("trim(language) <> ''")

@@ -61,3 +61,8 @@ def status_changes(events: DataFrame, run: str, order: str, status: str) -> Data
 def tail(events: DataFrame, run: str, after: int, order: str = "sequence") -> DataFrame:
     """Events of a run after a sequence, for a reader that resumes."""
     return events.where((F.col("run_id") == run) & (F.col(order) > after)).orderBy(order)
+
+
+def append(events: DataFrame, path: str, state: str, keys: tuple[str, ...] = ("run_id", "sequence"), time: str = "ts", late: str = "3650 days"):  # noqa: ANN201
+    """The running query that appends each (run, sequence) once to a Parquet store; `state` is its checkpoint folder, so a restart goes on."""
+    return deduplicated(events, list(keys), time, late).writeStream.format("parquet").option("path", path).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import functions as F
 
 from lexforge.functions import edit, ocr, scripts, text
-from lexforge.operators import align, incremental, layout, mdf, metrics, provenance, spans, verify
+from lexforge.operators import align, incremental, labels, layout, mdf, metrics, provenance, reports, spans, verify
 from lexforge.plans import catalog
 from lexforge.sources import files
 from lexforge.streaming import events
@@ -292,3 +292,98 @@ def test_stream_state(spark, tmp_path):
     q.awaitTermination()
     got = {r["run_id"]: r["status"] for r in spark.table("run_states").collect()}
     assert got == {"r": "completed", "s": "queued"}
+
+
+def distance(a, b):
+    """Edit distance of two sequences by the table of all prefixes."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_cost_matrix_against_brute_force(spark):
+    gold, pred = ["abc  d", "е́жик", "", "x"], ["abd d", "ежик", "y"]
+    side = lambda lines: spark.createDataFrame([("p", k, x) for k, x in enumerate(lines)] + [("q", 0, "same")], "page string, line_idx int, line string")
+    got = {(r["page"], r["gold_idx"], r["pred_idx"]): r["ned"] for r in align.cost_matrix(side(gold), side(pred), ["page"]).collect()}
+    cut = lambda s: regex.findall(r"\X", " ".join(s.split()))
+    want = {("p", i, j): distance(cut(g), cut(p)) / max(len(cut(g)), len(cut(p)), 1) for i, g in enumerate(gold) for j, p in enumerate(pred)} | {("q", 0, 0): 0.0}
+    assert got == pytest.approx(want)
+
+
+def test_distances_of_many_distinct_tokens(spark):
+    rng = random.Random(5)
+    a = [f"t{k}" for k in range(9000)]
+    b = a[:4000] + ["x", "y"] + a[4010:8990] + a[8995:]
+    df = spark.createDataFrame([(a, b), ([], a[:3]), (None, a)], "a array<string>, b array<string>")
+    assert [r[0] for r in df.select(edit.token_distance(F.col("a"), F.col("b"))).collect()][:2] == [15, 3]
+    for _ in range(5):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randrange(12))] for _ in range(2))
+        got = spark.createDataFrame([(x, y)], "a array<string>, b array<string>").select(edit.token_distance(F.col("a"), F.col("b"))).first()[0]
+        assert got == distance(x, y)
+
+
+def test_recognised_text(spark):
+    text = "```markdown\n# ONE ## two\n| a | **b** |\n|---|---|\n\n![x](y)\n$$x^2$$ tail\nHathiTrust page\n12\n- item • two\n[link](u) \\textbf{bold} \\foo{in}\n```\n"
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "k int, value string")
+    got = [r["line"] for r in ocr.markdown_lines(docs, ["k"]).orderBy("k", "line_idx").collect()]
+    assert got == ["ONE", "two", "a", "<b>b</b>", "tail", "item two", "link <b>bold</b> in"]
+    assert ocr.without_noise(None) is None and ocr.without_noise("\\text{a}_{2} x<i>{3}</i> [Unreadable]") == "a2  "
+
+
+def test_pages_evaluated(spark):
+    schema = "page string, record_index int, line_in_record int, marker string, value string"
+    gold = spark.createDataFrame([("p", 0, 0, "lx", "lemma"), ("p", 0, 1, "gn", "gloss one"), ("p", 0, 2, "nt", "note"), ("p", 1, 0, "lx", "other"), ("p", 1, 1, "ge", "second"), ("q", 0, 0, "lx", "alone")], schema)
+    pred = spark.createDataFrame([("p", 0, 0, "lx", "other"), ("p", 0, 1, "ge", "second"), ("p", 1, 0, "lx", "lemna"), ("p", 1, 1, "ge", "gloss one"), ("p", 1, 2, "ps", "n.")], schema)
+    records, lines = align.record_lines(gold, pred, ["page"])
+    got = {r["page"]: r.asDict() for r in mdf.page_evaluation(records, lines, ["page"]).collect()}
+    p = got["p"]
+    assert (p["record_tp"], p["record_fp"], p["record_fn"]) == (2, 0, 0) and p["read_order_edit"] == 1.0
+    assert (p["marker_tp"], p["marker_fp"], p["marker_fn"]) == (3, 2, 2)  # gn read as ge, an extra ps, a missing nt
+    assert (p["headword_edits"], p["headword_gold_len"], p["gloss_edits"]) == (1, 10, 0)
+    assert (got["q"]["record_fn"], got["q"]["read_order_edit"], got["q"]["marker_tp"]) == (1, 1.0, 0)
+    wrong = metrics.marker_confusion(lines.where("status = 'matched'"), ["page"], F.col("gold_marker"), F.col("pred_marker"), mdf.marker_class(F.col("gold_marker")) == mdf.marker_class(F.col("pred_marker"))).collect()
+    assert [(r["gold_marker"], r["pred_marker"], r["n"]) for r in wrong] == [("gn", "ge", 1)]
+
+
+def test_read_orders(spark):
+    pairs = spark.createDataFrame([("p", [0], [1]), ("p", [1, 2], [0]), ("p", [], [2]), ("p", [3], [])], "page string, gold_idx array<int>, pred_idx array<int>")
+    n = spark.createDataFrame([("p", 4), ("q", 2), ("r", 0)], "page string, n_gold int")
+    got = {r[0]: r[1] for r in reports.read_order_aligned(pairs, ["page"], n).collect()}
+    assert got == {"p": pytest.approx(distance([0, 1, 2, 3], [1, 2, 0]) / 4), "q": 1.0, "r": 0.0}
+    df = spark.createDataFrame([(["one two", "", "THREE", "four"], ["three", "one two three", "x"]), ([], ["a"])], "g array<string>, p array<string>")
+    assert [r[0] for r in df.select(reports.read_order_collapsed(F.col("g"), F.col("p"))).collect()] == [0.5, 0.0]
+
+
+def test_word_edits_by_language(spark):
+    df = spark.createDataFrame([("p", "a b c", "a x c d", ["E", "F", "F"]), ("p", "", "new", []), ("p", None, None, None)], "page string, gold string, pred string, languages array<string>")
+    got = {r["language"]: (r["word_edits"], r["gold_words"]) for r in metrics.per_language_words(df, ["page"]).collect()}
+    assert got == {"E": (0, 1), "F": (2, 2), "other": (1, 0)}
+
+
+def test_normal_labels(spark):
+    df = spark.createDataFrame([("  A,  b ", list("12345678"))], "t string, l array<string>")
+    r = df.select(labels.normal_carrying(F.col("t"), F.col("l")).alias("r")).first()["r"]
+    assert (r["text"], r["labels"]) == ("a; b", ["3", "4", "5", "7"])
+    r = spark.createDataFrame([("Straße", list("123456"))], "t string, l array<string>").select(labels.casefold_carrying(F.col("t"), F.col("l")).alias("r")).first()["r"]
+    assert (r["text"], "".join(r["labels"])) == ("strasse", "1234556")
+
+
+def test_cache_of_other_versions(spark, tmp_path):
+    df = spark.createDataFrame([("p", 1)], "page string, n int")
+    at = f"file://{tmp_path}/cache"
+    assert incremental.load_cache(spark, at, 3, df.schema).count() == 0
+    incremental.save_cache(df, at, 3)
+    assert incremental.load_cache(spark, at, 3, df.schema).collect() == df.collect() and incremental.load_cache(spark, at, 4, df.schema).count() == 0
+
+
+def test_pages_as_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a b/page_1", 0, "x"), ("a b/page_1", 1, "y"), ("c", 0, "")], "page string, line_idx int, line string")
+    files.write_flat(rows, f"file://{tmp_path}/flat")
+    assert (tmp_path / "flat/a b/page_1_stage1_flat.txt").read_text() == "x\ny\n" and (tmp_path / "flat/c_stage1_flat.txt").read_text() == ""
+    files.write_records_out(spark.createDataFrame([("p", "\\lx a")], "page_id string, mdf_text string"), rows, f"file://{tmp_path}/out")
+    assert (tmp_path / "out/records/p.mdf").read_text() == "\\lx a\n"
+    files.write_report(rows, f"file://{tmp_path}/report", rows)
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/report/csv").count() == 3
