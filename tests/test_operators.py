@@ -330,7 +330,7 @@ def test_recognised_text(spark):
     docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "k int, value string")
     got = [r["line"] for r in ocr.markdown_lines(docs, ["k"]).orderBy("k", "line_idx").collect()]
     assert got == ["ONE", "two", "a", "<b>b</b>", "tail", "item two", "link <b>bold</b> in"]
-    assert ocr.without_noise(None) is None and ocr.without_noise("\\text{a}_{2} x<i>{3}</i> [Unreadable]") == "a2  "
+    assert ocr.without_noise(None) is None and ocr.without_noise("\\text{a}_{2} x<i>{3}</i> [Unreadable]") == "a2 "
 
 
 def test_pages_evaluated(spark):
