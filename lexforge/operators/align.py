@@ -173,59 +173,109 @@ def ned(a: str, b: str) -> float:
 SURE, FUZZY, MANY, REJECT, WINDOW = 0.25, 0.6, 0.4, 0.7, 160
 
 
+def window_ned(part: str, whole: str, kept: dict) -> float | None:
+    """The least distance share of `part` to any window of its length in `whole`; None if there is no such window."""
+    n = len(part)
+    if not n or len(whole) < n:
+        return None
+    key = (part, whole)
+    if key not in kept:
+        kept[key] = min(ned(part, whole[i : i + n]) for i in range(len(whole) - n + 1)) if part not in whole else 0.0
+    return kept[key]
+
+
+def widest(gold: str, pred: list[str], start: int, closed: np.ndarray, kept: dict) -> tuple[int, ...]:
+    """The run of predicted lines from `start` that together fit a gold line: no line makes the fit worse, each is found in the gold line, and the run stops once it is longer."""
+    part, text = [start], pred[start]
+    fit = ned(text, gold)
+    found = window_ned(text, gold, kept)
+    while len(part) < WINDOW and (e := part[-1] + 1) < len(pred) and not closed[e]:
+        longer = f"{text} {pred[e]}"
+        d = ned(longer, gold)
+        if d > fit or found is None or found > FUZZY or (last := window_ned(pred[e], gold, kept)) is None or last >= FUZZY:
+            break
+        part.append(e)
+        text, fit, found = longer, d, max(found, last)
+        if len(text) > len(gold):
+            break
+    return tuple(part)
+
+
+def settled(runs: list[tuple[tuple[int, ...], float]]) -> list[tuple[int, ...]]:
+    """Runs that don't overlap: of every chain of overlapping ones, the choice with the least mean cost."""
+    chains: list[list[tuple[tuple[int, ...], float]]] = []
+    for run, cost in sorted(runs, key=lambda x: x[0][0]):
+        if chains and any(set(run) & set(r) for r, _ in chains[-1]):
+            chains[-1].append((run, cost))
+        else:
+            chains.append([(run, cost)])
+    out: list[tuple[int, ...]] = []
+    for chain in chains:
+        choices: list[dict[tuple[int, ...], float]] = []
+        for run, cost in chain:
+            placed = False
+            for c in choices:
+                if run in c:
+                    c[run] = min(c[run], cost)
+                    placed = True
+                elif not any(set(run) & set(r) for r in c):
+                    c[run] = cost
+                    placed = True
+            if not placed:
+                choices.append({run: cost})
+        out += min(choices, key=lambda c: sum(c.values()) / len(c))
+    return out
+
+
 def match_page(gold: list[str], pred: list[str]) -> list[tuple[list[int], list[int], float]]:
     """(gold places, predicted places, edit share) of a page: full on both sides, unmatched ones with an empty other side and edit 1.
 
-    Predicted neighbours are merged where together they fit a gold line better than the first alone and don't outgrow it;
-    merged lines and gold lines are assigned at least cost, poor pairs are rejected, gold lines left over may join a
-    neighbour's prediction, and what still remains is assigned at edit 1.
+    Lines that fit none surely may be merged with their neighbours (`widest`, `settled`); merged lines and gold lines are
+    assigned at least cost and poor pairs rejected. A gold line left over joins the first predicted line that
+    holds it (`MANY`); what still remains is assigned at edit 1, and predicted lines without a gold line come out
+    together. Several gold lines of one prediction are joined without a space to be scored.
     """
-    if not gold or not pred:
-        return [([k], [], 1.0) for k in range(len(gold))] + [([], [k], 1.0) for k in range(len(pred))]
+    if not gold:
+        return [([], list(range(len(pred))), 1.0)] if pred else []
+    if not pred:
+        return [([k], [], 1.0) for k in range(len(gold))]
+    if len(gold) == len(pred) == 1:
+        return [([0], [0], ned(pred[0], gold[0]))]
     cost = np.array([[ned(p, g) for p in pred] for g in gold])
     sure_g, sure_p = (cost < SURE).any(1), (cost < SURE).any(0)
-    units: list[list[int]] = []
-    k = 0
-    merged: dict[int, list[int]] = {}
-    for gi in np.flatnonzero(~sure_g):
-        best = (cost[gi].min(), [])
-        for s in np.flatnonzero(~sure_p):
-            part, text = [int(s)], pred[s]
-            now = cost[gi, s]
-            e = s + 1
-            while e < len(pred) and e - s < WINDOW and not sure_p[e] and len(text) < len(gold[gi]):
-                longer = f"{text} {pred[e]}"
-                d = ned(longer, gold[gi])
-                if d > now or len(longer) > len(gold[gi]) * 1.2 + 2:
-                    break
-                part, text, now, e = [*part, int(e)], longer, d, e + 1
-            if len(part) > 1 and now < best[0] and now < FUZZY:
-                best = (now, part)
-        if best[1] and not any(set(best[1]) & set(x) for x in merged.values()):
-            merged[int(gi)] = best[1]
-    inside = {p: tuple(part) for part in merged.values() for p in part}
-    while k < len(pred):
-        part = list(inside.get(k, (k,)))
-        units.append(part)
-        k = part[-1] + 1
-    texts = [" ".join(pred[p] for p in part) for part in units]
-    full = np.array([[cost[g, part[0]] if len(part) == 1 else ned(t, gold[g]) for part, t in zip(units, texts)] for g in range(len(gold))])
+    kept: dict = {}
+    runs = []
+    for g in np.flatnonzero(~sure_g):
+        tried = [widest(gold[g], pred, int(s), sure_p, kept) for s in np.flatnonzero(~sure_p)]
+        costs = [cost[g, r[0]] if len(r) == 1 else ned(" ".join(pred[p] for p in r), gold[g]) for r in tried]
+        if tried:
+            k = int(np.argmin(costs))
+            runs.append((tried[k], float(costs[k])))
+    inside = {p: r for r in settled(runs) for p in r}
+    units: list[tuple[int, ...]] = []
+    while (k := units[-1][-1] + 1 if units else 0) < len(pred):
+        units.append(inside.get(k, (k,)))
+    texts = [" ".join(pred[p] for p in u) for u in units]
+    full = np.array([[cost[g, u[0]] if len(u) == 1 else ned(t, gold[g]) for u, t in zip(units, texts)] for g in range(len(gold))])
     rows, cols = assignment(full)
-    pairs = {int(c): [int(r)] for r, c in zip(rows, cols) if full[r, c] <= REJECT}
-    free = [g for g in range(len(gold)) if all(g not in x for x in pairs.values())]
-    for g in free:  # several gold lines in one prediction
-        for c, held in list(pairs.items()):
-            if g in (held[0] - 1, held[-1] + 1) and len(texts[c]) > len(gold[g]):
-                n = len(gold[g])
-                windows = (texts[c][i : i + n] for i in range(len(texts[c]) - n + 1))
-                if n and min((ned(w, gold[g]) for w in windows), default=1.0) < MANY:
-                    pairs[c] = sorted([*held, g])
-                    break
-    out = [(held, units[c], ned(texts[c], "".join(gold[g] for g in held) if len(held) > 1 else gold[held[0]])) for c, held in pairs.items()]
-    used_g = {g for held in pairs.values() for g in held}
-    left_g, left_c = [g for g in range(len(gold)) if g not in used_g], [c for c in range(len(units)) if c not in pairs]
-    out += [([g], units[c], 1.0) for g, c in zip(left_g, left_c)]
-    out += [([g], [], 1.0) for g in left_g[len(left_c) :]] + [([], units[c], 1.0) for c in left_c[len(left_g) :]]
+    pairs: dict[tuple[int, ...], list[int]] = {units[c]: [int(r)] for r, c in zip(rows, cols) if full[r, c] <= REJECT}
+    free = [g for g in range(len(gold)) if not any(g in x for x in pairs.values())]
+    for p, line in enumerate(pred):  # gold lines held by a predicted line
+        held = [g for g in free if (d := window_ned(gold[g], line, kept)) is not None and d < MANY]
+        if held:
+            pairs[(p,)] = sorted([*pairs.get((p,), []), *held])
+            free = [g for g in free if g not in held]
+    edit = lambda u, held: ned(" ".join(pred[p] for p in u), "".join(gold[g] for g in held))
+    out = [(held, list(u), edit(u, held)) for u, held in pairs.items()]
+    used = {p for u in pairs for p in u}
+    left = [p for p in range(len(pred)) if p not in used]
+    if free and left:
+        rows, cols = assignment(cost[np.ix_(free, left)])
+        out += [([free[r]], [left[c]], 1.0) for r, c in zip(rows, cols)]
+        free, left = [g for k, g in enumerate(free) if k not in set(rows.tolist())], [p for k, p in enumerate(left) if k not in set(cols.tolist())]
+    out += [([g], [], 1.0) for g in free]
+    if left:
+        out.append(([], left, 1.0))
     return sorted(out, key=lambda x: (not x[1], x[1][:1], not x[0], x[0][:1]))
 
 

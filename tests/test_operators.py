@@ -387,3 +387,19 @@ def test_pages_as_files(spark, tmp_path):
     assert (tmp_path / "out/records/p.mdf").read_text() == "\\lx a\n"
     files.write_report(rows, f"file://{tmp_path}/report", rows)
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/report/csv").count() == 3
+
+
+def test_merges_of_lines():
+    gold = ["the first line of the page", "short", "another line that was printed"]
+    assert align.match_page(gold, ["the first", "line of the page", "short", "another line", "that was printed"]) == [([0], [0, 1], 0.0), ([1], [2], 0.0), ([2], [3, 4], 0.0)]
+    # a gold line inside a prediction, and predictions alone
+    got = align.match_page(["abcdefgh", "ijklmnop", "tail"], ["abcdefgh ijklmnop", "qqqqqqqqqqqq", "zzzzzzzzz", "tail"])
+    assert ([2], [3], 0.0) in got and sorted(p for _, ps, _ in got for p in ps) == [0, 1, 2, 3] and any(g == [0, 1] and p == [0] for g, p, _ in got)
+    assert align.match_page([], ["a", "b"]) == [([], [0, 1], 1.0)] and align.match_page(["abc"], ["xyz"]) == [([0], [0], 1.0)]
+    assert align.settled([((0, 1), 0.5), ((1, 2), 0.1), ((3,), 0.2), ((3,), 0.1)]) == [(1, 2), (3,)]
+    rng = random.Random(9)
+    for _ in range(60):  # every line of both sides comes out once
+        g, p = (["".join(rng.choice("abc ") for _ in range(rng.randrange(1, 9))).strip() or "a" for _ in range(rng.randrange(7))] for _ in range(2))
+        got = align.match_page(g, p)
+        assert sorted(x for a, _, _ in got for x in a) == list(range(len(g)))
+        assert set(x for _, b, _ in got for x in b) == set(range(len(p)))
