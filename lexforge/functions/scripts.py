@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Scripts by code point ranges, in the order in which they are tried.
 RANGES = (
@@ -48,11 +54,39 @@ def classify_token(scripts: Column, source: Column, targets: Column) -> Column:
     return F.when(F.size(letters) == 0, "punct").when(F.arrays_overlap(letters, own), "source").when(F.arrays_overlap(letters, other) & ~F.arrays_overlap(letters, source), "target").otherwise("residual")
 
 
-def char_scripts(c: Column) -> Column:
-    """One label a character: white space is `space`, every other character has the script of its token."""
-    tokens = F.regexp_extract_all(c, F.lit(r"(?U)(\s+|\S+)"), 1)
-    label = lambda t: F.when(t.rlike(r"(?U)^\s"), "space").otherwise(F.coalesce(token_script(F.transform(F.split(t, ""), base_script)), F.lit("other")))
-    return F.flatten(F.transform(tokens, lambda t: F.array_repeat(label(t), F.length(t))))
+@lru_cache(maxsize=100_000)
+def script_of_char(ch: str) -> str:
+    """base_script of one character."""
+    kind = unicodedata.category(ch)[0]
+    if ch.isspace():
+        return "space"
+    if kind in "PSNM":
+        return {"P": "punct", "S": "punct", "N": "digit", "M": "mark"}[kind]
+    return next((name for name, ranges in RANGES if any(lo <= ord(ch) <= hi for lo, hi in ranges)), "other")
+
+
+@lru_cache(maxsize=100_000)
+def script_of_token(token: str) -> str:
+    """token_script of a token; `other` without letters."""
+    letters = [s for s in map(script_of_char, token) if s not in ("space", "punct", "digit", "mark")]
+    kinds = sorted(set(letters))
+    if not kinds:
+        return "other"
+    for first in ("ipa", "cyrillic_ext", "latin_ext"):
+        if first in kinds:
+            return first
+    exotic = [s for s in kinds if s not in ("latin", "cyrillic", "other")]
+    return kinds[0] if len(kinds) == 1 else exotic[0] if exotic else "cyrillic" if letters.count("cyrillic") > letters.count("latin") else "latin"
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def char_scripts(s: pd.Series) -> pd.Series:
+    """One label a character: white space is `space`, every other character has the script of its token. Tokens are labelled once."""
+    one = lambda x: None if x is None else ["space" if t.isspace() else script_of_token(t) for t in PARTS.findall(x) for _ in t]
+    return s.map(one)
+
+
+PARTS = re.compile(r"\s+|\S+")
 
 
 #: Labels of annotation by script; any other script is `Other`.

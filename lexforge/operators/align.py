@@ -6,6 +6,7 @@ The group of every grouped map is one page, so a task's memory is bounded by a p
 from __future__ import annotations
 
 import difflib
+import re
 
 import numpy as np
 import pandas as pd
@@ -312,32 +313,35 @@ WORD = T.StructType([T.StructField("word", T.StringType()), T.StructField("tags"
 TAGGED = T.ArrayType(WORD)
 
 
-@F.pandas_udf(TAGGED)
-def tagged_words(s: pd.Series) -> pd.Series:
+def words_of_tagged(x: str | None) -> list[dict]:
     """Words of a marked-up line with the tags open at them; a closing tag without an opening one is ignored."""
-    import re
-
-    def one(x: str | None) -> list[dict]:
-        depth: dict[str, int] = {}
-        out, word, tags = [], "", set()
-        for part in re.split(r"(</?[a-zA-Z][a-zA-Z0-9]*>)", x or ""):
-            m = re.fullmatch(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)>", part)
-            if m:
-                depth[m[2]] = max(0, depth.get(m[2], 0) + (-1 if m[1] else 1))
-                continue
-            for c in part:
-                if c.isspace():
-                    if word:
-                        out.append({"word": word, "tags": sorted(tags)})
-                    word, tags = "", set()
-                else:
-                    word += c
-                    tags |= {t for t, n in depth.items() if n > 0}
-        if word:
-            out.append({"word": word, "tags": sorted(tags)})
-        return out
+    depth: dict[str, int] = {}
+    out, word, tags = [], "", set()
+    for part in TAG_SPLIT.split(x or ""):
+        m = TAG_NAME.fullmatch(part)
+        if m:
+            depth[m[2]] = max(0, depth.get(m[2], 0) + (-1 if m[1] else 1))
+            continue
+        for c in part:
+            if c.isspace():
+                if word:
+                    out.append({"word": word, "tags": sorted(tags)})
+                word, tags = "", set()
+            else:
+                word += c
+                tags |= {t for t, n in depth.items() if n > 0}
+    if word:
+        out.append({"word": word, "tags": sorted(tags)})
+    return out
 
-    return s.map(one)
+
+TAG_SPLIT, TAG_NAME = re.compile(r"(</?[a-zA-Z][a-zA-Z0-9]*>)"), re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)>")
+
+
+@F.pandas_udf(TAGGED)
+def tagged_words(s: pd.Series) -> pd.Series:
+    """words_of_tagged of each line."""
+    return s.map(words_of_tagged)
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("gold", WORD), T.StructField("pred", WORD)])))

@@ -334,3 +334,17 @@ def flat_entries(entries: DataFrame, page: list[str], order: str) -> DataFrame:
 def heads_of_flat(lines: Column) -> Column:
     """Headwords of flat lines: each line's first word without its dash, in small letters."""
     return F.array_distinct(F.filter(F.transform(lines, lambda x: F.lower(F.regexp_extract(strip(x), r"^—?(\S+)", 1))), lambda x: x != ""))
+
+
+def requested(asked: DataFrame, pages: DataFrame, group: str, stem: str = "stem") -> DataFrame:
+    """pages of requested stems with the place of the request; a stem that isn't there raises."""
+    got = asked.join(pages.withColumn("_there", F.lit(True)), [group, stem], "left")
+    ok = F.when(F.col("_there"), True).otherwise(F.raise_error(F.concat(F.lit("no such page: "), F.col(stem))).cast("boolean"))
+    return got.where(ok).drop("_there")
+
+
+def coerced(texts: DataFrame, keys: list[str], text: str = "value") -> DataFrame:
+    """keys, entry_type, homonym_number, examples of entries given as JSON objects of strings; wrong numbers are null, missing lists empty."""
+    e = texts.select(*keys, F.from_json(text, "entry_type string, homonym_number string, examples array<string>").alias("e"))
+    n = F.col("e.homonym_number").try_cast("int")
+    return e.select(*keys, F.lower(strip(F.col("e.entry_type"))).alias("entry_type"), F.when(n >= 1, n).alias("homonym_number"), F.coalesce("e.examples", F.array().cast("array<string>")).alias("examples"))

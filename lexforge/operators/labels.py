@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexforge.operators.spans import char_labels, spans_of_labels
+from lexforge.operators.spans import spans_of_labels
 
 #: Share of characters in which tagged output may differ from the text it labels.
 DRIFT = 0.02
@@ -104,8 +104,17 @@ def spans_of_task(tasks: DataFrame, task: str, keys: list[str]) -> DataFrame:
     regions = F.filter(F.coalesce(result, F.array().cast(f"array<{REGION}>")), lambda r: r["type"] == "labels")
     x = t.select(*keys, F.col("t.data.text").alias("text"), regions.alias("regions"))
     bad = F.exists("regions", lambda r: F.trim(F.substring(F.col("text"), r["value"]["start"] + 1, r["value"]["end"] - r["value"]["start"])) != F.trim(r["value"]["text"]))
-    place = F.sequence(F.lit(0), F.greatest(F.length("text"), F.lit(1)) - 1)
-    label = F.transform(place, lambda k: F.coalesce(F.get(F.get(F.filter("regions", lambda r: (r["value"]["start"] <= k) & (k < r["value"]["end"])), F.lit(0))["value"]["labels"], F.lit(0)), F.lit("space")))
+    # labels run by run: each region fills what is open from its start to its end, `space` fills the gaps
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("labels"))
+
+    def fill(acc: Column, r: Column) -> Column:
+        v = r["value"]
+        start, end = F.greatest(v["start"], acc["at"]), F.least(v["end"], F.length("text"))
+        gap, name = F.array_repeat(F.lit("space"), F.greatest(start - acc["at"], F.lit(0))), F.coalesce(F.get(v["labels"], F.lit(0)), F.lit("space"))
+        return F.when(end > start, F.struct(end.alias("at"), F.concat(acc["labels"], gap, F.array_repeat(name, end - start)).alias("labels"))).otherwise(acc)
+
+    in_order = F.array_sort("regions", lambda p, q: F.when(p["value"]["start"] < q["value"]["start"], -1).when(p["value"]["start"] > q["value"]["start"], 1).otherwise(0))
+    label = F.aggregate(in_order, zero, fill, lambda a: F.concat(a["labels"], F.array_repeat(F.lit("space"), F.length("text") - a["at"])))
     return x.select(*keys, "text", F.when(F.length("text") > 0, label).otherwise(F.array().cast("array<string>")).alias("labels"), F.when(bad, "tampered").alias("fault"))
 
 
@@ -116,10 +125,6 @@ def round_trip(maps: DataFrame, keys: list[str], text: str = "text", labels: str
     return tasks.select(*keys, "_l").join(back, keys).select(*keys, (F.col("labels") == F.col("_l")).alias("same"), "fault")
 
 
-def labels_of_spans(spans: Column) -> Column:
-    return char_labels(spans)
-
-
 def match_metadata(configs: DataFrame, metadata: DataFrame) -> DataFrame:
     """configs (folder, source, targets) with the first metadata row (row_no, source, targets) whose target set is the same and whose source is equal, or contained either way.
 

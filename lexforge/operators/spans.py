@@ -72,11 +72,16 @@ def majority(labels: Column, source: Column | None = None) -> Column:
 
 
 def word_labels(labelled: DataFrame, keys: list[str], text: str = "text", labels: str = "languages") -> DataFrame:
-    """keys, word_no, word, start, language: the majority label of each printed word."""
-    words = labelled.select(*keys, F.col(text).alias("_t"), F.col(labels).alias("_l"), F.posexplode(F.split(text, r"(?U)(?<=\s)(?=\S)")).alias("_k", "_piece"))
-    by = W.partitionBy(*keys).orderBy("_k").rowsBetween(W.unboundedPreceding, -1)
-    w = words.withColumn("start", F.coalesce(F.sum(F.length("_piece")).over(by), F.lit(0)).cast("int")).withColumn("word", F.regexp_replace("_piece", r"(?U)\s+$", "")).where("word <> ''")
-    return w.select(*keys, F.col("_k").alias("word_no"), "word", "start", majority(F.slice("_l", F.col("start") + 1, F.length("word"))).alias("language"))
+    """keys, word_no, word, start, language: the majority label of each printed word.
+
+    Words are placed and labelled inside the row; only they leave it.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(r"(?U)(\s+|\S+)"), 1)
+    ends = F.aggregate("_p", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
+    placed = F.filter(F.arrays_zip(F.col("_p").alias("word"), F.slice("_e", 1, F.size("_p")).alias("start")), lambda x: ~x["word"].rlike(r"(?U)^\s"))
+    word = lambda x: F.struct(x["word"].alias("word"), x["start"].alias("start"), majority(F.slice(F.col(labels), x["start"] + 1, F.length(x["word"]))).alias("language"))
+    rows = labelled.where(F.length(text) > 0).withColumn("_p", pieces).withColumn("_e", ends)
+    return rows.select(*keys, F.posexplode(F.transform(placed, word)).alias("word_no", "_w")).select(*keys, "word_no", "_w.word", "_w.start", "_w.language")
 
 
 def label_counts(labelled: DataFrame, keys: list[str], text: str = "text", labels: str = "languages") -> DataFrame:

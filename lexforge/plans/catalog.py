@@ -202,12 +202,15 @@ def primary_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.primary(label_totals(spark, sf_dir), ["stage1_id"])
 
 
-@query("word_labels")
+WS = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
+
+
+@query("word_labels", f"with p as (select stage1_id, languages, regexp_extract_all(text, '{WS}+|[^\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x85]+') as x from (select distinct stage1_id, text, languages from stage1_projections where text is not null and len(languages) > 0)), q as (select stage1_id, languages, unnest(x) as word, unnest(list_transform(range(len(x)), lambda i: coalesce(list_sum(list_transform(x[1:i], lambda y: length(y))), 0))) as start from p), w as (select stage1_id, row_number() over (partition by stage1_id order by start) - 1 as word_no, word, start, languages from q where not regexp_matches(word, '^{WS}')), l as (select stage1_id, word_no, word, start, unnest(languages[start + 1:start + length(word)]) as l from w union all select stage1_id, word_no, word, start, null from w), c as (select stage1_id, word_no, word, start, l, count(*) as n from l where l is distinct from 'space' group by all) select stage1_id, cast(word_no as int) as word_no, word, cast(start as int) as start, min_by(l, struct_pack(a := -n, b := l)) filter (where l is not null) as language from c group by stage1_id, word_no, word, start")
 def word_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.word_labels(pages(spark, sf_dir).where("size(languages) > 0"), ["stage1_id"])
 
 
-@query("task_round_trip")
+@query("task_round_trip", "select distinct stage1_id, true as same, cast(null as varchar) as fault from stage1_projections where text is not null and len(languages) = length(text)")
 def task_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label maps sent through annotation tasks and back."""
     p = pages(spark, sf_dir).where("size(languages) = length(text)")
@@ -544,7 +547,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
-@query("verdict_replay")
+@query("verdict_replay", "with e as (select user_id, event_type as t, row_number() over (partition by user_id order by event_id) as k from events where user_id is not null), p as (select *, lag(t) over (partition by user_id order by k) as before from e), f as (select user_id, min(k) as k from p where k <= 3 and (t in ('purchase', 'error') or t = before) group by 1), n as (select user_id, least(count(*), 3) as n from e group by 1) select n.user_id as run_id, case when f.k is null then 'max_attempts' when p.t = 'purchase' then 'accepted' when p.t = 'error' then 'rejected' else 'repeated' end as outcome, cast(coalesce(f.k, n) as int) as attempts from n left join f using (user_id) left join p on p.user_id = f.user_id and p.k = f.k")
 def verdict_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bounded loop replayed over recorded events: purchases accept, errors reject, the rest retry."""
     e = read_table(spark, sf_dir, "events").where("user_id is not null")

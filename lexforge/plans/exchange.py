@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.functions import scripts, text
-from lexforge.operators import exchange, incremental, labels, metrics, spans
+from lexforge.operators import align, exchange, incremental, labels, mdf, metrics, spans
 from lexforge.plans.catalog import once, pages, query, readings
 from lexforge.session import checkpoint_dir, read_table
 from lexforge.sources import files
@@ -546,9 +546,9 @@ def appended_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("script_pages", "select distinct line_id, len(regexp_extract_all(value, '[^\\s\\p{Z}\\x0b\\x1c-\\x1f\\x85]+')) as tokens from field_lines")
 def script_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values labelled by script, one label a character, and the number of their tokens from those labels."""
-    w = once(spark, sf_dir, "field_lines", "line_id").select("line_id", scripts.char_scripts(F.col("value")).alias("s"), "value")
-    tokens = F.size(F.filter(spans.spans_of_labels(F.transform(F.split("value", ""), lambda c: F.when(c.rlike(r"(?U)^\s$"), "space").otherwise("word"))), lambda x: x["language"] == "word"))
-    return w.where("size(s) = length(value) or value = ''").select("line_id", tokens.cast("bigint").alias("tokens"))
+    w = once(spark, sf_dir, "field_lines", "line_id").select("line_id", scripts.char_scripts(F.col("value")).alias("s"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("s")), lambda i: (F.get("s", i - 1) != "space") & ((i == 1) | (F.get("s", i - 2) == "space")))
+    return w.select("line_id", F.when(F.size("s") > 0, F.size(starts)).otherwise(0).cast("bigint").alias("tokens"))
 
 
 @query("hinted_runs", "select o_orderkey, o_orderpriority, bool_or(coalesce(o_orderstatus = 'F', false)) over (partition by o_orderpriority) as any_hint from orders")
@@ -570,3 +570,94 @@ def usage_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.usage_totals(e, ["event_type"], ["n", "total"])
 
 
+@query("single_rows", "select page_id, 'single' as column_id, cast(k + 1 as varchar) as line_number, line as text from (select page_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as k from (select distinct stage1_id, page_id, text from stage1_projections where text is not null))")
+def single_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts' lines as rows of one column."""
+    return pages(spark, sf_dir).select("page_id", F.inline(exchange.single_rows(F.split("text", "\n"))))
+
+
+@query("language_configs", "select dictionary, case when len(target_languages) >= 2 then 'inline_trilingual' end as layout, source_language as source, list_transform(target_languages, lambda x: x) as targets, 'left' as column_id from dictionaries")
+def language_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configurations written as YAML and loaded."""
+    d = read_table(spark, sf_dir, "dictionaries")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    targets = F.array_join(F.transform("target_languages", lambda x: F.concat(F.lit("  - language: "), quoted(x), F.lit("\n    column_id: left\n"))), "")
+    layout = F.when(F.size("target_languages") >= 2, "layout: inline_trilingual\n").otherwise("")
+    body = F.concat(layout, F.lit("source: "), quoted(F.col("source_language")), F.lit("\ntargets:\n"), targets)
+    c = files.languages_configs(d.select("dictionary", body.alias("value")))
+    return c.select("dictionary", "layout", F.col("source.language").alias("source"), F.transform("targets", lambda t: t["language"]).alias("targets"), F.get("targets", F.lit(0))["column_id"].alias("column_id"))
+
+
+@query("hint_lookup", "with h as (select page_id, min(source_file) as hint from dictionary_pages group by 1) select s.page_id, h.hint from (select distinct page_id from stage1_projections) s left join h on s.page_id = h.page_id and cast(regexp_extract(s.page_id, '(\\d+)$', 1) as int) % 2 = 0")
+def hint_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the hint file of their stem, where there is one."""
+    even = F.regexp_extract("page_id", r"(\d+)$", 1).cast("int") % 2 == 0
+    hints = read_table(spark, sf_dir, "dictionary_pages").where(even).groupBy("page_id").agg(F.min("source_file").alias("hint"))
+    return read_table(spark, sf_dir, "stage1_projections").select("page_id").distinct().join(hints, "page_id", "left")
+
+
+@query("sample_pages", "select dictionary, page_id, cast(place as int) as place from (select dictionary, 'page_' || n as stem, place from (select dictionary, unnest([hi, lo]) as n, unnest([0, 1]) as place from (select dictionary, max(page_number) as hi, min(page_number) as lo from dictionary_pages group by 1))) join (select distinct dictionary, page_id from dictionary_pages) using (dictionary) where split_part(page_id, '/', 2) = stem")
+def sample_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requested pages (the last, then the first of each dictionary) in the order of the request."""
+    p = read_table(spark, sf_dir, "dictionary_pages").select("dictionary", "page_id", "page_number").distinct()
+    asked = p.groupBy("dictionary").agg(F.concat_ws(", ", F.max("page_number"), F.min("page_number")).alias("spec"))
+    return exchange.requested(asked.select("dictionary", F.posexplode(exchange.page_stems(F.col("spec"))).alias("place", "stem")), p.select("dictionary", "page_id", F.element_at(F.split("page_id", "/"), -1).alias("stem")), "dictionary").select("dictionary", "page_id", "place")
+
+
+@query("limited_pages", "select dictionary, page_id from (select dictionary, page_id, row_number() over (partition by dictionary order by page_number, page_id) as k from (select distinct dictionary, page_id, page_number from dictionary_pages)) where k <= 3")
+def limited_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run limit as a feature: the first three pages of each dictionary."""
+    p = read_table(spark, sf_dir, "dictionary_pages").select("dictionary", "page_id", "page_number").distinct()
+    return metrics.samples(p, ["dictionary"], [F.col("page_number"), F.col("page_id")], 3).select("dictionary", "page_id")
+
+
+@query("coerced_entries", "select distinct entry_id, lower(trim(entry_type)) as entry_type, cast(case when homonym_number >= 1 then homonym_number end as int) as homonym_number, coalesce(examples, []) as examples from dictionary_entries")
+def coerced_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries from JSON objects of strings, in the types of the entry table."""
+    e = once(spark, sf_dir, "dictionary_entries", "entry_id")
+    loose = F.to_json(F.struct(F.concat(F.lit(" "), F.upper("entry_type")).alias("entry_type"), F.col("homonym_number").cast("string").alias("homonym_number"), "examples"))
+    return exchange.coerced(e.select("entry_id", loose.alias("value")), ["entry_id"])
+
+
+@query("map_sources", SPAN_SQL.replace("select page_id, cast(min(k) as int) as start_at, cast(max(k) + 1 as int) as end_at, language from i group by page_id, island, language", "select page_id, page_id || '/' || split_part(page_id, '/', 2) || '_lang.json' as path, min_by(language, k) filter (where language not in ('space', 'meta')) as source from i group by page_id"))
+def map_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path of each page's span map, and its first label that isn't reserved."""
+    path = F.concat("page_id", F.lit("/"), F.element_at(F.split("page_id", "/"), -1), F.lit("_lang.json"))
+    return maps(spark, sf_dir).select("page_id", path.alias("path"), F.get(F.filter("spans", lambda s: ~s["language"].isin("space", "meta")), F.lit(0))["language"].alias("source"))
+
+
+@query("tagged_words", "select line_id, cast(k as int) as word_no, w as word, case when k = 0 then ['b'] else [] end as tags from (select line_id, unnest(l) as w, unnest(range(len(l))) as k from (select line_id, list_filter(regexp_split_to_array(value, '" + S + "+'), lambda x: x <> '') as l from (select distinct line_id, value from field_lines)))")
+def tagged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of values whose first word is bold, with the tags open at them."""
+    v = once(spark, sf_dir, "field_lines", "line_id")
+    neat = text.collapse(F.col("value"))
+    marked = F.concat(F.lit("</i><b>"), F.substring_index(neat, " ", 1), F.lit("</b>"), F.expr("substr(_n, length(substring_index(_n, ' ', 1)) + 1)"))
+    w = v.withColumn("_n", neat).select("line_id", F.posexplode(align.tagged_words(marked)).alias("word_no", "w"))
+    return w.select("line_id", "word_no", "w.word", "w.tags")
+
+
+@query("marker_sheet", "with m as (select lower(regexp_replace(trim(marker), '^\\\\+', '')) as marker from (select case when line_id % 5 = 0 then '\\' || upper(marker) when line_id % 997 = 0 then marker || '!' else marker end as marker from (select distinct line_id, marker from field_lines))) select distinct marker, 'invalid' as issue from m where not regexp_matches(marker, '^[a-z][a-z0-9_-]*$') union all select marker, 'repeated' from m group by marker having count(*) > 1")
+def marker_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of a sheet of markers: invalid and repeated ones."""
+    c = F.col("line_id")
+    f = once(spark, sf_dir, "field_lines", "line_id").select(F.when(c % 5 == 0, F.concat(F.lit("\\"), F.upper("marker"))).when(c % 997 == 0, F.concat("marker", F.lit("!"))).otherwise(F.col("marker")).alias("marker"))
+    return mdf.cheatsheet_issues(f).distinct()
+
+
+@query("script_spans")
+def script_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values labelled by script, as canonical spans with the labels of annotation."""
+    v = once(spark, sf_dir, "field_lines", "line_id").where("length(value) > 0").select("line_id", scripts.char_scripts(F.col("value")).alias("l"))
+    s = v.select("line_id", F.explode(spans.spans_of_labels(F.col("l"))).alias("s"))
+    return s.select("line_id", "s.start", "s.end", scripts.bucket_label(F.col("s.language")).alias("language"))
+
+
+@query("artifact_lines", "with t as (select distinct page_id, text from (select distinct stage1_id, page_id, text from stage1_projections where text <> '')), g as (select page_id, cast(k as int) as line_idx, line from (select page_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as k from t where cast(regexp_extract(page_id, '(\\d+)$', 1) as int) % 2 = 0)), s as (select page_id, cast(row_number() over (partition by page_id order by rank, n) - 1 as int) as line_idx, text as line from " + SECTION_LINES + " where page_id in (select page_id from t where cast(regexp_extract(page_id, '(\\d+)$', 1) as int) % 2 = 1)) select * from g union all select * from s")
+def artifact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of two recognisers, plain texts and column tables, each read by its own adapter."""
+    even = F.regexp_extract("page_id", r"(\d+)$", 1).cast("int") % 2 == 0
+    p = pages(spark, sf_dir).where("text <> ''")
+    plain = p.where(even).select(F.col("page_id").alias("page"), F.lit("glm").alias("backend"), F.col("text").alias("value"))
+    tables = exchange.table_text(exchange.section_rows(sections(spark, sf_dir), ["page_id"]), ["page_id"]).join(p.where(~even).select("page_id"), "page_id", "left_semi")
+    both = plain.unionByName(tables.select(F.col("page_id").alias("page"), F.lit("tsv").alias("backend"), "value"))
+    return files.artifact_lines(both).withColumnRenamed("page", "page_id")

@@ -5,6 +5,7 @@ Text files are read whole, so that the order of lines is a column and never impl
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -228,3 +229,76 @@ def projection_languages(texts: DataFrame, text: str = "value") -> DataFrame:
     keys = [c for c in texts.columns if c != text]
     f = texts.select(*keys, F.explode(F.from_json(text, PROJECTION)["fields"]).alias("f"))
     return f.select(*keys, F.col("f.line_index").alias("line_index"), F.col("f.primary_language").alias("language")).where("trim(language) <> ''")
+
+
+W_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_lines(content: bytes) -> list[str]:
+    """Paragraphs of a word-processor file that aren't blank; where it has tables, their cells column by column instead."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml"))
+    text = lambda p: "".join(t.text or "" for t in p.iter(f"{W_NS}t"))
+    out: list[str] = []
+    for table in body.iter(f"{W_NS}tbl"):
+        cells = [["\n".join(map(text, c.iter(f"{W_NS}p"))) for c in r.iter(f"{W_NS}tc")] for r in table.iter(f"{W_NS}tr")]
+        out += [x for k in range(max(map(len, cells), default=0)) for r in cells if k < len(r) for x in r[k].split("\n")]
+    out = out or [text(p) for p in body.iter(f"{W_NS}p")]
+    return [x.strip() for x in out if x.strip()]
+
+
+def docx_pages(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_idx, line of word-processor files; unreadable ones give no lines."""
+    def run(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            rows = []
+            for file, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    rows += [(file, k, x) for k, x in enumerate(docx_lines(content))]
+                except Exception:  # noqa: BLE001  any broken archive or markup
+                    continue
+            yield pd.DataFrame(rows, columns=["file", "line_idx", "line"])
+
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.docx").load(path)
+    return read.select("path", "content").mapInPandas(run, "file string, line_idx int, line string")
+
+
+def languages_config(value: str) -> dict:
+    """A dictionary's configuration from YAML (or JSON): layout, source {language, column_id}, targets of the same form. What is missing is null, a wrong form raises."""
+    import yaml
+
+    got = yaml.safe_load(value) or {}
+    one = lambda x: {"language": str(x["language"]), "column_id": x.get("column_id")} if isinstance(x, dict) else {"language": str(x), "column_id": None}
+    if not isinstance(got, dict) or "source" not in got:
+        raise ValueError("a configuration needs a source language")
+    return {"layout": got.get("layout"), "source": one(got["source"]), "targets": [one(t) for t in got.get("targets") or []]}
+
+
+def languages_configs(texts: DataFrame, text: str = "value") -> DataFrame:
+    """Other columns, layout, source, targets of configuration texts (YAML); one row a dictionary."""
+    item = T.StructType([T.StructField("language", T.StringType()), T.StructField("column_id", T.StringType())])
+    kind = T.StructType([T.StructField("layout", T.StringType()), T.StructField("source", item), T.StructField("targets", T.ArrayType(item))])
+
+    @F.pandas_udf(kind)
+    def parsed(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([languages_config(x) for x in s], columns=["layout", "source", "targets"])
+
+    keys = [c for c in texts.columns if c != text]
+    return texts.select(*keys, parsed(text).alias("c")).select(*keys, "c.*")
+
+
+def artifact_lines(pages: DataFrame, page: str = "page", backend: str = "backend", text: str = "value") -> DataFrame:
+    """page, line_idx, line of recognisers' results, each read by its own adapter: Markdown, the three JSON layouts, plain text and column tables."""
+    from lexforge.functions.ocr import markdown_lines
+    from lexforge.operators.layout import flatten, transcript
+
+    of = lambda *names: pages.where(F.col(backend).isin(*names)).select(page, text)
+    out = markdown_lines(of("markdown"), [page], text).select(page, "line_idx", "line")
+    for name, adapter in (("mineru", mineru_blocks), ("paddle", paddle_blocks), ("mathpix", mathpix_blocks)):
+        out = out.unionByName(transcript(adapter(of(name), text), [page], "block_no").select(page, "line_idx", "line"))
+    out = out.unionByName(flat_lines(of("glm"), text).select(page, "line_idx", "line"))
+    return out.unionByName(flatten(column_tsv(of("tsv"), text), [page]).select(page, "line_idx", "line"))
