@@ -174,14 +174,46 @@ def ned(a: str, b: str) -> float:
 SURE, FUZZY, MANY, REJECT, WINDOW = 0.25, 0.6, 0.4, 0.7, 160
 
 
-def window_ned(part: str, whole: str, kept: dict) -> float | None:
-    """The least distance share of `part` to any window of its length in `whole`; None if there is no such window."""
+def end_scores(part: str, whole: str) -> list[int]:
+    """For each place in `whole` the least distance of `part` to any stretch that ends there, by the bit vectors of levenshtein."""
+    at: dict = {}
+    for k, x in enumerate(part):
+        at[x] = at.get(x, 0) | 1 << k
+    full, top = (1 << len(part)) - 1, 1 << (len(part) - 1)
+    up, down, score, out = full, 0, len(part), []
+    for y in whole:
+        eq = at.get(y, 0)
+        d = (((eq & up) + up) ^ up) | eq | down
+        plus, minus = down | (full & ~(d | up)), up & d
+        score += bool(plus & top) - bool(minus & top)
+        out.append(score)
+        plus = plus << 1 & full
+        up, down = (minus << 1 & full) | (full & ~(d | plus)), plus & d
+    return out
+
+
+def window_ned(part: str, whole: str, kept: dict, limit: float = FUZZY) -> float | None:
+    """The least distance share of `part` to any window of its length in `whole`; None if there is no such window. Beyond `limit` some value beyond it.
+
+    Windows are tried by the least distance that a stretch with their end can have, until none can be better.
+    """
     n = len(part)
     if not n or len(whole) < n:
         return None
-    key = (part, whole)
+    key = (part, whole, limit)
     if key not in kept:
-        kept[key] = min(ned(part, whole[i : i + n]) for i in range(len(whole) - n + 1)) if part not in whole else 0.0
+        if part in whole:
+            kept[key] = 0.0
+        elif len(CLUSTERS[part]) != n or len(CLUSTERS[whole]) != len(whole):
+            kept[key] = min(ned(part, whole[i : i + n]) for i in range(len(whole) - n + 1))
+        else:
+            best = float("inf")
+            for score, i in sorted((x, i) for i, x in enumerate(end_scores(part, whole)[n - 1 :])):
+                if score >= best * n or score > limit * n:
+                    best = min(best, max(score / n, limit + 1e-9)) if score > limit * n else best
+                    break
+                best = min(best, ned(part, whole[i : i + n]))
+            kept[key] = best
     return kept[key]
 
 
@@ -189,11 +221,14 @@ def widest(gold: str, pred: list[str], start: int, closed: np.ndarray, kept: dic
     """The run of predicted lines from `start` that together fit a gold line: no line makes the fit worse, each is found in the gold line, and the run stops once it is longer."""
     part, text = [start], pred[start]
     fit = ned(text, gold)
-    found = window_ned(text, gold, kept)
+    found = -1.0  # the worst fit of a line so far; not figured before a second line is tried
     while len(part) < WINDOW and (e := part[-1] + 1) < len(pred) and not closed[e]:
         longer = f"{text} {pred[e]}"
         d = ned(longer, gold)
-        if d > fit or found is None or found > FUZZY or (last := window_ned(pred[e], gold, kept)) is None or last >= FUZZY:
+        if d > fit:
+            break
+        found = window_ned(text, gold, kept) if found == -1.0 else found
+        if found is None or found > FUZZY or (last := window_ned(pred[e], gold, kept)) is None or last >= FUZZY:
             break
         part.append(e)
         text, fit, found = longer, d, max(found, last)
@@ -262,7 +297,7 @@ def match_page(gold: list[str], pred: list[str]) -> list[tuple[list[int], list[i
     pairs: dict[tuple[int, ...], list[int]] = {units[c]: [int(r)] for r, c in zip(rows, cols) if full[r, c] <= REJECT}
     free = [g for g in range(len(gold)) if not any(g in x for x in pairs.values())]
     for p, line in enumerate(pred):  # gold lines held by a predicted line
-        held = [g for g in free if (d := window_ned(gold[g], line, kept)) is not None and d < MANY]
+        held = [g for g in free if (d := window_ned(gold[g], line, kept, MANY)) is not None and d < MANY]
         if held:
             pairs[(p,)] = sorted([*pairs.get((p,), []), *held])
             free = [g for g in free if g not in held]

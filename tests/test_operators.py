@@ -403,3 +403,13 @@ def test_merges_of_lines():
         got = align.match_page(g, p)
         assert sorted(x for a, _, _ in got for x in a) == list(range(len(g)))
         assert set(x for _, b, _ in got for x in b) == set(range(len(p)))
+
+
+def test_windows_against_brute_force():
+    rng = random.Random(12)
+    for _ in range(400):
+        part, whole = ("".join(rng.choice("abcde\u0301"[: rng.choice((3, 5, 6))]) for _ in range(rng.randrange(n))) for n in (9, 18))
+        want = min((align.ned(part, whole[i : i + len(part)]) for i in range(len(whole) - len(part) + 1)), default=None) if part else None
+        for limit in (0.4, 0.6):
+            got = align.window_ned(part, whole, {}, limit)
+            assert got == want if want is None or want <= limit else got > limit
