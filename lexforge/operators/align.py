@@ -170,6 +170,55 @@ def ned(a: str, b: str) -> float:
     return levenshtein(ga, gb) / max(len(ga), len(gb), 1)
 
 
+def ned_many(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """ned of each pair; those whose shorter side fits a machine word are figured side by side, a step a grapheme."""
+    out = np.zeros(len(pairs))
+    symbols: dict = {}
+    patterns: dict[str, int] = {}
+    coded: dict[str, np.ndarray] = {}
+    of, texts, at = [], [], []
+    for k, (x, y) in enumerate(pairs):
+        if x == y:
+            continue
+        a, b = CLUSTERS[x], CLUSTERS[y]
+        if len(a) > len(b):
+            a, b, x, y = b, a, y, x
+        if not a or len(a) > 63:
+            out[k] = ned(x, y)
+            continue
+        of.append(patterns.setdefault(x, len(patterns)))
+        if y not in coded:
+            coded[y] = np.array([symbols.setdefault(c, len(symbols) + 1) for c in b])
+        texts.append(coded[y])
+        at.append(k)
+    if not at:
+        return out
+    bits = np.zeros((len(patterns), len(symbols) + 1), np.uint64)
+    for p, n in patterns.items():
+        for k, c in enumerate(CLUSTERS[p]):
+            if c in symbols:
+                bits[n, symbols[c]] |= np.uint64(1 << k)
+    of = np.array(of)
+    sizes = np.array([len(CLUSTERS[p]) for p in patterns], np.uint64)[of]
+    lengths = np.array([len(t) for t in texts])
+    padded = np.zeros((int(lengths.max()), len(texts)), np.int64)
+    for k, t in enumerate(texts):
+        padded[: len(t), k] = t
+    one = np.uint64(1)
+    full, top = (one << sizes) - one, sizes - one
+    up, down, score = full.copy(), np.zeros_like(full), sizes.astype(np.int64)
+    for j, row in enumerate(padded):
+        eq = bits[of, row]
+        d = (((eq & up) + up) ^ up) | eq | down
+        plus, minus = down | (full & ~(d | up)), up & d
+        step = ((plus >> top) & one).astype(np.int64) - ((minus >> top) & one).astype(np.int64)
+        score += step * (j < lengths)
+        plus = (plus << one | one) & full
+        up, down = (minus << one & full) | (full & ~(d | plus)), plus & d
+    out[at] = score / np.maximum(lengths, 1)
+    return out
+
+
 #: A pair is masked below SURE, may be merged up to FUZZY, is kept up to REJECT; a merge holds at most WINDOW lines.
 SURE, FUZZY, MANY, REJECT, WINDOW = 0.25, 0.6, 0.4, 0.7, 160
 
@@ -217,14 +266,16 @@ def window_ned(part: str, whole: str, kept: dict, limit: float = FUZZY) -> float
     return kept[key]
 
 
-def widest(gold: str, pred: list[str], start: int, closed: np.ndarray, kept: dict) -> tuple[int, ...]:
-    """The run of predicted lines from `start` that together fit a gold line: no line makes the fit worse, each is found in the gold line, and the run stops once it is longer."""
+def widest(gold: str, pred: list[str], start: int, closed: np.ndarray, kept: dict, fit: float, second: float | None) -> tuple[int, ...]:
+    """The run of predicted lines from `start` that together fit a gold line: no line makes the fit worse, each is found in the gold line, and the run stops once it is longer.
+
+    fit, second: edit shares of the first line alone and with the next one.
+    """
     part, text = [start], pred[start]
-    fit = ned(text, gold)
     found = -1.0  # the worst fit of a line so far; not figured before a second line is tried
     while len(part) < WINDOW and (e := part[-1] + 1) < len(pred) and not closed[e]:
         longer = f"{text} {pred[e]}"
-        d = ned(longer, gold)
+        d = ned(longer, gold) if len(part) > 1 else second
         if d > fit:
             break
         found = window_ned(text, gold, kept) if found == -1.0 else found
@@ -277,12 +328,15 @@ def match_page(gold: list[str], pred: list[str]) -> list[tuple[list[int], list[i
         return [([k], [], 1.0) for k in range(len(gold))]
     if len(gold) == len(pred) == 1:
         return [([0], [0], ned(pred[0], gold[0]))]
-    cost = np.array([[ned(p, g) for p in pred] for g in gold])
+    cost = ned_many([(p, g) for g in gold for p in pred]).reshape(len(gold), len(pred))
     sure_g, sure_p = (cost < SURE).any(1), (cost < SURE).any(0)
     kept: dict = {}
     runs = []
-    for g in np.flatnonzero(~sure_g):
-        tried = [widest(gold[g], pred, int(s), sure_p, kept) for s in np.flatnonzero(~sure_p)]
+    open_g, open_p = np.flatnonzero(~sure_g).tolist(), np.flatnonzero(~sure_p).tolist()
+    twos = [(g, s) for g in open_g for s in open_p if s + 1 < len(pred) and not sure_p[s + 1]]
+    second = dict(zip(twos, ned_many([(f"{pred[s]} {pred[s + 1]}", gold[g]) for g, s in twos]).tolist()))
+    for g in open_g:
+        tried = [widest(gold[g], pred, s, sure_p, kept, cost[g, s], second.get((g, s))) for s in open_p]
         costs = [cost[g, r[0]] if len(r) == 1 else ned(" ".join(pred[p] for p in r), gold[g]) for r in tried]
         if tried:
             k = int(np.argmin(costs))
@@ -292,7 +346,10 @@ def match_page(gold: list[str], pred: list[str]) -> list[tuple[list[int], list[i
     while (k := units[-1][-1] + 1 if units else 0) < len(pred):
         units.append(inside.get(k, (k,)))
     texts = [" ".join(pred[p] for p in u) for u in units]
-    full = np.array([[cost[g, u[0]] if len(u) == 1 else ned(t, gold[g]) for u, t in zip(units, texts)] for g in range(len(gold))])
+    full = cost[:, [u[0] for u in units]]
+    for c, (u, t) in enumerate(zip(units, texts)):
+        if len(u) > 1:
+            full[:, c] = ned_many([(t, g) for g in gold])
     rows, cols = assignment(full)
     pairs: dict[tuple[int, ...], list[int]] = {units[c]: [int(r)] for r, c in zip(rows, cols) if full[r, c] <= REJECT}
     free = [g for g in range(len(gold)) if not any(g in x for x in pairs.values())]

@@ -413,3 +413,11 @@ def test_windows_against_brute_force():
         for limit in (0.4, 0.6):
             got = align.window_ned(part, whole, {}, limit)
             assert got == want if want is None or want <= limit else got > limit
+
+
+def test_distances_side_by_side():
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcde\u0301 ") for _ in range(rng.choice((0, 1, 5, 30, 62, 63, 64, 90))))
+    pairs = [(word(), word()) for _ in range(400)] + [("same", "same"), ("", "")]
+    assert align.ned_many(pairs).tolist() == [align.ned(a, b) for a, b in pairs]
+    assert align.ned_many([]).tolist() == []
