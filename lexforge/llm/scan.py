@@ -4,7 +4,7 @@ The first and last lines of pages are masked (digits as #, confusable glyphs as
 dictionary: a masked line with a number or the title that returns on RETURNS of its pages or more is a running head
 (`returning_heads`; headings of chapters return as well, without either), and so is a line close to the dictionary's title, which its heads print and which tells them where a dictionary has few
 pages, or one that prints two guide words, which differ from page to page. Words are grouped by the skeleton of their
-confusable glyphs; a word outside the vocabulary is misread if its group holds a frequent form of a target
+confusable glyphs; a word outside the vocabulary is misread if its group holds a known form of a target
 language from which known confusions make it, if a neighbour is a word of a target language or a number, and if it
 is no word of a source language. A line-end hyphen is noise unless the vocabulary has
 the word with it. Paragraphs are reflowed over SQL windows.
@@ -40,13 +40,16 @@ SINGLE = str.maketrans({x: group[0] for group in ("aouny0сео", "ec", "il1!|ij
 BREAKS = "-‐¬=­"
 BREAK_END = re.compile(rf"[^\W\d_][̀-ͯ]*[{BREAKS}]\s*$")
 OUTER = ".,;:?\"“”„«»()[]—–-→*=¬‐­’'‘¿¡…"
-NUMBER = re.compile(r"^\W*(?:(?:p|pp|pág|page|S|Seite|с|стр|hal|h)\.?\s*)?([\dOolIi|!SBZ]{1,5}|[ivxlc]{1,8})\W*$")
+NUMBER = re.compile(r"^\W*(?:(?:p|pp|pág|page|S|Seite|с|стр|hal|h)\.?\s*)?([\dOolIi|!SBZ]+|[ivxlc]+)\W*$")
 GUIDES = re.compile(r"^\d?[^\W\d_]\S*\s+[–—-]\s+\d?[^\W\d_]\S*$")
 #: Digits by the letters they are read as.
 AS_DIGITS = str.maketrans("OolIi|!SBZ", "0011111582")
 ELIDED = re.compile(r"^[a-zà-ÿ]{1,2}['’]")
 ROMAN = re.compile(r"^\W*[ivxlc]+\W*$")
-WORDS_KEPT = 1e-5
+#: The end of a text that says it was cut off.
+CUT_MARK = r"\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\.\.\.|…|\x{FFFD})\s*$"
+#: Stands after the last word of a value while words are counted.
+END = "\u0002"
 SPLITS = r"[\s.,;:?!\"“”„«»()\[\]¿¡\u00a0\u2007\u2009\u202f\u3000]+"
 
 
@@ -186,7 +189,7 @@ def page_no(line: str, page: int | None, edge: bool) -> bool:
     core = m[1]
     if core.isdigit():
         return True
-    if any(c.isdigit() for c in core) and not core[0].isalpha() or len(core) > 1 and sum(c.isdigit() for c in core) * 2 >= len(core):
+    if any(c.isdigit() for c in core) and not core[0].isalpha() or len(core) > 1 and sum(c.isdigit() for c in core) * (9 if edge else 2) >= len(core):
         return True
     if page is not None and core.translate(AS_DIGITS) == str(page):
         return True
@@ -295,24 +298,41 @@ def scanned(tables: dict[str, DataFrame], names: tuple[str, ...] = ("neighbor_pa
 
 
 def vocabulary(field_lines: DataFrame, samples: DataFrame | None = None, least: int = 4, bound: int = 1_000_000) -> dict[str, int]:
-    """Words of target languages with their counts: those of translations and notes that make up WORDS_KEPT of all words, and more there than in source text.
+    """Words of target languages with their counts, in their plain spelling: those that stand `least` times in translations and notes, however large these are, and more there than in source text.
 
-    Words of at least two samples of target languages are added. WORDS_KEPT bounds the number (at most 1 / WORDS_KEPT words), which is what lets the vocabulary be sent to every executor.
+    The last line of a page may be cut off within a word. So words that stand mostly at the end of values must have `least` places besides the ends of pages' last lines.
+    Words of at least two samples of target languages are added. Beyond `bound` words, which every executor must hold, it raises.
     """
     own = F.col("marker").isin("lx", "xv", "cf", "ph")
+    lines = field_lines.where("value is not null and marker not in ('ps', 'hm', 'dt')")
+    text = F.lower("value")
+    text = F.when(F.substring(F.rtrim(text), -1, 1).isin(".", "…", "]", "\ufffd"), F.regexp_replace(text, CUT_MARK, "")).otherwise(text)
+    text = F.concat(text, F.lit(END))
     words = (
-        field_lines.where("value is not null and marker not in ('ps', 'hm', 'dt')")
-        .select(own.alias("own"), F.explode(F.split(F.lower("value"), SPLITS)).alias("w"))
+        lines.select(own.alias("own"), F.explode(F.split(text, SPLITS)).alias("t"))
+        .select("own", F.replace("t", F.lit(END), F.lit("")).alias("w"), F.endswith("t", F.lit(END)).alias("last"))
         .where("w <> ''")
         .groupBy("w")
-        .agg(F.count_if(~F.col("own")).alias("n"), F.count_if("own").alias("s"))
+        .agg(F.count_if(~F.col("own")).alias("n"), F.count_if("own").alias("s"), F.count_if(~F.col("own") & ~F.col("last")).alias("inside"))
     )
-    total = words.agg(F.sum("n")).collect()[0][0] or 0
-    kept = words.where((F.col("n") >= max(least, total * WORDS_KEPT)) & (F.col("n") > 2 * F.col("s")) & ~F.col("w").rlike(r"^[\d/.]+$"))
-    rows = kept.select("w", "n").limit(bound + 1).collect()
+    kept = words.where((F.col("n") >= least) & (F.col("n") > 2 * F.col("s")) & ~F.col("w").rlike(r"^[\d/.]+$"))
+    rows = kept.select("w", "n", "inside").limit(bound + 1).collect()
     if len(rows) > bound:
         raise ValueError("vocabulary beyond its bound")
-    out = {r[0]: r[1] for r in rows}
+    at_ends = {r[0]: r[2] for r in rows if r[2] < least}
+    if at_ends and {"page_id", "record_index", "line_index"} <= set(field_lines.columns):
+        place = (F.col("record_index").cast("bigint") * 2**32 + F.col("line_index")).alias("place")
+        pages = field_lines.groupBy("page_id").agg(F.max(place).alias("end"))
+        asked = F.broadcast(field_lines.sparkSession.createDataFrame([(w,) for w in at_ends], "w string"))
+        last = F.element_at(F.split(F.substring_index(text, " ", -1), SPLITS), -1)
+        ends = lines.where(~own).select("page_id", place, last.alias("t")).select("page_id", "place", F.replace("t", F.lit(END), F.lit("")).alias("w")).join(asked, "w").join(pages, "page_id", "left")
+        for w, n in ends.where(F.coalesce(F.col("place") < F.col("end"), F.lit(True))).groupBy("w").count().collect():
+            at_ends[w] += n
+        rows = [r for r in rows if at_ends.get(r[0], least) >= least]
+    out: dict[str, int] = {}
+    for w, n, _ in rows:
+        if w := w if w.isascii() else plain(w)[0].lower():
+            out[w] = out.get(w, 0) + n
     if samples is not None:
         seen: dict[str, int] = {}
         for r in small_rows(samples.where("lang not like 'qa_' and text is not null").select("text"), "language_samples"):

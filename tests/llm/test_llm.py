@@ -165,6 +165,19 @@ def test_masked_lines_that_return_are_heads(spark):
     assert scan.noise_found({k: v.limit(0) for k, v in t.items()}).count() == 0
 
 
+def test_rare_words_and_long_page_numbers(spark):
+    """A target word is known by its places, whatever share of all words they are; a word cut off at the end of a page is none; page numbers have any length."""
+    rows = [(f"D/page_{k // 40}", k % 40, 0, "ge", "wooden ladle; kept") for k in range(150_000)]
+    rows += [(f"D/page_{k}", 50, 0, "ge", "Türschwelle" if k % 2 else "ｂａｒｎａｃｌｅ") for k in range(8)]
+    rows += [(f"D/page_{k}", 90, k % 2, "ge", "near the barnac" + ("..." if k > 30 else "")) for k in range(60)] + [("D/page_1", 90, 1, "ge", "near the barnac")] * 9
+    lines = spark.createDataFrame(rows, "page_id string, record_index int, line_index int, marker string, value string")
+    got = scan.vocabulary(lines.repartition(8))
+    assert got["türschwelle"] == got["barnacle"] == 4 and "barnac" not in got and {"wooden", "ladle", "kept"} <= set(got)
+    words = scan.Words(got)
+    pages = [(scan.analyse(f"{no}\nthe wooden barnaclc was\nkept.", "", page, words)[0]) for no, page in (("— 123456 —", 123456), ("p. l04512", 104512), ("[l5l]", 7000151))]
+    assert [{r[:2] for r in rows} for rows in pages] == [{(1, "page_number"), (2, "misread")}] * 3
+
+
 # truncation (2)
 
 
