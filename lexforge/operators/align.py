@@ -10,13 +10,14 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from lexforge.functions.edit import grapheme_ned
 from lexforge.functions.text import clean_text, collapse
 from lexforge.session import checkpoint_dir, spread
 
@@ -460,11 +461,41 @@ def word_pairs(gold: pd.Series, pred: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(gold, pred)])
 
 
+#: Pairs of lines that are figured side by side in `cost_matrix`.
+SIDE_BY_SIDE = 20_000
+
+
 def cost_matrix(gold: DataFrame, pred: DataFrame, keys: list[str], place: str = "line_idx", text: str = "line") -> DataFrame:
-    """keys, gold_idx, pred_idx, ned: every pair of lines within a page, by an equi-join on the page."""
-    g = gold.select(*keys, F.col(place).alias("gold_idx"), collapse(F.col(text)).alias("_g"))
-    p = pred.select(*keys, F.col(place).alias("pred_idx"), collapse(F.col(text)).alias("_p"))
-    return g.join(p, keys).select(*keys, "gold_idx", "pred_idx", grapheme_ned(F.col("_p"), F.col("_g")).alias("ned"))
+    """keys, gold_idx, pred_idx, ned: every pair of lines within a page, by an equi-join on the page.
+
+    The lines of both sides meet as one row a page; distances are figured by `ned_many`, at most SIDE_BY_SIDE pairs at once.
+    """
+    side = lambda df, s: df.select(*keys, F.struct(F.col(place).alias("at"), collapse(F.col(text)).alias("line")).alias("x")).groupBy(*keys).agg(F.collect_list("x").alias(s))
+    both = spread(side(gold, "_g").join(side(pred, "_p"), keys), *keys)
+    kinds = [f for f in both.schema.fields if f.name in keys]
+    schema = T.StructType(kinds + [T.StructField("gold_idx", gold.schema[place].dataType), T.StructField("pred_idx", pred.schema[place].dataType), T.StructField("ned", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            for k, (g, p) in enumerate(zip(b.column("_g").to_pylist(), b.column("_p").to_pylist())):
+                known = [(x["at"], x["line"]) for x in p]
+                step = max(1, SIDE_BY_SIDE // max(1, len(known)))
+                for at in range(0, len(g), step):
+                    part = [(x["at"], x["line"]) for x in g[at : at + step]]
+                    n = len(part) * len(known)
+                    found = [i for i, (_, x) in enumerate(part) if x is not None]
+                    there = [i for i, (_, x) in enumerate(known) if x is not None]
+                    neds = np.full((len(part), len(known)), np.nan)
+                    if found and there:
+                        neds[np.ix_(found, there)] = ned_many([(known[j][1], part[i][1]) for i in found for j in there]).reshape(len(found), len(there))
+                    flat = neds.ravel()
+                    key = [pa.array([b.column(f.name)[k].as_py()], arrow.field(f.name).type).take(pa.array(np.zeros(n, np.int32))) for f in kinds]
+                    left, right = pa.array([x for x, _ in part], arrow.field("gold_idx").type), pa.array([x for x, _ in known], arrow.field("pred_idx").type)
+                    row, col = np.divmod(np.arange(n, dtype=np.int32), len(known))
+                    yield pa.RecordBatch.from_arrays([*key, left.take(pa.array(row)), right.take(pa.array(col)), pa.array(flat, pa.float64(), mask=np.isnan(flat))], schema=arrow)
+
+    return both.mapInArrow(run, schema)
 
 
 def record_lines(gold: DataFrame, pred: DataFrame, keys: list[str], record_least: float = 0.6, line_least: float = 0.7) -> tuple[DataFrame, DataFrame]:

@@ -313,6 +313,20 @@ def test_cost_matrix_against_brute_force(spark):
     assert got == pytest.approx(want)
 
 
+def test_cost_matrix_figures_pairs_side_by_side(spark):
+    """More pairs than one block holds, lines beyond a machine word; no distance is interpreted token by token."""
+    rng = random.Random(4)
+    line = lambda: "".join(rng.choice("abе ́") for _ in range(rng.choice((3, 9, 70))))
+    gold, pred = [line() for _ in range(301)], [line() for _ in range(80)]
+    side = lambda lines: spark.createDataFrame([("p", 2, k, x) for k, x in enumerate(lines)] + [("p", 3, 0, None), (None, 2, 0, "same")], "page string, part int, line_idx int, line string")
+    df = align.cost_matrix(side(gold), side(pred), ["page", "part"])
+    assert "array_position" not in df._jdf.queryExecution().toString()
+    got = {tuple(r)[:4]: r["ned"] for r in df.collect()}
+    flat = lambda s: " ".join(s.split())
+    assert len(gold) * len(pred) > align.SIDE_BY_SIDE and got.pop(("p", 3, 0, 0), 0) is None
+    assert got == pytest.approx({("p", 2, i, j): align.ned(flat(p), flat(g)) for i, g in enumerate(gold) for j, p in enumerate(pred)})
+
+
 def test_distances_of_many_distinct_tokens(spark):
     rng = random.Random(5)
     a = [f"t{k}" for k in range(9000)]
