@@ -234,6 +234,23 @@ def test_copies_elsewhere_and_hot_starts(spark):
         got = {r["row_id"]: r["cause"] for r in truncation.cut_texts(t, hot).where("cut").collect()}
         assert got == {k: "copy" for k in want}
 
+def test_copies_of_hot_starts_under_other_pages(spark):
+    """A start that many texts have doesn't hide the longer copy of a text under another page."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("ka to mi re su vel dor nin gar pek".split()) for _ in range(3))
+    front = " ".join(word() for _ in range(60))
+    bodies = [front + " " + " ".join(word() for _ in range(200)) + "." for _ in range(30)]
+    texts = [(k, f"D/page_{k}", "D", "f", b[:900] + ".") for k, b in enumerate(bodies)] + [(100 + k, f"E/page_{k}", "E", "g", b) for k, b in enumerate(bodies[:-5])]
+    t = {
+        "dictionary_pages": spark.createDataFrame([], "page_key bigint, page_id string, dictionary string, source_file string, mdf_text string"), "stage1_projections": spark.createDataFrame(texts, "stage1_id bigint, page_id string, dictionary string, source_file string, text string"),
+        "neighbor_pages": spark.createDataFrame([], "neighbor_id bigint, page_id string, side string, stem string, transcript string"), "dictionaries": spark.createDataFrame([("D", "Kamus D")], "dictionary string, title string"),
+    }
+    values = truncation.texts(t)
+    for hot in (truncation.HOT, 10):
+        assert {r["row_id"] for r in truncation.cut_texts(t, hot).where("cause = 'copy'").collect()} == set(range(25))
+    every, met = ({tuple(r) for r in truncation.pairs(values, h).collect()} for h in (10**9, 10))
+    assert met < every and {(1, k, 1, 100 + k) for k in range(25)} <= met
+
 
 # languages (1)
 
